@@ -33,30 +33,55 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(x)
 
 
+def set_id(s: np.ndarray) -> int:
+    """64 bits of a set, equal for equal sets alone but for chance (one in 2^64 a pair)."""
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+
+
+def text_key(text: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True)
+
+
+class Seen:
+    """Remembers a bounded number of keys, to do repeated texts once a task."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.keys, self.most = set(), most
+
+    def new(self, key: int) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= self.most:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """One row a document (doc_id, n, digest) and, apart, each task's counts of hashed shingles.
+    """One row a document (doc_id, n, sid, tkey) and, apart, each task's counts of hashed shingles.
 
     The counts are 2^21 cells a task, at most 255 in each, sent in chunks (chunk, cells)."""
-    names = ["doc_id", "n", "digest", "chunk", "cells"]
+    names = ["doc_id", "n", "sid", "tkey", "chunk", "cells"]
 
     def run(batches: Batches) -> Batches:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in batches:
-            n, digest = [], []
+            n, sid, key = [], [], []
             for t in texts(batch):
                 s = shingles(t)
                 n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sid.append(set_id(s))
+                key.append(text_key(t))
                 np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), none, pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(key, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
         small = np.minimum(cells, 255).astype(np.uint8)
         if small.any():
             k = len(small) // CHUNK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([small[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array([small[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, chunk int, cells binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, tkey long, chunk int, cells binary")
 
 
 def frequency_levels(found: DataFrame) -> np.ndarray:
@@ -84,6 +109,27 @@ class Prefix(NamedTuple):
     matches: int
 
 
+def key_filter(keys: DataFrame, bits: int = 24) -> np.ndarray:
+    """2^bits flags, set where one of the keys falls: 2 MB, whatever the number of keys."""
+    part = 20
+    place = F.pmod(F.col("tkey"), F.lit(1 << bits))
+
+    def flags(batches: Batches) -> Batches:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            for c in np.unique(x >> part).tolist():
+                own.setdefault(c, np.zeros(1 << part, dtype=bool))[x[x >> part == c] & ((1 << part) - 1)] = True
+        for c, f in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(f).tobytes()], pa.binary())], ["part", "flags"])
+
+    places = keys.select(place.alias("x")).distinct().repartition(1 << (bits - part), F.shiftright("x", part))
+    out = np.zeros(1 << bits, dtype=bool)
+    for r in places.mapInArrow(flags, "part int, flags binary").toLocalIterator():
+        out[r.part << part : (r.part + 1) << part] |= np.unpackbits(np.frombuffer(r.flags, np.uint8)).astype(bool)
+    return out
+
+
 def prefix(s: np.ndarray, levels: np.ndarray) -> Prefix:
     """The tokens under which a set is filed, and how many a partner must share.
 
@@ -110,20 +156,23 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     names = ["token", "sid", "n", "m", "most"]
 
     def run(batches: Batches) -> Batches:
+        seen = Seen()
         for batch in batches:
-            ids, whole = batch.column(0).to_pylist(), texts(batch)
+            whole = texts(batch)
             for at in range(0, len(whole), 500):
-                cols: list[list[np.ndarray]] = [[] for _ in names]
-                for i, t in zip(ids[at : at + 500], whole[at : at + 500]):
+                cols: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in names]
+                for t in whole[at : at + 500]:
+                    if not seen.new(text_key(t)):
+                        continue
                     s = shingles(t)
                     p = prefix(s, shared.value)
                     n, k = len(s), len(p.tokens)
                     most = (9 * (n - np.arange(k) + p.matches - 1)) // 4 - n
-                    for c, x in zip(cols, (p.tokens.view(np.int64), np.full(k, i), np.full(k, n), np.full(k, p.matches), most)):
+                    for c, x in zip(cols, (p.tokens.view(np.int64), np.full(k, set_id(s)), np.full(k, n), np.full(k, p.matches), most)):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
 
-    return docs.select("sid", "text").mapInArrow(run, "token long, sid long, n int, m int, most int")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, sid long, n int, m int, most int")
 
 
 def verified(pairs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -173,15 +222,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(sets(docs), "sets")
-    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "digest")
-    reps = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("sid"))
-    levels = frequency_levels(found)
-    one_each = docs.withColumnRenamed("doc_id", "sid").join(reps.select("sid"), "sid", "left_semi")
-    filed = postings(one_each, levels).withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int"))
-    stats = filed.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    # a bucket of one is no meeting; a posting whose partners must be smaller than any there meets none
-    active = written(filed.join(stats.where("size > 1"), "token").where("most >= least").select("token", "band", "sid", "n", "m", "most"), "active")
-    stored = written(set_table(docs.withColumnRenamed("doc_id", "sid").join(active.select("sid").distinct(), "sid", "left_semi")), "stored")
+    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "sid", "tkey")
+    named = docs.where(F.col("doc_id").isNotNull())
+    filed = postings(named, frequency_levels(found)).withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int"))
+    stats = filed.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("other"), F.min("n").alias("least")).where("one < other").select("token", "least")
+    # a bucket of one set is no meeting; a posting whose partners must be smaller than any there meets none
+    active = written(filed.join(stats, "token").where("most >= least").select("token", "band", "sid", "n", "m", "most").distinct(), "active")
+    stored = written(set_table(named, members, active.select("sid").distinct()), "stored")
 
     fits = lambda x, y: (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
     hubs = active.groupBy("token", "band").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("slack"), (-F.col("sid")).alias("minus"), "n", "most")).alias("h")).select("token", "band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("n"), F.col("h.most").alias("most"))
@@ -196,21 +243,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
     links = first.union(verified(pairs, stored))
     final = components(links)
-    named = reps.join(final, "sid", "left").select("digest", F.coalesce("comp", "sid").alias("comp"))
-    out = members.join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp")).alias("component_id"))
+    own = members.join(final, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    least = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = own.join(least, "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
 
+def set_table(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, hashes: each wanted set once, sorted, as little-endian uint64.
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """sid, hashes: the sorted set of each given document, as little-endian uint64."""
+    The texts don't travel: one text stands for each set, a filter of fixed size tells the scan which
+    texts may be meant, and a join then leaves exactly the wanted sets."""
+    keys = members.where(F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("tkey").alias("tkey")).join(wanted, "sid", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def run(batches: Batches) -> Batches:
+        seen = Seen()
+        mask = len(shared.value) - 1
         for batch in batches:
             whole = texts(batch)
             for at in range(0, len(whole), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 500], pa.array([shingles(t).tobytes() for t in whole[at : at + 500]], pa.binary())], ["sid", "hashes"])
+                meant = [s for t in whole[at : at + 500] if shared.value[(k := text_key(t)) & mask] and seen.new(k) and len(s := shingles(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in meant], pa.int64()), pa.array([s.tobytes() for s in meant], pa.binary())], ["sid", "hashes"])
 
-    return docs.select("sid", "text").mapInArrow(run, "sid long, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "sid long, hashes binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
