@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,12 +14,15 @@ from quillmark.operators.metrics import floor_percentiles, share
 MARKERS = ["TODO", "HACK", "NOTE", "REVIEW", "FIXME", "XXX", "WARN", "IMPORTANT"]
 CONNECTIVES = ["потому что", "так как", "поэтому", "то есть", "для того чтобы", "дело в том что", "иначе", "чтобы не", "because", "so that", "otherwise"]
 LEAST_LINES = 200
-GENRE = F.when(F.col("is_doc"), "jsdoc").otherwise("code")
+
+
+def genre() -> Column:
+    return F.when(F.col("is_doc"), "jsdoc").otherwise("code")
 
 
 def genre_sizes(blocks: DataFrame) -> DataFrame:
     """genre, blocks, line_width and block_lines as structs of percentiles, one_liners, russian."""
-    rows = blocks.withColumns({"genre": GENRE, "span": F.size("lines")})
+    rows = blocks.withColumns({"genre": genre(), "span": F.size("lines")})
     wide = rows.select("genre", F.explode("lines").alias("line")).where("line <> ''").withColumn("width", utf16_len(F.col("line")))
     width = floor_percentiles(wide, ["genre"], "width").select("genre", F.struct("median", "p75", "p90", "max").alias("line_width"))
     spans = floor_percentiles(rows, ["genre"], "span").select("genre", F.col("median").alias("m"), F.col("p90").alias("n"))
@@ -66,6 +69,6 @@ def typography(blocks: DataFrame, until: int = 0) -> DataFrame:
     """genre, label, hits, share over comment lines written before `until` (0: all); genres with fewer
     than LEAST_LINES lines stay unmeasured."""
     handwritten = blocks.where(F.col("year") < until) if until else blocks
-    lines = handwritten.select(GENRE.alias("genre"), F.explode("lines").alias("line")).where("line <> ''")
+    lines = handwritten.select(genre().alias("genre"), F.explode("lines").alias("line")).where("line <> ''")
     enough = lines.groupBy("genre").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LINES).select("genre")
     return probe_shares(lines, TYPOGRAPHY, "line", ["genre"]).join(enough, "genre", "left_semi")
