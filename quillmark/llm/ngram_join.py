@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmark.llm.common import Batches, texts, written
 
@@ -16,21 +18,76 @@ NGRAM = 5
 #: Links: 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
 CELL_BITS, CHUNK = 21, 1 << 16
 #: The longest prefixes ask for so many shared tokens.
-MOST_MATCHES = 4
+MOST_MATCHES = 16
+#: Parts that a frequent token's sets are dealt to.
+SALTS, HOT_LEVEL = 64, 5
+
+
+#: A byte's factor by its place in its word, and which bytes part words.
+PLACES = 1 << 16
+FACTOR = np.random.default_rng(7).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word (A-Z lower-cased), in order: its bytes, each times its place's factor,
+    summed up as a difference of running sums over the text."""
+    b = np.frombuffer(text.encode().lower() + b" ", dtype=np.uint8)
+    edge = np.flatnonzero(BLANK[b])
+    start = np.concatenate([[0], edge[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(start, edge - start + 1)
+    term = FACTOR[place & (PLACES - 1)] * (b.astype(np.uint64) + np.uint64(1))
+    if int((edge - start).max()) > PLACES:
+        term *= np.uint64(2) * (place >> 16).astype(np.uint64) + np.uint64(1)
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term)])
+    word = edge > start
+    h = run[edge[word]] - run[start[word]]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's 5-word shingles (A-Z lower-cased)."""
-    words = text.encode().lower().split()
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    n = min(NGRAM, len(words))
-    x = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    n = min(NGRAM, len(h))
+    x = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         x = (x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell the shingles of two sets apart."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def sketch(s: np.ndarray) -> bytes | None:
+    """How many of the set's hashes fall to each of 2^k stretches, k by the set's size; none in the odd
+    case that a count exceeds a byte."""
+    bits = max(3, len(s).bit_length() - 1)
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Two sets share at most the smaller count of each stretch: false only where that is too little."""
+    a, b = (np.frombuffer(z, dtype=np.uint8).astype(np.int64) for z in (x, y))
+    total = int(a.sum() + b.sum())
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    return 9 * int(np.minimum(a, b).sum()) >= 4 * total
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // 6, 8), dtype=np.uint8)
+    wide[:, 2:] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -58,34 +115,40 @@ class Seen:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """One row a document (doc_id, n, sid, tkey) and, apart, each task's counts of hashed shingles.
+    """One row a document (doc_id, n, sid) and, apart, each task's counts of hashed shingles.
 
     The counts are 2^21 cells a task, at most 255 in each, sent in chunks (chunk, cells)."""
-    names = ["doc_id", "n", "sid", "tkey", "chunk", "cells"]
+    names = ["doc_id", "n", "sid", "chunk", "cells"]
 
     def run(batches: Batches) -> Batches:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in batches:
-            n, sid, key = [], [], []
+            n, sid, met, held = [], [], [], 0
             for t in texts(batch):
                 s = shingles(t)
                 n.append(len(s))
                 sid.append(set_id(s))
-                key.append(text_key(t))
-                np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                met.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+                held += len(s)
+                if held > 1 << 20:
+                    cells += np.bincount(np.concatenate(met), minlength=len(cells)).astype(np.uint32)
+                    met, held = [], 0
+            if held:
+                cells += np.bincount(np.concatenate(met), minlength=len(cells)).astype(np.uint32)
             none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(key, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
         small = np.minimum(cells, 255).astype(np.uint8)
         if small.any():
             k = len(small) // CHUNK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array([small[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([small[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, tkey long, chunk int, cells binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, chunk int, cells binary")
 
 
 def frequency_levels(found: DataFrame) -> np.ndarray:
-    """One byte a cell: 0 for ordinary counts, then a level for each doubling beyond four times the mean.
+    """One byte a cell: 0 where the count is what chance brings, then a level for each doubling of what
+    goes beyond: a token that stands above the noise of its cell is put last in every prefix.
 
     Tasks add up chunks as they stream by; 2 MB reach the driver, at any size of the input."""
 
@@ -101,7 +164,9 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
     total = np.zeros(1 << CELL_BITS)
     for r in parts.toLocalIterator():
         total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, "<i8")
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1e-9) / max(4 * total.mean(), 1e-9))), 0, 255).astype(np.uint8)
+    mean = total.mean()
+    excess = (total - mean) / (4 * np.sqrt(mean) + 1)
+    return np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
 class Prefix(NamedTuple):
@@ -110,9 +175,9 @@ class Prefix(NamedTuple):
 
 
 def key_filter(keys: DataFrame, bits: int = 24) -> np.ndarray:
-    """2^bits flags, set where one of the keys falls: 2 MB, whatever the number of keys."""
+    """2^bits flags, set where one of the ids falls: 2 MB, whatever the number of ids."""
     part = 20
-    place = F.pmod(F.col("tkey"), F.lit(1 << bits))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
 
     def flags(batches: Batches) -> Batches:
         own: dict[int, np.ndarray] = {}
@@ -135,14 +200,14 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> Prefix:
 
     Tokens stand in one order for all sets: by frequency level, then by hash. A set of n tokens must
     share at least a = ceil(0.8 n) with any partner, so two linked sets share m or more of the first
-    n - a + m tokens of each. Longer prefixes (m = 2 to 4) cost more postings but leave fewer
+    n - a + m tokens of each. Longer prefixes (m = 2 to 16) cost more postings but leave fewer
     candidates to verify; m is what costs least, postings being the expected bucket sizes and
     verification the expected candidates, at most their sum over m, times the set's size."""
     level = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
     order = np.lexsort((s, level))
     short = len(s) - -(-4 * len(s) // 5)
     most = min(MOST_MATCHES, len(s) - short)
-    expected = np.cumsum(np.exp2(level[order[: short + most]].astype(np.float64)) - 1)
+    expected = np.cumsum(16 * (np.exp2(level[order[: short + most]].astype(np.float64)) - 1))
     m = np.arange(1, most + 1)
     cost = short + m + expected[short : short + most] * (1 + len(s) / 64 / m)
     best = int(m[cost.argmin()])
@@ -150,10 +215,11 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> Prefix:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """token, sid, n, m, most: `most` is the largest partner that can still reach the threshold if
-    the first shared token (or one of the first m) is this one."""
+    """token, salt, sid, n, m, most: `most` is the largest partner that can still reach the threshold if
+    the first shared token (or one of the first m) is this one. Tokens of ordinary frequency have salt
+    -1; those of more are dealt to SALTS parts by set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["token", "sid", "n", "m", "most"]
+    names = ["token", "salt", "sid", "n", "m", "most"]
 
     def run(batches: Batches) -> Batches:
         seen = Seen()
@@ -168,30 +234,54 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     p = prefix(s, shared.value)
                     n, k = len(s), len(p.tokens)
                     most = (9 * (n - np.arange(k) + p.matches - 1)) // 4 - n
-                    for c, x in zip(cols, (p.tokens.view(np.int64), np.full(k, set_id(s)), np.full(k, n), np.full(k, p.matches), most)):
+                    sid = set_id(s)
+                    salt = np.where(shared.value[(p.tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >= HOT_LEVEL, sid % SALTS, -1)
+                    for c, x in zip(cols, (p.tokens.view(np.int64), salt, np.full(k, sid), np.full(k, n), np.full(k, p.matches), most)):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind.to_pandas_dtype()), kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, salt int, sid long, n int, m int, most int")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, sid long, n int, m int, most int")
+def meeting(filed: DataFrame) -> DataFrame:
+    """Postings that meet another set of a size that can link: one shuffle, then a running look along
+    each token's sets in order of size. Postings of frequent tokens all stay, whichever part they are
+    dealt to, and so does each set once a token."""
+    part = Window.partitionBy("token", "salt").orderBy("n", "sid")
+    once = filed.withColumn("before", F.lag("sid").over(part)).where("before is null or before <> sid").drop("before")
+    # the next larger set is within reach, or one as large or smaller reaches up to this one
+    up = F.lead("n").over(part) <= F.col("most")
+    down = F.max("most").over(part.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")
+    return once.withColumn("meets", F.coalesce(up, F.lit(False)) | F.coalesce(down, F.lit(False)) | (F.col("salt") >= 0)).where("meets").drop("meets", "salt")
+
+
+def beside(pairs: DataFrame, stored: DataFrame, column: str) -> DataFrame:
+    """a, b and the column's values x, y of both."""
+    named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    used = stored.select("sid", column).join(named, "sid", "left_semi").dropDuplicates(["sid"])
+    left = pairs.join(used.select(F.col("sid").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(used.select(F.col("sid").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
 
 def verified(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Those (a, b) whose sets link, by the exact rule."""
+    """Those (a, b) whose sets link, by the exact rule. Sketches, a tenth of the sets' size, first part
+    off the pairs that can't; only for the rest do the sets themselves travel."""
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                good.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(x) + len(y)))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+    def filtered(keep) -> Callable[[Batches], Batches]:
+        def run(batches: Batches) -> Batches:
+            for batch in batches:
+                good = [keep(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        return run
 
-    left = pairs.join(stored.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(stored.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def linked(x: bytes, y: bytes) -> bool:
+        both = np.concatenate([unpacked(x), unpacked(y)])
+        both.sort()
+        return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
+
+    possible = written(beside(pairs, stored, "sketch").mapInArrow(filtered(lambda x, y: x is None or y is None or may_link(x, y)), "a long, b long"), "possible")
+    return beside(possible, stored, "hashes").mapInArrow(filtered(linked), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -222,18 +312,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(sets(docs), "sets")
-    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "sid", "tkey")
+    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
     named = docs.where(F.col("doc_id").isNotNull())
-    filed = postings(named, frequency_levels(found)).withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int"))
-    stats = filed.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("other"), F.min("n").alias("least")).where("one < other").select("token", "least")
-    # a bucket of one set is no meeting; a posting whose partners must be smaller than any there meets none
-    active = written(filed.join(stats, "token").where("most >= least").select("token", "band", "sid", "n", "m", "most").distinct(), "active")
+    filed = meeting(postings(named, frequency_levels(found)))
+    active = written(filed.withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int")), "active")
     stored = written(set_table(named, members, active.select("sid").distinct()), "stored")
 
     fits = lambda x, y: (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
     hubs = active.groupBy("token", "band").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("slack"), (-F.col("sid")).alias("minus"), "n", "most")).alias("h")).select("token", "band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("n"), F.col("h.most").alias("most"))
     star = active.alias("x").join(hubs.alias("y"), ["token", "band"]).where((F.col("sid") != F.col("hub")) & fits("x", "y")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
-    first = written(verified(star, stored), "links")
+    first = written(verified(written(star, "star"), stored), "links")
     comp = components(first)
 
     label = active.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -241,7 +329,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = written(label.join(apart, "token").select("token", "sid", "n", "m", "most", "comp"), "open")
     met = open_.alias("x").join(open_.alias("y"), "token").where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y"))
     pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
-    links = first.union(verified(pairs, stored))
+    links = first.union(verified(written(pairs, "pairs"), stored))
     final = components(links)
     own = members.join(final, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -250,23 +338,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, hashes: each wanted set once, sorted, as little-endian uint64.
+    """sid, hashes, sketch: each wanted set, sorted and packed.
 
-    The texts don't travel: one text stands for each set, a filter of fixed size tells the scan which
-    texts may be meant, and a join then leaves exactly the wanted sets."""
-    keys = members.where(F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("tkey").alias("tkey")).join(wanted, "sid", "left_semi")
+    Neither texts nor sets travel: the document with the least id stands for its set, and a filter of
+    fixed size tells the scan which documents are meant. The few that it lets by in error, or rows that
+    repeat an id, only make a set stand here twice, or without need."""
+    keys = members.where(F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
+    bits = len(shared.value)
 
     def run(batches: Batches) -> Batches:
-        seen = Seen()
-        mask = len(shared.value) - 1
         for batch in batches:
-            whole = texts(batch)
-            for at in range(0, len(whole), 500):
-                meant = [s for t in whole[at : at + 500] if shared.value[(k := text_key(t)) & mask] and seen.new(k) and len(s := shingles(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in meant], pa.int64()), pa.array([s.tobytes() for s in meant], pa.binary())], ["sid", "hashes"])
+            meant = shared.value[batch.column(2).to_numpy()]
+            batch = batch.filter(pa.array(meant))
+            for at in range(0, batch.num_rows, 500):
+                own = [s for t in texts(batch.slice(at, 500)) if len(s := shingles(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in own], pa.int64()), pa.array([packed(s) for s in own], pa.binary()), pa.array([sketch(s) for s in own], pa.binary())], ["sid", "hashes", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid long, hashes binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).mapInArrow(run, "sid long, hashes binary, sketch binary")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
