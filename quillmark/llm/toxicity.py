@@ -164,8 +164,12 @@ class Model(NamedTuple):
     coef: np.ndarray
 
 
+#: A text's figures: its three heaviest words, the mean of the ten heaviest, how many weigh much.
+FIGURES, MUCH = 5, 1.2
+
+
 class Scorer:
-    """Evidence of a text: the weights of its three most telling words, weighed by logistic regression."""
+    """Evidence of a text, weighed by logistic regression: the weights of its most telling words."""
 
     def __init__(self, model: Model):
         self.model, self.restore, self.known = model, Restorer(model.lm), {}
@@ -173,14 +177,17 @@ class Scorer:
     def evidence(self, text: str) -> list[float]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        top = [0.0, 0.0, 0.0]
-        for w in self.restore.words(text):
+        found = []
+        words = self.restore.words(text)
+        for w in words:
             x = self.known.get(w)
             if x is None:
                 x = self.known[w] = max(float(self.model.weight[f]) for f in features(w))
-            if x > top[0]:
-                top = sorted([x, *top[1:]])
-        return top[::-1]
+            if x > 0:
+                found.append(x)
+        top = [*sorted(found, reverse=True)[:10], *[0.0] * 10][:10]
+        much = sum(1 for x in found if x > MUCH)
+        return [*top[:3], sum(top) / 10, float(np.sqrt(much / np.sqrt(len(words) + 20)))]
 
     def __call__(self, text: str) -> float:
         z = self.model.coef[0] + float(np.dot(self.model.coef[1:], self.evidence(text)))
@@ -201,7 +208,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 10
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior: float = 10.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior: float = 25.0) -> Model:
     """Learn from rows whose fold (crc32 of the id, mod 3) isn't 1, and from nothing else.
 
     The character model counts all of these texts. Word weights and their calibration come from at
@@ -230,17 +237,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior:
         n[r.toxic, r.feature] = r.n  # -1, the last, counts rows
     share = (n[:, -1] + 1) / (n[:, -1].sum() + 2)
     weight = np.log((n[1, :-1] + prior * share[1]) / (n[1, -1] + 1)) - np.log((n[0, :-1] + prior * share[0]) / (n[0, -1] + 1)) - np.log(share[1] / (n[1, -1] + 1)) + np.log(share[0] / (n[0, -1] + 1))
-    part = spark.sparkContext.broadcast(Model(lm, weight.astype(np.float32), np.zeros(4)))
+    part = spark.sparkContext.broadcast(Model(lm, weight.astype(np.float32), np.zeros(1 + FIGURES)))
 
     def measure(batches: Batches) -> Batches:
         scorer = Scorer(part.value)
         for batch in batches:
-            x = np.array([scorer.evidence(t) for t in texts(batch, 0)], dtype=np.float64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], ["a", "b", "c", "toxic"])
+            x = np.array([scorer.evidence(t) for t in texts(batch, 0)], dtype=np.float64).reshape(-1, FIGURES)
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    got = seen.where("not first").select("text", "toxic").mapInArrow(measure, "a double, b double, c double, toxic int").collect()
-    rows = np.array(sorted((r.a, r.b, r.c, r.toxic) for r in got), dtype=float).reshape(-1, 4)
-    return Model(lm, weight.astype(np.float32), logistic(rows[:, :3], rows[:, 3]) if len(rows) else np.array([-2.0, 0.5, 0.0, 0.0]))
+    got = seen.where("not first").select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
+    rows = np.array(sorted((*r.x, r.toxic) for r in got), dtype=float).reshape(-1, FIGURES + 1)
+    return Model(lm, weight.astype(np.float32), logistic(rows[:, :FIGURES], rows[:, FIGURES]) if len(rows) else np.array([-2.0, 0.5, *[0.0] * (FIGURES - 1)]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
