@@ -231,6 +231,8 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     if not seen.new(text_key(t)):
                         continue
                     s = shingles(t)
+                    if not len(s):
+                        continue
                     p = prefix(s, shared.value)
                     n, k = len(s), len(p.tokens)
                     most = (9 * (n - np.arange(k) + p.matches - 1)) // 4 - n

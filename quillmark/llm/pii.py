@@ -32,7 +32,7 @@ PATTERNS = [
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.+])\d(?:[ -]?\d){12,18}(?![\d])"),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w])|(?<![\w.])\+\d{9,15}(?!\w)"),
+    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?![\w])|(?<![\w.])\+\d{9,15}(?!\w)"),
     ("name", r"(?<!\w)(?:" + "|".join(HONORIFICS) + r")\.? (?P<surname>[^\W\d_][\w'-]+)(?!\w)|(?<!\w)(?:" + "|".join(n for names in NAMES.values() for n in names) + r")(?: [A-ZÀ-ÞА-ЯЁ][\w'-]+)?(?!\w)"),
 ]
 FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS]
