@@ -57,3 +57,11 @@ def summed(df: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 Batches = Iterator[pa.RecordBatch]
+
+
+def small(batches: Batches, rows: int = 256) -> Batches:
+    """The same rows in batches of at most `rows`, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, bounded_sample, fold, texts
+from quillmark.llm.common import bounded_sample, fold, small, texts, Batches
 
 BUCKET_BITS = 16
 GRAMS = (2, 3, 4)
@@ -105,7 +105,7 @@ def train(docs: DataFrame, sample_rows: int = 6000) -> Model:
     rows = docs.select("doc_id", "text", "lang").where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for lang, t in zip(batch.column(2).to_pylist(), texts(batch)):
                 if has_letter(t):
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 rows of one float a language
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             got = [shared.value(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[1] >= shared.value.reject_below and g[0] != "und" for g in got], pa.bool_())],

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.llm.common import small
+
 MOST = 3  # times that a source's words may be taken
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -182,7 +184,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, shards: int = 64, seed: in
     read = each.select(*names, F.array_sort(F.expr("filter(_spans, s -> s.times >= _k)")).alias("_spans"), "_z")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             new = []
             for t, spans, size in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):

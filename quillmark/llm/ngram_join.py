@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import Batches, texts, written
+from quillmark.llm.common import Batches, small, texts, written
 
 NGRAM = 5
 #: Links: 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
@@ -122,7 +122,7 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-        for batch in batches:
+        for batch in small(batches, 2000):
             n, sid, met, held = [], [], [], 0
             for t in texts(batch):
                 s = shingles(t)
@@ -223,7 +223,7 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         seen = Seen()
-        for batch in batches:
+        for batch in small(batches, 500):
             whole = texts(batch)
             for at in range(0, len(whole), 500):
                 cols: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in names]
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
     def filtered(keep) -> Callable[[Batches], Batches]:
         def run(batches: Batches) -> Batches:
-            for batch in batches:
+            for batch in small(batches, 1000):
                 good = [keep(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -350,7 +350,7 @@ def set_table(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFra
     bits = len(shared.value)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches, 2000):
             meant = shared.value[batch.column(2).to_numpy()]
             batch = batch.filter(pa.array(meant))
             for at in range(0, batch.num_rows, 500):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillmark.llm.common import Batches, texts
+from quillmark.llm.common import Batches, small, texts
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 #: Distinct words whose ids a worker remembers before it starts afresh.
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             held, tokens, done = [], 0, done + len(cost)
             return out
 
-        for batch in batches:
+        for batch in small(batches, 1024):
             ids = batch.column(0).to_pylist()
             whole = texts(batch)
             for at in range(0, len(whole), 256):

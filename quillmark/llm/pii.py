@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, texts
+from quillmark.llm.common import small, texts, Batches
 
 #: Common given names by script and gender.
 NAMES = {
@@ -188,7 +188,7 @@ def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:
     alike; an empty table stays empty. The same key gives the same surrogates everywhere."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             new = [t if t is None else replace(t, key)[0] for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
@@ -205,7 +205,7 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, kind, entity, surrogate: one row for each distinct entity of each text."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             rows = [(i, *e) for i, t in zip(batch.column(0).to_pylist(), texts(batch)) for e in replace(t, key)[1]]
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "kind", "entity", "surrogate"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, bounded_sample, texts
+from quillmark.llm.common import bounded_sample, small, texts, Batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -88,7 +88,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
     def run(batches: Batches) -> Batches:
         cost, hits = np.zeros(len(rules)), np.zeros(len(rules), dtype=np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for t in texts(batch):
                 for k, rule in enumerate(rules):
                     began = time.perf_counter()
@@ -112,7 +112,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, metrics: boo
     names = METRICS if metrics else ()
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             seen = [Text(t) for t in texts(batch)]
             kept = [not any(r.rejects(t) for r in ordered) for t in seen]
             cols = [pa.array([getattr(t, n) for t in seen], pa.int64()) for n in names]
@@ -127,7 +127,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None, sample_rows: in
     ordered = order_rules(docs, rules or RULES, sample_rows)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array([not any(r.rejects(x) for r in ordered) for x in map(Text, texts(batch, at))], pa.bool_()))
 

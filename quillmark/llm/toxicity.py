@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, bounded_sample, fold, texts
+from quillmark.llm.common import bounded_sample, fold, small, texts, Batches
 
 #: What a written sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -39,7 +39,7 @@ def lm_counts(docs: DataFrame) -> DataFrame:
         kind = np.full(256, 27, dtype=np.int64)
         kind[ord("a") : ord("z") + 1] = np.arange(1, 27)
         kind[[*b" \t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", *b"0123456789"]] = 0
-        for batch in batches:
+        for batch in small(batches):
             for t in texts(batch, 0):
                 # letters beyond a-z become one byte each
                 b = kind[np.frombuffer(b" " + t.lower().encode("latin-1", "replace").replace(b"?", b" ") + b" ", dtype=np.uint8)]
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior:
     def count(batches: Batches) -> Batches:
         restore, sums = Restorer(shared.value), np.zeros((2, 1 << FEATURE_BITS), dtype=np.int64)
         rows = np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for t, y in zip(texts(batch, 0), batch.column(1).to_pylist()):
                 sums[y, list({f for w in restore.words(t) for f in features(w)})] += 1
                 rows[y] += 1
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior:
 
     def measure(batches: Batches) -> Batches:
         scorer = Scorer(part.value)
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([scorer.evidence(t) for t in texts(batch, 0)], dtype=np.float64).reshape(-1, FIGURES)
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             s = [scorer(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "score", "predicted"])
 
