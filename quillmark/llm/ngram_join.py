@@ -137,11 +137,11 @@ def sets(docs: DataFrame) -> DataFrame:
                 cells += np.bincount(np.concatenate(met), minlength=len(cells)).astype(np.uint32)
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
-        small = np.minimum(cells, 255).astype(np.uint8)
-        if small.any():
-            k = len(small) // CHUNK
+        few = np.minimum(cells, 255).astype(np.uint8)
+        if few.any():
+            k = len(few) // CHUNK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([small[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([few[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, n long, sid long, chunk int, cells binary")
 
