@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quillmark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder takes its place.
+    Only where that is unset (tests, one machine) a temporary folder takes its place. The setting
+    itself can't be changed in a running session.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
