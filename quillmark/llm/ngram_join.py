@@ -16,7 +16,7 @@ from quillmark.llm.common import Batches, small, texts, written
 
 NGRAM = 5
 #: Links: 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
-CELL_BITS, CHUNK = 21, 1 << 16
+CELL_BITS, CHUNK = 24, 1 << 14
 #: The longest prefixes ask for so many shared tokens.
 MOST_MATCHES = 16
 #: Parts that a frequent token's sets are dealt to.
@@ -117,31 +117,25 @@ class Seen:
 def sets(docs: DataFrame) -> DataFrame:
     """One row a document (doc_id, n, sid) and, apart, each task's counts of hashed shingles.
 
-    The counts are 2^21 cells a task, at most 255 in each, sent in chunks (chunk, cells)."""
+    The counts are 2^24 cells a task, at most 255 in each, sent in packed chunks (chunk, cells)."""
     names = ["doc_id", "n", "sid", "chunk", "cells"]
 
     def run(batches: Batches) -> Batches:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in small(batches, 2000):
-            n, sid, met, held = [], [], [], 0
+            n, sid = [], []
             for t in texts(batch):
                 s = shingles(t)
                 n.append(len(s))
                 sid.append(set_id(s))
-                met.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-                held += len(s)
-                if held > 1 << 20:
-                    cells += np.bincount(np.concatenate(met), minlength=len(cells)).astype(np.uint32)
-                    met, held = [], 0
-            if held:
-                cells += np.bincount(np.concatenate(met), minlength=len(cells)).astype(np.uint32)
+                np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
-        few = np.minimum(cells, 255).astype(np.uint8)
-        if few.any():
-            k = len(few) // CHUNK
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([few[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
+        few = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CHUNK)
+        used = np.flatnonzero(few.any(axis=1))
+        if len(used):
+            none, pack = pa.nulls(len(used), pa.int64()), pa.Codec("zstd")
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int32()), pa.array([pack.compress(few[k].tobytes(), asbytes=True) for k in used], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, n long, sid long, chunk int, cells binary")
 
@@ -150,23 +144,26 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
     """One byte a cell: 0 where the count is what chance brings, then a level for each doubling of what
     goes beyond: a token that stands above the noise of its cell is put last in every prefix.
 
-    Tasks add up chunks as they stream by; 2 MB reach the driver, at any size of the input."""
+    Tasks add up chunks as they stream by; 16 MB reach the driver, at any size of the input."""
+    mean = (found.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
 
     def add(batches: Batches) -> Batches:
         sums: dict[int, np.ndarray] = {}
+        pack = pa.Codec("zstd")
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, dtype=np.uint8).astype(np.int64)
+                cells = np.frombuffer(pack.decompress(x, CHUNK, asbytes=True), dtype=np.uint8)
+                sums.setdefault(c, np.zeros(CHUNK, dtype=np.int64))[:] += cells
         for c, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["chunk", "sums"])
+            excess = (x - mean) / (4 * np.sqrt(mean) + 1)
+            level = np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
 
-    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "cells").repartition(16, "chunk").mapInArrow(add, "chunk int, sums binary")
-    total = np.zeros(1 << CELL_BITS)
+    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, level binary")
+    out = np.zeros(1 << CELL_BITS, dtype=np.uint8)
     for r in parts.toLocalIterator():
-        total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, "<i8")
-    mean = total.mean()
-    excess = (total - mean) / (4 * np.sqrt(mean) + 1)
-    return np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.level, np.uint8)
+    return out
 
 
 class Prefix(NamedTuple):
