@@ -126,8 +126,10 @@ def word_counts(docs: DataFrame, kinds: Classes, held: int = 400_000) -> DataFra
     return docs.select("text").mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-#: What the bits of a byte that are known so far (with a leading 1) do to a slot.
-NODE = np.random.default_rng(11).integers(0, 1 << 62, 256, dtype=np.int64)
+#: What the bits of a byte that are known so far (with a leading 1) do to a context's key.
+NODE = np.random.default_rng(11).integers(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
+#: The word so far is looked up by key while it has so few bytes; from there on among the words that start alike.
+SHALLOW = 4
 
 
 class Bits(NamedTuple):
@@ -135,20 +137,20 @@ class Bits(NamedTuple):
 
     owner: np.ndarray  # the word of each byte
     byte: np.ndarray
-    slots: list[np.ndarray]  # by predictor: the slot of each byte's context before a bit is known
-    table_bits: int
+    deep: np.ndarray  # the bytes that stand behind SHALLOW others or more
+    keys: list[np.ndarray]  # by predictor: each byte's context before a bit is known, in 64 bits
 
     def steps(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """For each bit of the bytes, the highest first: the predictors' slots, and the bit."""
-        node, mask = np.ones(len(self.byte), dtype=np.int64), (1 << self.table_bits) - 1
+        """For each bit of the bytes, the highest first: the predictors' contexts, and the bit."""
+        node = np.ones(len(self.byte), dtype=np.int64)
         for k in range(7, -1, -1):
             bit = (self.byte >> k) & 1
-            turn = NODE[node] & mask
-            yield [s ^ turn for s in self.slots], bit
+            turn = NODE[node]
+            yield [s ^ turn for s in self.keys], bit
             node = node * 2 + bit
 
 
-def bits_of(words: list[bytes], kinds: list[int], table_bits: int) -> Bits:
+def bits_of(words: list[bytes], kinds: list[int]) -> Bits:
     b = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     owner = np.repeat(np.arange(len(words)), size)
@@ -171,78 +173,225 @@ def bits_of(words: list[bytes], kinds: list[int], table_bits: int) -> Bits:
     run = np.cumsum(term) - term
     contexts[0] = (run - run[start]) ^ np.uint64(0xA5A5A5A5)
     kind = (np.array(kinds, dtype=np.uint64)[owner] + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
-    mask, slots = np.uint64((1 << table_bits) - 1), []
-    for i, (order, by_class) in enumerate(ORDERS):
+    keys = []
+    for order, by_class in ORDERS:
         x = (contexts[order] + kind if by_class else contexts[order]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        slots.append((((x >> np.uint64(37)) & mask) | np.uint64(i << table_bits)).astype(np.int64))
-    return Bits(owner, b.astype(np.int64), slots, table_bits)
+        keys.append(x ^ (x >> np.uint64(32)))
+    return Bits(owner, b.astype(np.int64), at >= SHALLOW, keys)
 
 
-def bit_counts(counts: DataFrame, table_bits: int) -> DataFrame:
-    """slot long, n0 double, n1 double: how often each hashed context saw each bit, over all words."""
+#: Words of a bucket, on average; those that start with the same SHALLOW bytes share one.
+BUCKET = 20_000
+
+
+def parts_for(df: DataFrame, buckets: int) -> int:
+    return min(buckets, max(buckets // 4, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def gathered(words: DataFrame, buckets: int, name: str, columns: list[str]) -> DataFrame:
+    """bucket int, and the list of the bucket's rows: all words that start alike stand in one row."""
+    placed = words.select(F.pmod(F.xxhash64(F.substring("word", 1, SHALLOW)), F.lit(buckets)).cast("int").alias("bucket"), *columns)
+    return placed.repartition(parts_for(words, buckets), "bucket").groupBy("bucket").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def members(column: pa.Array, k: int) -> list[list]:
+    """By column, what the k-th bucket's list holds."""
+    return [x.to_pylist() for x in column[k].values.flatten()] if column[k].is_valid else []
+
+
+def parted(words: list[bytes]) -> Iterator[list[int]]:
+    """Places of the words, by parts of a bucket or more that share no start with one another."""
+    order, part, last = sorted(range(len(words)), key=words.__getitem__), [], b""
+    for i in order:
+        if len(part) >= BUCKET and words[i][:SHALLOW] != last:
+            yield part
+            part = []
+        part.append(i)
+        last = words[i][:SHALLOW]
+    if part:
+        yield part
+
+
+def context_counts(buckets: DataFrame, held: int = 4_000_000) -> DataFrame:
+    """predictor int, key long, n0 double, n1 double: how often each context that is looked up by key saw
+    each bit, over all words. Tasks add up at most some `held` contexts before they hand them on."""
 
     def run(batches: Batches) -> Batches:
-        size = len(ORDERS) << table_bits
-        sums = np.zeros((2, size))
-        flat = sums.reshape(-1)
+        waiting: list[list[np.ndarray]] = [[] for _ in ORDERS]
+
+        def add_up(i: int) -> None:
+            x = np.concatenate(waiting[i])
+            keys, at = np.unique(x["key"], return_inverse=True)
+            out = np.zeros(len(keys), dtype=x.dtype)
+            out["key"], out["n0"], out["n1"] = keys, np.bincount(at, x["n0"], len(keys)), np.bincount(at, x["n1"], len(keys))
+            waiting[i] = [out]
+
+        def out() -> Batches:
+            for i, own in enumerate(waiting):
+                if own:
+                    add_up(i)
+                    x = waiting[i][0]
+                    for k in range(0, len(x), 100_000):
+                        y = x[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(y), pa.int32()), pa.array(y["key"].view(np.int64)), pa.array(y["n0"].copy()), pa.array(y["n1"].copy())], ["predictor", "key", "n0", "n1"])
+                own.clear()
+                waiting[i] = []
+
         for batch in batches:
-            words, kinds, n = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=np.float64)
-            for i in range(0, len(words), 20_000):
-                some = bits_of(words[i : i + 20_000], kinds[i : i + 20_000], table_bits)
-                weight = n[i : i + 20_000][some.owner]
-                turns = list(some.steps())
-                for k in range(len(ORDERS)):  # one predictor at a time, whose part of the table stays near
-                    for slots, bit in turns:
-                        np.add.at(flat, bit * size + slots[k], weight)
-        at = np.flatnonzero(sums[0] + sums[1])
-        for i in range(0, len(at), 100_000):
-            k = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(sums[0][k]), pa.array(sums[1][k])], ["slot", "n0", "n1"])
-
-    return counts.select("word", "class", "n").mapInArrow(run, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+            for row in range(batch.num_rows):
+                words, kinds, n = members(batch.column(0), row)
+                for at in range(0, len(words), BUCKET):
+                    some = bits_of(words[at : at + BUCKET], kinds[at : at + BUCKET])
+                    weight = np.array(n[at : at + BUCKET], dtype=np.float64)[some.owner]
+                    for keys, bit in some.steps():
+                        for i, (order, _) in enumerate(ORDERS):
+                            near = ~some.deep if not order else slice(None)
+                            x = np.zeros(len(keys[i][near]), dtype=[("key", np.uint64), ("n0", np.float64), ("n1", np.float64)])
+                            x["key"], x["n0"], x["n1"] = keys[i][near], (weight * (1 - bit))[near], (weight * bit)[near]
+                            waiting[i].append(x)
+                    for i in range(len(ORDERS)):
+                        add_up(i)
+                if sum(len(x[0]) for x in waiting if x) > held:
+                    yield from out()
+        yield from out()
+
+    found = buckets.select("words").mapInArrow(run, "predictor int, key long, n0 double, n1 double")
+    return found.groupBy("predictor", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 class Model(NamedTuple):
-    """What is small of the model; the bit counts, [2, slots], are broadcast once beside it."""
+    """What is small of the model; the bit counts are broadcast once beside it."""
 
-    table_bits: int
+    table_bits: tuple[int, ...]  # by predictor: its part of the table has 2^bits slots
     weights: np.ndarray  # [gate, predictor, level]
     refine: np.ndarray  # [gate, bin]: probability of a 1 where the mixer said about this
 
 
-def start_model(table_bits: int) -> Model:
+def start_model(table_bits: int | tuple[int, ...]) -> Model:
     weights = np.zeros((LEVELS, len(ORDERS), LEVELS))
     weights += 0.3
     centers = 1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, BINS)))
-    return Model(table_bits, weights, np.tile(centers, (LEVELS, 1)))
+    return Model((table_bits,) * len(ORDERS) if isinstance(table_bits, int) else table_bits, weights, np.tile(centers, (LEVELS, 1)))
 
 
-#: A slot's stretched prediction and level in one number: the level in the lowest bits.
+#: A context's stretched prediction and level in one number: the level in the lowest bits.
 LEVEL_BITS, FINE = 4, 4096
 
 
+def encoded(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    stretch = np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -CLIP, CLIP)
+    level = np.minimum(np.log2(n0 + n1 + 1).astype(np.int32), LEVELS - 1)
+    return (np.rint(stretch * FINE).astype(np.int32) << LEVEL_BITS) | level
+
+
+class Table(NamedTuple):
+    """The contexts that are looked up by key, as they are broadcast: slots, counts and checks of those seen."""
+
+    slot: np.ndarray
+    counts: np.ndarray  # [bit, context]
+    check: np.ndarray
+    size: int
+
+
 class Lookup(NamedTuple):
-    """By slot: prediction and level. `less`: those with one sighting of a bit taken out of the counts,
-    as for a word that the counts have not met; first for bit 0, then 1."""
+    """By context: prediction and level. `less`: those with one sighting of a bit taken out of the counts,
+    as for a word that the counts have not met; first for bit 0, then 1. `check`: whose it is, so that a
+    context that found its slot taken counts as unseen. `index`: by slot, the context, 0 for none."""
 
     full: np.ndarray
     less: np.ndarray
+    check: np.ndarray | None = None
+    index: np.ndarray | None = None
 
 
 def looked_up(counts: np.ndarray) -> Lookup:
-    def both(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        stretch = np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -CLIP, CLIP)
-        level = np.minimum(np.log2(n0 + n1 + 1).astype(np.int32), LEVELS - 1)
-        return (np.rint(stretch * FINE).astype(np.int32) << LEVEL_BITS) | level
-
     n0, n1 = counts[0], counts[1]
-    return Lookup(both(n0, n1), np.concatenate([both(np.maximum(n0 - 1, 0), n1), both(n0, np.maximum(n1 - 1, 0))]))
-
-
-def inputs(known: Lookup, slots: list[np.ndarray], bit: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each predictor's stretched predictions and levels; with `bit`, those that haven't met it here."""
-    table, shift = (known.full, 0) if bit is None else (known.less, bit * len(known.full))
-    got = [table[s + shift] for s in slots]
+    return Lookup(encoded(n0, n1), np.concatenate([encoded(np.maximum(n0 - 1, 0), n1), encoded(n0, np.maximum(n1 - 1, 0))]))
+
+
+def opened(table: Table) -> Lookup:
+    index = np.zeros(table.size, dtype=np.int32)
+    index[table.slot] = np.arange(1, len(table.slot) + 1)
+    known = looked_up(np.pad(table.counts, ((0, 0), (1, 0))))
+    return known._replace(check=np.pad(table.check, (1, 0)), index=index)
+
+
+def slots_of(keys: np.ndarray, predictor: int, table_bits: tuple[int, ...]) -> np.ndarray:
+    return (keys & np.uint64((1 << table_bits[predictor]) - 1)).astype(np.int64) + sum(1 << b for b in table_bits[:predictor])
+
+
+def checks_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
+def sized(counts: DataFrame) -> tuple[tuple[int, ...], Table]:
+    """Of `context_counts`: bits by predictor, and the table. There are four slots or more for each context
+    counted; of those that share a slot the one seen more often has it."""
+    counts = written(counts, "contexts")
+    n = {r.predictor: r["count"] for r in counts.groupBy("predictor").count().collect()}
+    table_bits = tuple(max(8, (4 * n.get(i, 0) - 1).bit_length()) for i in range(len(ORDERS)))
+    slots, tables, checks = [], [], []
+    for i in range(len(ORDERS)):
+        got = counts.where(F.col("predictor") == i).select("key", "n0", "n1").toArrow()
+        key, n0, n1 = got["key"].to_numpy().view(np.uint64), got["n0"].to_numpy(), got["n1"].to_numpy()
+        order = np.lexsort((key, -(n0 + n1)))
+        at, first = np.unique(slots_of(key[order], i, table_bits), return_index=True)
+        own = order[first]
+        slots.append(at)
+        tables.append(np.stack([n0[own], n1[own]]).astype(np.float32))
+        checks.append(checks_of(key[own]))
+    return table_bits, Table(np.concatenate(slots).astype(np.uint32), np.concatenate(tables, axis=1), np.concatenate(checks), sum(1 << b for b in table_bits))
+
+
+def counts_among(context: np.ndarray, byte: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of the bytes, the highest first: how often (by weight) the byte's context and higher
+    bits were followed by 0 and by 1 among all given bytes. Exact: equal ones stand together when sorted."""
+    _, at = np.unique(context, return_inverse=True)
+    key = at * 256 + byte
+    order = np.argsort(key, kind="stable")
+    key, w, out = key[order], weight[order], []
+    for k in range(7, -1, -1):
+        node = key >> (k + 1)
+        first = np.concatenate([[True], node[1:] != node[:-1]])
+        run = np.cumsum(first) - 1
+        ones = np.bincount(run, w * ((key >> k) & 1))[run]
+        all_ = np.bincount(run, w)[run]
+        n0, n1 = np.empty_like(w), np.empty_like(w)
+        n0[order], n1[order] = all_ - ones, ones
+        out.append((n0, n1))
+    return out
+
+
+def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: np.ndarray, unmet: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """For each bit: what each predictor has of it, as `encoded`, and the bit. `weight`: how often the
+    counts have met each byte's word. `unmet`: with one sighting of the bit taken out."""
+    deep = np.flatnonzero(some.deep)
+    near = np.flatnonzero(~some.deep)
+    among = {i: counts_among(some.keys[i][deep], some.byte[deep], weight[deep]) for i, (order, _) in enumerate(ORDERS) if not order and len(deep)}
+    for step, (keys, bit) in enumerate(some.steps()):
+        got = []
+        for i, (order, _) in enumerate(ORDERS):
+            part = slice(None) if order else near
+            at = slots_of(keys[i][part], i, table_bits)
+            if known.index is not None:
+                at = known.index[at]
+            x = known.less[at + bit[part] * len(known.full)] if unmet else known.full[at]
+            if known.check is not None:
+                x[known.check[at] != checks_of(keys[i][part])] = 0
+            if not order:
+                whole = np.zeros(len(bit), dtype=np.int32)
+                whole[near] = x
+                if len(deep):
+                    n0, n1 = among[i][step]
+                    b = bit[deep]
+                    whole[deep] = encoded(np.maximum(n0 - (1 - b), 0), np.maximum(n1 - b, 0)) if unmet else encoded(n0, n1)
+                x = whole
+            got.append(x)
+        yield got, bit
+
+
+def inputs(got: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each predictor's stretched predictions and levels."""
     return [(x >> LEVEL_BITS) * (1 / FINE) for x in got], [x & ((1 << LEVEL_BITS) - 1) for x in got]
 
 
@@ -275,42 +424,49 @@ def final_logs(model: Model) -> np.ndarray:
     return np.log10(np.stack([1 - p, p]))
 
 
-def learn(counts: DataFrame, table: Broadcast, model: Model, rate: float = 0.3) -> Model:
-    """One online pass of every task over its words, mini-batch by mini-batch in stored order, each
+def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3) -> Model:
+    """One online pass of every task over its words, mini-batch by mini-batch in a drawn order, each
     weight stepping by its error over the curvature met lately; the tasks' weights are averaged by how
     many bytes they saw. Then the refinement counts what comes of the mixer's outputs, likewise over all
     words. A word counts as often as it was met, each time as if it were one more, unseen, sighting."""
     table_bits, n_weights, n_refine = model.table_bits, model.weights.size, model.refine.size
 
     def turns_of(batches: Batches):
+        known = opened(table.value)
         for batch in batches:
-            words, kinds, times = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=np.float64)
-            for i in range(0, len(words), 2000):
-                some = bits_of(words[i : i + 2000], kinds[i : i + 2000], table_bits)
-                n = times[i : i + 2000][some.owner]
-                for slots, bit in some.steps():
-                    yield slots, bit, n
+            for row in range(batch.num_rows):
+                words, kinds, times = members(batch.column(0), row)
+                for part in parted(words):
+                    part = np.random.default_rng(len(part)).permutation(part).tolist()
+                    some = bits_of([words[i] for i in part], [kinds[i] for i in part])
+                    n = np.array([times[i] for i in part], dtype=np.float64)[some.owner]
+                    turns = list(steps_with(known, table_bits, some, n, True))
+                    edge = np.searchsorted(some.owner, np.arange(0, len(part) + 2000, 2000))
+                    for x, y in zip(edge[:-1], edge[1:]):
+                        for got, bit in turns:
+                            yield [g[x:y] for g in got], bit[x:y], n[x:y]
 
     def weights(batches: Batches) -> Batches:
-        known, own, seen = looked_up(table.value), model.weights.reshape(-1).copy(), 0.0
+        own, seen = model.weights.reshape(-1).copy(), 0.0
         curve = np.full(n_weights, 50.0)
-        for slots, bit, n in turns_of(batches):
-            st, level = inputs(known, slots, bit)
+        for got, bit, n in turns_of(batches):
+            st, level = inputs(got)
             keys = weight_keys(level)
             p = 1 / (1 + np.exp(-mixed(own, st, keys)))
             error, bend = (bit - p) * n, p * (1 - p) * n
             curve *= 0.995
+            bend *= sum(map(np.abs, st))  # predictors that agree move together: their steps are bounded jointly
             for key, x in zip(keys, st):
                 grad = np.bincount(key, x * error, minlength=n_weights)
-                curve += np.bincount(key, x * x * bend, minlength=n_weights)
+                curve += np.bincount(key, np.abs(x) * bend, minlength=n_weights)
                 own += rate * grad / (curve + 50)
             seen += len(n) / 8
         yield pa.RecordBatch.from_arrays([pa.array(range(n_weights), pa.int32()), pa.array(own * seen), pa.array([seen] * n_weights)], ["k", "x", "y"])
 
     def refinement(batches: Batches) -> Batches:
-        known, ones, all_ = looked_up(table.value), np.zeros(n_refine), np.zeros(n_refine)
-        for slots, bit, n in turns_of(batches):
-            st, level = inputs(known, slots, bit)
+        ones, all_ = np.zeros(n_refine), np.zeros(n_refine)
+        for got, bit, n in turns_of(batches):
+            st, level = inputs(got)
             z = mixed(fitted, st, weight_keys(level))
             key = level[-1] * BINS + np.rint((z + CLIP) * ((BINS - 1) / (2 * CLIP))).astype(np.int64)
             ones += np.bincount(key, n * bit, minlength=n_refine)
@@ -318,7 +474,7 @@ def learn(counts: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
         yield pa.RecordBatch.from_arrays([pa.array(range(n_refine), pa.int32()), pa.array(ones), pa.array(all_)], ["k", "x", "y"])
 
     def total(f) -> dict[int, tuple[float, float]]:
-        rows = counts.select("word", "class", "n").mapInArrow(f, "k int, x double, y double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
+        rows = buckets.select("words").mapInArrow(f, "k int, x double, y double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
         return {r.k: (r.x, r.y) for r in rows}
 
     fitted, refine = model.weights.reshape(-1).copy(), model.refine.reshape(-1).copy()
@@ -331,54 +487,81 @@ def learn(counts: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
 
 
 class Speaker:
-    """The model with its lookups made, as tasks use it."""
+    """The model with its lookups, as tasks use it."""
 
-    def __init__(self, model: Model, counts: np.ndarray):
-        self.model, self.known, self.weights = model, looked_up(counts), model.weights.reshape(-1)
+    def __init__(self, model: Model, known: Table | np.ndarray):
+        self.model, self.known, self.weights = model, opened(known) if isinstance(known, Table) else looked_up(known), model.weights.reshape(-1)
         self.logs = final_logs(model).reshape(-1)
 
-    def log10_words(self, words: list[bytes], kinds: list[int]) -> np.ndarray:
-        """log10 probability of each word with its closing blank, in a text of the given class."""
-        out = np.zeros(len(words))
-        for i in range(0, len(words), 4000):
-            some = bits_of(words[i : i + 4000], kinds[i : i + 4000], self.model.table_bits)
-            total = np.zeros(len(some.owner))
-            wide = int(2 * CLIP * STEPS) + 1
-            for slots, bit in some.steps():
-                st, level = inputs(self.known, slots, None)
+    def log10_words(self, words: list[bytes], kinds: list[int], met: tuple[list[bytes], list[int], list[int]] = ([], [], [])) -> np.ndarray:
+        """log10 probability of each word with its closing blank, in a text of the given class. `met`:
+        words, classes and counts of the training words, all those at least that start as one of them."""
+        out, wide = np.zeros(len(words)), int(2 * CLIP * STEPS) + 1
+        all_words, all_kinds, times = [*words, *met[0]], [*kinds, *met[1]], np.array([*[0] * len(words), *met[2]], dtype=np.float64)
+        for part in parted(all_words):
+            asked = [i for i in part if i < len(words)]
+            if not asked:
+                continue
+            part = asked + [i for i in part if i >= len(words)]
+            some = bits_of([all_words[i] for i in part], [all_kinds[i] for i in part])
+            size = int(np.searchsorted(some.owner, len(asked)))  # the bytes asked for come first
+            total = np.zeros(size)
+            for got, bit in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False):
+                st, level = inputs([g[:size] for g in got])
                 z = mixed(self.weights, st, weight_keys(level))
-                total += self.logs[(bit * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
-            out[i : i + 4000] = np.bincount(some.owner, total, minlength=min(4000, len(words) - i))
+                total += self.logs[(bit[:size] * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
+            out[asked] = np.bincount(some.owner[:size], total, minlength=len(asked))
         return out
 
-    def shared_log10(self, words: list[bytes], kinds: list[int], counts: np.ndarray, train_tokens: int) -> np.ndarray:
-        """The same, averaged with the words' shares of the training tokens."""
-        return np.log10((1 - OWN_SHARE) * 10 ** self.log10_words(words, kinds) + OWN_SHARE * counts / max(1, train_tokens))
-
 
 class Trained(NamedTuple):
     model: Model
     table: Broadcast
     kinds: Classes
     counts: DataFrame
+    buckets: DataFrame
+    n_buckets: int
     train_tokens: int
     distinct: int
 
 
-def train(docs: DataFrame, table_bits: int = 19) -> Trained:
+def train(docs: DataFrame) -> Trained:
     """Counts over all given rows, written to the shared folder, and the model fitted on them.
 
-    What reaches the driver is bounded: a table of 2^table_bits slots for each predictor."""
+    The table of contexts of up to four bytes is sized by how many of them there are, and is what reaches
+    the driver. Contexts of whole words, which grow with the words, stay in buckets of words that start alike."""
     kinds = classes(docs)
     by_class = written(word_counts(docs, kinds), "words")
     counts = written(by_class.groupBy("word").agg(F.sum("n").alias("n")), "totals")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table = np.zeros((2, len(ORDERS) << table_bits), dtype=np.float32)
-    for batch in bit_counts(by_class, table_bits).toArrow().to_batches():
-        at = batch.column(0).to_numpy()
-        table[0, at], table[1, at] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    n_buckets = by_class.count() // BUCKET + 1
+    buckets = written(gathered(by_class, n_buckets, "words", ["word", "class", "n"]), "buckets")
+    table_bits, table = sized(context_counts(buckets))
     shared, model = docs.sparkSession.sparkContext.broadcast(table), start_model(table_bits)
-    return Trained(learn(by_class, shared, model) if n else model, shared, kinds, counts, int(n), int(v))
+    return Trained(learn(buckets, shared, model) if n else model, shared, kinds, counts, buckets, n_buckets, int(n), int(v))
+
+
+def spoken(queries: DataFrame, trained: Trained) -> DataFrame:
+    """word, kind, c (how often met in training), p (log10): the mixer's probability of each given word in a
+    text of the class, averaged with the word's share of the training tokens. Each meets, in its bucket, the
+    training words that start alike."""
+    n, model, table = max(1, trained.train_tokens), trained.model, trained.table
+
+    def run(batches: Batches) -> Batches:
+        speaker = Speaker(model, table.value)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, kinds = members(batch.column(0), row)
+                met = members(batch.column(1), row) or [[], [], []]
+                c: dict[bytes, int] = {}
+                for w, k in zip(met[0], met[2]):
+                    c[w] = c.get(w, 0) + k
+                own = np.fromiter(map(c.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                p = np.log10((1 - OWN_SHARE) * 10 ** speaker.log10_words(words, kinds, met) + OWN_SHARE * own / n)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(own), pa.array(p)], ["word", "kind", "c", "p"])
+
+    asked = gathered(queries, trained.n_buckets, "asked", ["word", "kind"])
+    return asked.join(trained.buckets.repartition(parts_for(queries, trained.n_buckets), "bucket"), "bucket", "left").select("asked", "words").mapInArrow(run, "word binary, kind int, c long, p double")
 
 
 class Common(NamedTuple):
@@ -390,24 +573,15 @@ class Common(NamedTuple):
 
 
 def common_words(trained: Trained, most: int, longest: int) -> Common:
-    n, model, table = trained.train_tokens, trained.model, trained.table
-
-    def run(batches: Batches) -> Batches:
-        speaker = Speaker(model, table.value)
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            p = np.stack([speaker.shared_log10(words, [k] * len(words), c, n) for k in range(CLASSES)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype("<f8").tobytes() for x in p], pa.binary())], ["word", "n", "p"])
-
-    chosen = trained.counts.where(F.length("word") <= longest).orderBy(F.desc("n"), "word").limit(most).repartition(max(1, most // 8192))
-    place, counts, p = {}, [], []
-    for batch in chosen.mapInArrow(run, "word binary, n long, p binary").toArrow().to_batches():
-        for w in batch.column(0).to_pylist():
-            place[w] = len(place)
-        counts.append(batch.column(1).to_numpy())
-        p.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, CLASSES))
-    empty = np.zeros((0, CLASSES))
-    return Common(place, np.log10(np.concatenate([np.zeros(0), *counts]) + 1), np.concatenate([empty, *p]))
+    chosen = trained.counts.where(F.length("word") <= longest).orderBy(F.desc("n"), "word").limit(most)
+    asked = chosen.select("word", F.explode(F.array(*[F.lit(k) for k in range(CLASSES)])).alias("kind"))
+    got = spoken(asked, trained).toArrow()
+    place: dict[bytes, int] = {}
+    at = np.array([place.setdefault(w, len(place)) for w in got["word"].to_pylist()], dtype=np.int64)
+    counts, p = np.zeros(len(place)), np.zeros((len(place), CLASSES))
+    counts[at] = got["c"].to_numpy()
+    p[at, got["kind"].to_numpy()] = got["p"].to_numpy()
+    return Common(place, np.log10(counts + 1), p)
 
 
 def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: int = 64) -> DataFrame:
@@ -417,13 +591,12 @@ def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: i
     which is none for an unknown word.
 
     The `frequent` commonest words of at most `longest` bytes travel to every task with their counts and
-    probabilities (that bounds the broadcast). All other words come by a join, one row for each text and
-    word, and are scored where equal words stand together. A null or empty text is its end alone. Rows
+    probabilities (that bounds the broadcast). All other words are scored once for each class of texts they
+    stand in and come by a join, one row for each text and word. A null or empty text is its end alone. Rows
     are told apart by their place, so repeated rows and null ids each give a row. An empty training set
     gives c = 0 and N = 0.
     """
-    spark, kinds, n_train = docs.sparkSession, trained.kinds, trained.train_tokens
-    model, table = trained.model, trained.table
+    spark, kinds = docs.sparkSession, trained.kinds
     shared = spark.sparkContext.broadcast(common_words(trained, frequent, longest))
     sums = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long"
@@ -443,35 +616,20 @@ def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: i
                     size = int(k @ np.fromiter(map(len, tf), dtype=np.int64, count=len(tf)) + k.sum())
                     hit = place >= 0
                     p, n = place[hit], k[hit]
-                    own.append((row, b" %d" % row, kind, 0, i, int(k.sum()), int(n.sum()), float(n @ common.log_count[p]), float(n @ common.log_p[p, kind] + kinds.log_share[kind] / np.log(10)), size))
+                    own.append((row, b"", kind, 0, i, int(k.sum()), int(n.sum()), float(n @ common.log_count[p]), float(n @ common.log_p[p, kind] + kinds.log_share[kind] / np.log(10)), size))
                     if not hit.all():
                         rare += [(row, w, kind, tf[w]) for w, h in zip(tf, hit.tolist()) if not h]
-                # a row's own sums meet no word: no token holds a blank
                 cols = list(zip(*own))
                 head = [pa.array([*c, *r], t) for c, r, t in zip(cols, zip(*rare) if rare else [()] * 4, (pa.int64(), pa.binary(), pa.int32(), pa.int64()))]
                 tail = [pa.array([*c, *[None] * len(rare)], t) for c, (_, t) in zip(cols[4:], sums)]
                 yield pa.RecordBatch.from_arrays([*head, *tail], ["row", "word", "kind", "tf", *(n for n, _ in sums)])
 
-    def finish(batches: Batches) -> Batches:
-        speaker = Speaker(model, table.value)
-        for batch in batches:
-            row, word, kind, tf, c = (batch.column(i) for i in range(5))
-            own = tf.to_numpy() == 0
-            known = np.nan_to_num(c.cast(pa.float64()).to_numpy(zero_copy_only=False))
-            place: dict[tuple[bytes, int], int] = {}
-            at = [place.setdefault(key, len(place)) for key in zip(word.filter(pa.array(~own)).to_pylist(), kind.filter(pa.array(~own)).to_pylist())]
-            n, cs = tf.to_numpy()[~own], known[~own]
-            per = np.zeros(len(place))
-            per[at] = cs
-            p = speaker.shared_log10([w for w, _ in place], [k for _, k in place], per, n_train)[at]
-            fill = [np.nan_to_num(batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False)) for i in range(6, 11)]
-            for x, y in zip(fill, (0, np.where(cs > 0, n, 0), n * np.log10(cs + 1), n * p, 0)):
-                x[~own] = y
-            yield pa.RecordBatch.from_arrays([row, batch.column(5), *(pa.array(x.astype(t.to_pandas_dtype()), t) for x, (_, t) in zip(fill, sums[1:]))], ["row", *(n for n, _ in sums)])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema.replace("row long,", "row long, word binary, kind int, tf long,"))
-    joined = found.join(trained.counts.withColumnRenamed("n", "c"), "word", "left")
-    parts = joined.select("row", "word", "kind", "tf", "c", *(n for n, _ in sums)).mapInArrow(finish, schema)
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema.replace("row long,", "row long, word binary, kind int, tf long,")), "found")
+    rare = found.where("tf > 0").select("row", "word", "kind", "tf")
+    tf = F.col("tf")
+    said = rare.join(spoken(rare.select("word", "kind").distinct(), trained), ["word", "kind"])
+    sums_of_rare = said.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, tf).otherwise(0).cast("long").alias("n_known"), (tf * F.log10(F.col("c") + 1)).alias("base"), (tf * F.col("p")).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
+    parts = found.where("tf = 0").select("row", *(n for n, _ in sums)).union(sums_of_rare)
     floor = float(np.log10(trained.train_tokens + trained.distinct + 1))
     return (
         parts.groupBy("row")

@@ -242,6 +242,28 @@ def test_word_probabilities_sum_to_at_most_one():
     assert (10 ** s.log10_words(words, [0] * len(words))).sum() <= 1
 
 
+def test_lm_contexts_grow_with_the_words(spark):
+    rng = np.random.default_rng(3)
+    word = lambda letters: bytes(rng.choice(np.frombuffer(letters, np.uint8), 9))
+    words, bits = sorted({word(b"abcdefghijklm") for _ in range(4000)}), []
+    for some in (words[:100], words):
+        rows = lm_score.gathered(spark.createDataFrame([(bytearray(w), 0, 2) for w in some], "word binary, class int, n long"), 3, "words", ["word", "class", "n"])
+        table_bits, table = lm_score.sized(lm_score.context_counts(rows))
+        bits.append(table_bits)
+    assert sum(1 << b for b in bits[1]) > 4 * sum(1 << b for b in bits[0])
+    known = lm_score.opened(table)
+    level = lambda asked, met, i: [x[i] & 15 for x, _ in lm_score.steps_with(known, table_bits, lm_score.bits_of(asked + met, [0] * len(asked + met)), np.repeat([0.0] * len(asked) + [2.0] * len(met), 10), False)]
+    # what was never met is unseen, however many contexts the table holds: here words of other letters, behind their first byte
+    others = [word(b"nopqrstuvwxyz") for _ in range(500)]
+    for i in range(len(lm_score.ORDERS)):
+        assert all((x[:5000].reshape(500, 10)[:, 1:] == 0).all() for x in level(others, words, i))
+    # the word so far is counted exactly: how many words start alike
+    got = level([], words, 4)[0].reshape(-1, 10)
+    for k in (5, 8):
+        alike = collections.Counter(w[:k] for w in words)
+        assert got[:, k].tolist() == [min(lm_score.LEVELS - 1, int(math.log2(2 * alike[w[:k]] + 1))) for w in words]
+
+
 def test_pii(spark, odd, none):
     key = b"k"
     text = "Mary Jones wrote a.b@c.de, then A.B@c.de; call +49 170 1234567 or +49-170-1234567; card 4111 1111 1111 1111; ip 10.0.0.1; password=hunter2xyz"
