@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -299,6 +299,53 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+class Filed(NamedTuple):
+    members: DataFrame  # doc_id, n, sid
+    active: DataFrame  # postings that meet another set
+    stored: DataFrame  # the sets of those
+
+
+def filed_sets(docs: DataFrame) -> Filed:
+    """Of rows doc_id long, text; each table written."""
+    found = written(sets(docs), "sets")
+    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
+    named = docs.where(F.col("doc_id").isNotNull())
+    filed = meeting(postings(named, frequency_levels(found)))
+    active = written(filed.withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int")), "active")
+    return Filed(members, active, written(set_table(named, members, active.select("sid").distinct()), "stored"))
+
+
+def fits(x: str, y: str) -> Column:
+    return (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
+
+
+class Links(NamedTuple):
+    links: DataFrame  # a, b: every two distinct sets that link, a < b
+    members: DataFrame  # doc_id, sid, n_links: each document's set, and how many other documents it links to
+
+
+def links(docs: DataFrame, wide: int = 1000) -> Links:
+    """The whole join: every link between distinct sets, whether or not others connect its ends.
+
+    Sets of a token that more than `wide` have are compared in SALTS parts. Equal sets link, and are told
+    by membership. Rows without an id or words link nothing; rows that repeat an id and text count once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members, active, stored = filed_sets(docs)
+    many = active.groupBy("token").agg((F.count("*") > wide).alias("many"))
+    dealt = written(active.join(many, "token").select("token", "sid", "n", "m", "most", "many"), "dealt")
+    x = dealt.withColumn("part", F.when(F.col("many"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int"))
+    y = dealt.withColumn("part", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = x.alias("x").join(y.alias("y"), ["token", "part"]).where((F.col("x.sid") < F.col("y.sid")) & fits("x", "y"))
+    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+    found = written(verified(written(pairs, "pairs"), stored), "links")
+    own = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "sid").distinct()
+    size = own.groupBy("sid").agg(F.count("*").alias("size"))
+    both = found.select("a", "b").union(found.select("b", "a"))
+    beyond = both.join(size.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("beyond"))
+    counted = own.join(size.join(beyond, "sid", "left"), "sid")
+    return Links(found, counted.select("doc_id", "sid", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
 
@@ -310,14 +357,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nothing. Rows that repeat an id and text share their result. Works on an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(sets(docs), "sets")
-    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
-    named = docs.where(F.col("doc_id").isNotNull())
-    filed = meeting(postings(named, frequency_levels(found)))
-    active = written(filed.withColumn("band", F.floor(F.log(1.25, F.col("n"))).cast("int")), "active")
-    stored = written(set_table(named, members, active.select("sid").distinct()), "stored")
+    members, active, stored = filed_sets(docs)
 
-    fits = lambda x, y: (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
     hubs = active.groupBy("token", "band").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("slack"), (-F.col("sid")).alias("minus"), "n", "most")).alias("h")).select("token", "band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("n"), F.col("h.most").alias("most"))
     star = active.alias("x").join(hubs.alias("y"), ["token", "band"]).where((F.col("sid") != F.col("hub")) & fits("x", "y")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
     first = written(verified(written(star, "star"), stored), "links")

@@ -210,6 +210,24 @@ def test_join_brute_force(spark):
     assert got == {i: (len(s[i]), comp[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("wide", [1000, 3])
+def test_join_has_every_link(spark, wide):
+    rng, rows = np.random.default_rng(9), []
+    for g in range(3):
+        start = [f"w{k}" for k in rng.integers(0, 4000, 150)]
+        for _ in range(8):
+            t = list(start)
+            t[int(rng.integers(0, len(t)))] = f"v{len(rows)}"
+            rows.append((len(rows), " ".join(t), "en", "a"))
+    rows += [(len(rows), rows[0][1], "en", "a"), (None, rows[0][1], "en", "a"), (90, "", "en", "a")]
+    s = {i: sets_of(t) for i, t, *_ in rows if i is not None and t}
+    near = {(i, j) for i in s for j in s if i != j and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])}
+    got = ngram_join.links(docs(spark, rows), wide)
+    own = {r.doc_id: r for r in got.members.collect()}
+    assert {i: r.n_links for i, r in own.items()} == {i: sum(1 for a, _ in near if a == i) for i in s}
+    assert {(r.a, r.b) for r in got.links.collect()} == {tuple(sorted((own[i].sid, own[j].sid))) for i, j in near if own[i].sid != own[j].sid}
+
+
 def test_words_hash_alike_wherever_they_stand():
     a, b = ngram_join.word_hashes("One two\tthree"), ngram_join.word_hashes("three  x ONE\n")
     assert a[0] == b[2] and a[2] == b[0] and len({*a, *b}) == 4 and len(ngram_join.word_hashes(" \n")) == 0
