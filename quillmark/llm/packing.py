@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+import unicodedata
+from functools import cache
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -10,38 +17,85 @@ from pyspark.sql import DataFrame
 from quillmark.llm.common import Batches, small, texts
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
-#: Distinct words whose ids a worker remembers before it starts afresh.
+#: Distinct parts of words whose ids a worker remembers; beyond, the older half is forgotten.
 REMEMBERED = 300_000
 
+#: Signs that the normalizer leaves as they are but for lower-casing, and whose kinds every edition of the
+#: character tables knows alike: printable ASCII, Latin and Cyrillic. Words with others go through the
+#: whole tokenizer.
+SPANS = ((0x21, 0x7E), (0xA1, 0x12F), (0x131, 0x24F), (0x400, 0x4FF))
+
+
+def ranges(codes: list[int]) -> str:
+    """A character class's inside for ascending codes."""
+    starts = [c for c, before in zip(codes, [-1, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -1]) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def of_kind(kind: str) -> str:
+    return ranges([c for a, b in SPANS for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == kind])
+
+
+PLAIN = re.compile("".join(["[", *(f"\\u{a:04x}-\\u{b:04x}" for a, b in SPANS), "\\t-\\r ]*"]))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where that can be seen, else
+    one from 256 on, in order."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
 
 class WordTokenizer:
-    """Ids of whole texts, word by word: no token of this vocabulary spans white space, so a
-    word's ids don't depend on its neighbours and each distinct word is encoded once."""
+    """Ids of whole texts as little-endian uint32. No token of this vocabulary spans white space or what
+    its pattern parts, so a part's ids don't depend on its neighbours: texts are cut by the tokenizer's own
+    pattern, and its model encodes each distinct part once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, batch: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in batch]
-        out, known = [], self.known
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            new = [w for w in set().union(*part) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set().union(*part))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                found = self.encoder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                known.update(zip(some, (e.ids for e in found)))
-            for words in part:
-                ids: list[int] = []
-                for w in words:
-                    ids += known[w]
-                out.append(np.array(ids, dtype="<u4"))
-        return out
+        self.encoder, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        with open(path) as f:
+            rules = json.load(f)
+        pattern = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = re.compile(pattern.replace(r"\p{L}", of_kind("L")).replace(r"\p{N}", of_kind("N"))).findall
+        self.model, self.special = self.encoder.model, [t["content"] for t in rules["added_tokens"]]
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def learn(self, parts: set[str]) -> None:
+        """Ids of parts not yet known; the older half of all is forgotten when there are too many."""
+        if len(self.known) + len(parts) > REMEMBERED:
+            for p in list(islice(self.known, len(self.known) // 2)):
+                del self.known[p]
+        for p in parts:
+            if p not in self.known:
+                spelled = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(spelled)]
+                self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def cut_ids(self, text: str) -> bytes:
+        parts = self.cut(text.lower())
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            self.learn(set(parts))
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def __call__(self, text: str) -> bytes:
+        if self.plain(text):
+            return self.cut_ids(text)
+        words = (w.decode() for w in text.encode().split())
+        return b"".join(self.cut_ids(w) if self.plain(w) else np.array(self.encoder.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words)
+
+
+@cache
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, whatever tasks it runs."""
+    return WordTokenizer(path)
 
 
 def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
@@ -88,30 +142,29 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     quadratic = 1.0 / capacity if quadratic is None else quadratic
 
     def run(batches: Batches) -> Batches:
-        encode, done = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, np.ndarray]] = []
+        encode, done = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        end, names = np.array([end_id], dtype="<u4").tobytes(), [c.split()[0] for c in SCHEMA.split(", ")]
+        held: list[tuple[int | None, bytes]] = []
         tokens = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, tokens, done
-            placed, cost = balance(np.array([len(i) for _, i in held], dtype=np.int64), capacity, linear, quadratic)
-            cols = list(zip(*[(held[d][0], s, n, held[d][1][s : s + n].tobytes(), len(held[d][1]), done + b, o, float(cost[b])) for d, s, n, b, o in placed]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], SCHEMA.replace(" long", "").replace(" binary", "").replace(" double", "").split(", "))
-            held, tokens, done = [], 0, done + len(cost)
-            return out
-
-        for batch in small(batches, 1024):
-            ids = batch.column(0).to_pylist()
-            whole = texts(batch)
-            for at in range(0, len(whole), 256):
-                for i, x in zip(ids[at : at + 256], encode(whole[at : at + 256])):
-                    x = np.append(x, np.array([end_id], dtype="<u4"))
-                    held.append((i, x))
-                    tokens += len(x)
-                if tokens >= block_sequences * capacity:
-                    yield flush()
+        def flush() -> Batches:
+            nonlocal tokens, done
+            lengths = np.array([len(x) // 4 for _, x in held], dtype=np.int64)
+            placed, cost = balance(lengths, capacity, linear, quadratic)
+            for at in range(0, len(placed), 2000):
+                d, start, length, b, offset = np.array(placed[at : at + 2000], dtype=np.int64).T
+                ids = pa.array([held[k][1][4 * s : 4 * (s + n)] for k, s, n in zip(d.tolist(), start.tolist(), length.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in d.tolist()], pa.int64()), pa.array(start), pa.array(length), ids, pa.array(lengths[d]), pa.array(done + b), pa.array(offset), pa.array(cost[b])], names)
+            held.clear()
+            tokens, done = 0, done + len(cost)
+
+        for batch in small(batches, 128):
+            for i, t in zip(batch.column(0).to_pylist(), texts(batch)):
+                held.append((i, encode(t) + end))
+                tokens += len(held[-1][1]) // 4
+            if tokens >= block_sequences * capacity:
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
