@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import Batches, small, texts, written
+from quillmark.llm.common import Batches, fresh, small, spread_join, texts, written
 
 NGRAM = 5
 #: Links: 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
@@ -171,8 +171,13 @@ class Prefix(NamedTuple):
     matches: int
 
 
-def key_filter(keys: DataFrame, bits: int = 24) -> np.ndarray:
-    """2^bits flags, set where one of the ids falls: 2 MB, whatever the number of ids."""
+#: Most flags of a key filter: 128 MB.
+MOST_FLAGS = 30
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Eight flags or more for each of n ids, packed in bytes, set where one of the ids falls."""
+    bits = max(20, (8 * n - 1).bit_length())
     part = 20
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
 
@@ -183,12 +188,12 @@ def key_filter(keys: DataFrame, bits: int = 24) -> np.ndarray:
             for c in np.unique(x >> part).tolist():
                 own.setdefault(c, np.zeros(1 << part, dtype=bool))[x[x >> part == c] & ((1 << part) - 1)] = True
         for c, f in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(f).tobytes()], pa.binary())], ["part", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary())], ["part", "flags"])
 
     places = keys.select(place.alias("x")).distinct().repartition(1 << (bits - part), F.shiftright("x", part))
-    out = np.zeros(1 << bits, dtype=bool)
+    out, wide = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (part - 3)
     for r in places.mapInArrow(flags, "part int, flags binary").toLocalIterator():
-        out[r.part << part : (r.part + 1) << part] |= np.unpackbits(np.frombuffer(r.flags, np.uint8)).astype(bool)
+        out[r.part * wide : (r.part + 1) * wide] |= np.frombuffer(r.flags, np.uint8)
     return out
 
 
@@ -285,14 +290,15 @@ def verified(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """sid, comp: the smallest sid reachable, for every end of an edge. Each round takes the least
-    label among neighbours, then that label's own label; each is written, so none repeats earlier ones."""
+    label among neighbours, then that label's own label; each is written, so none repeats earlier ones.
+    A set with many links, or a label that many bear, is dealt to parts."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "label")
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("comp").alias("near"))
+        near = spread_join(both, label.withColumnRenamed("sid", "b"), ["b"], "a").groupBy(F.col("a").alias("sid")).agg(F.min("comp").alias("near"))
         low = label.join(near, "sid").select("sid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = label.select(F.col("sid").alias("comp"), F.col("comp").alias("next"))
-        new = written(low.join(jump, "comp").select("sid", "old", F.least("comp", "next").alias("comp")), "label")
+        new = written(spread_join(low, jump, ["comp"], "sid").select("sid", "old", F.least("comp", "next").alias("comp")), "label")
         label = new.select("sid", "comp")
         if new.where(F.col("old") != F.col("comp")).isEmpty():
             return label
@@ -319,6 +325,37 @@ def fits(x: str, y: str) -> Column:
     return (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
 
 
+#: 64-bit words of the marks that tell how many prefix tokens two sets share at most.
+MARKS = 4
+
+
+def marked(active: DataFrame) -> DataFrame:
+    """sid, marks: one bit for each of a set's tokens that meet others, and spare: how many fell on bits already set.
+
+    Two sets that share k tokens share at least k - spare bits, with either one's spare."""
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * MARKS))
+    word = lambda k: F.bit_or(F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * MARKS}) % 64 as int))")).otherwise(F.lit(0).cast("long")))
+    own = active.groupBy("sid").agg(F.count("*").alias("k"), *[word(k).alias(f"w{k}") for k in range(MARKS)])
+    used = sum((F.bit_count(f"w{k}") for k in range(MARKS)), F.lit(0))
+    return own.select("sid", (F.col("k") - used).cast("int").alias("spare"), *[f"w{k}" for k in range(MARKS)])
+
+
+def candidates(filed: DataFrame, active: DataFrame, apart: Column | None = None, wide: int = 1000) -> DataFrame:
+    """a, b: pairs of filed sets (token, sid, n, m, most) that fit in size and position and share as many
+    tokens as they must. `apart`: what else must hold of x and y.
+
+    A pair is dropped where the sets meet if their marks share too few bits. Sets of a token that more than
+    `wide` have are compared in SALTS parts: one side's set is in one part, the other's in all."""
+    many = filed.groupBy("token").agg((F.count("*") > wide).alias("many"))
+    dealt = written(filed.join(marked(active), "sid").join(many, "token"), "dealt")
+    x = dealt.withColumn("part", F.when(F.col("many"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int"))
+    y = dealt.withColumn("part", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    common = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(MARKS)), F.lit(0))
+    enough = common + F.least("x.spare", "y.spare") >= F.least("x.m", "y.m")
+    met = x.alias("x").join(y.alias("y"), ["token", "part"]).where((F.col("x.sid") < F.col("y.sid")) & fits("x", "y") & enough & (F.lit(True) if apart is None else apart))
+    return met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+
+
 class Links(NamedTuple):
     links: DataFrame  # a, b: every two distinct sets that link, a < b
     members: DataFrame  # doc_id, sid, n_links: each document's set, and how many other documents it links to
@@ -331,18 +368,13 @@ def links(docs: DataFrame, wide: int = 1000) -> Links:
     by membership. Rows without an id or words link nothing; rows that repeat an id and text count once."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, active, stored = filed_sets(docs)
-    many = active.groupBy("token").agg((F.count("*") > wide).alias("many"))
-    dealt = written(active.join(many, "token").select("token", "sid", "n", "m", "most", "many"), "dealt")
-    x = dealt.withColumn("part", F.when(F.col("many"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int"))
-    y = dealt.withColumn("part", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    met = x.alias("x").join(y.alias("y"), ["token", "part"]).where((F.col("x.sid") < F.col("y.sid")) & fits("x", "y"))
-    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+    pairs = candidates(active.drop("band"), active, wide=wide)
     found = written(verified(written(pairs, "pairs"), stored), "links")
     own = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "sid").distinct()
     size = own.groupBy("sid").agg(F.count("*").alias("size"))
     both = found.select("a", "b").union(found.select("b", "a"))
-    beyond = both.join(size.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("beyond"))
-    counted = own.join(size.join(beyond, "sid", "left"), "sid")
+    beyond = spread_join(both, size.withColumnRenamed("sid", "b"), ["b"], "a").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("beyond"))
+    counted = spread_join(own, size.join(beyond, "sid", "left"), ["sid"], "doc_id")
     return Links(found, counted.select("doc_id", "sid", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")))
 
 
@@ -360,47 +392,55 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members, active, stored = filed_sets(docs)
 
     hubs = active.groupBy("token", "band").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("slack"), (-F.col("sid")).alias("minus"), "n", "most")).alias("h")).select("token", "band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("n"), F.col("h.most").alias("most"))
-    star = active.alias("x").join(hubs.alias("y"), ["token", "band"]).where((F.col("sid") != F.col("hub")) & fits("x", "y")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+    near = spread_join(active, hubs.select("token", "band", F.struct("hub", "n", "most").alias("y")), ["token", "band"], "sid").alias("x")
+    star = near.where((F.col("sid") != F.col("y.hub")) & fits("x", "y")).select(F.least("sid", "y.hub").alias("a"), F.greatest("sid", "y.hub").alias("b")).distinct()
     first = written(verified(written(star, "star"), stored), "links")
     comp = components(first)
 
     label = active.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     apart = label.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     open_ = written(label.join(apart, "token").select("token", "sid", "n", "m", "most", "comp"), "open")
-    met = open_.alias("x").join(open_.alias("y"), "token").where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y"))
-    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+    pairs = candidates(open_, active, F.col("x.comp") != F.col("y.comp"))
     links = first.union(verified(written(pairs, "pairs"), stored))
-    final = components(links)
-    own = members.join(final, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "comp", "left")
+    # the least id of each set, of each component, and back
+    lone = written(members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least")).join(components(links), "sid", "left"), "lone")
+    least = lone.where("comp is not null").groupBy("comp").agg(F.min("least").alias("of_comp"))
+    told = spread_join(lone, least, ["comp"], "sid").select("sid", F.coalesce("of_comp", "least").alias("least"))
+    out = spread_join(members, told, ["sid"], "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def set_table(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, hashes, sketch: each wanted set, sorted and packed.
 
-    Neither texts nor sets travel: the document with the least id stands for its set, and a filter of
-    fixed size tells the scan which documents are meant. The few that it lets by in error, or rows that
-    repeat an id, only make a set stand here twice, or without need."""
-    keys = members.where(F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
-    bits = len(shared.value)
+    Sets don't travel: the document with the least id stands for its set, and a filter tells the scan which
+    documents are meant. The few that it lets by in error, or rows that repeat an id, only make a set stand
+    here twice, or without need. Beyond the size that the filter may have, documents meet the ids by a join."""
+    keys = written(members.where(F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi").select("doc_id"), "keys")
+    n = keys.count()
+    shared = None
+    if 8 * n <= 1 << MOST_FLAGS:
+        shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys, n))
+    else:
+        docs = docs.join(keys, "doc_id", "left_semi")
+    flags = 8 * len(shared.value) if shared else 1
 
     def run(batches: Batches) -> Batches:
         for batch in small(batches, 2000):
-            meant = shared.value[batch.column(2).to_numpy()]
-            batch = batch.filter(pa.array(meant))
+            if shared:
+                place = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7) & 1).astype(bool)))
             for at in range(0, batch.num_rows, 500):
                 own = [s for t in texts(batch.slice(at, 500)) if len(s := shingles(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in own], pa.int64()), pa.array([packed(s) for s in own], pa.binary()), pa.array([sketch(s) for s in own], pa.binary())], ["sid", "hashes", "sketch"])
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).mapInArrow(run, "sid long, hashes binary, sketch binary")
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(flags)).alias("place")).mapInArrow(run, "sid long, hashes binary, sketch binary")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of docs, all columns, but of each component only the one with the smallest doc_id.
 
-    Rows with a null id stay. Of rows that repeat that id, all stay."""
-    drop = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("dropped"))
-    return docs.join(drop.distinct(), docs["doc_id"] == F.col("dropped"), "left_anti")
+    Rows with a null id stay. Of rows that repeat that id, all stay. Columns may have any names."""
+    gone = fresh(docs, "dropped")
+    drop = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(gone))
+    return docs.join(drop.distinct(), docs["doc_id"] == F.col(gone), "left_anti")

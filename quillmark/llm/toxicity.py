@@ -213,11 +213,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prior:
 
     The character model counts all of these texts. Word weights and their calibration come from at
     most sample_rows labelled rows: weights from three fifths of them, calibration from the rest.
-    What reaches the driver is bounded by 28^4 grams, 2^18 buckets and sample_rows figures."""
+    What reaches the driver is bounded by 28^4 grams, 2^18 buckets and sample_rows figures. Null ids and
+    labels other than 0 and 1 take no part, nor do ids that bear both labels; a label said again counts
+    once, and of rows that repeat an id each is learned from."""
     spark = docs.sparkSession
     lm = log_lm({r.gram: r.n for r in lm_counts(docs.where(fold("doc_id", 3) != 1)).collect()})
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
-    picked = bounded_sample(marked.where(fold("id", 3) != 1), "id", sample_rows).dropDuplicates(["id"])
+    agreed = marked.where(fold("id", 3) != 1).groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
+    picked = bounded_sample(agreed.select("id", "toxic"), "id", sample_rows)
     seen = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) < 3).alias("first"))
     shared = spark.sparkContext.broadcast(lm)
 
