@@ -340,19 +340,20 @@ def marked(active: DataFrame) -> DataFrame:
     return own.select("sid", (F.col("k") - used).cast("int").alias("spare"), *[f"w{k}" for k in range(MARKS)])
 
 
-def candidates(filed: DataFrame, active: DataFrame, apart: Column | None = None, wide: int = 1000) -> DataFrame:
-    """a, b: pairs of filed sets (token, sid, n, m, most) that fit in size and position and share as many
-    tokens as they must. `apart`: what else must hold of x and y.
-
-    A pair is dropped where the sets meet if their marks share too few bits. Sets of a token that more than
-    `wide` have are compared in SALTS parts: one side's set is in one part, the other's in all."""
-    many = filed.groupBy("token").agg((F.count("*") > wide).alias("many"))
-    dealt = written(filed.join(marked(active), "sid").join(many, "token"), "dealt")
-    x = dealt.withColumn("part", F.when(F.col("many"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int"))
-    y = dealt.withColumn("part", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+def candidates(filed: DataFrame, active: DataFrame, by: str = "sid", wide: int = 500) -> DataFrame:
+    """a, b: pairs of filed sets (token, sid, n, m, most) that differ in the column `by`, fit in size and
+    position and share as many tokens as they must.
+
+    A pair is dropped where the sets meet if their marks share too few bits. A token's sets are parted in
+    groups of some `wide`; each two groups, and each with itself, meet in a cell of their own."""
+    buckets = filed.groupBy("token").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.count("*").alias("size")).where("low < high")
+    open_ = spread_join(filed, buckets.select("token", F.least(F.ceil(F.col("size") / wide), F.lit(1 << 10)).cast("int").alias("groups")), ["token"], "sid").where("groups is not null")
+    dealt = open_.join(marked(active), "sid").withColumn("own", F.expr("cast(pmod(xxhash64(sid), groups) as int)")).withColumn("other", F.explode(F.expr("sequence(0, groups - 1)")))
+    dealt = written(dealt.withColumn("cell", F.least("own", "other") * 1024 + F.greatest("own", "other")).drop("other", "groups"), "dealt")
     common = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(MARKS)), F.lit(0))
     enough = common + F.least("x.spare", "y.spare") >= F.least("x.m", "y.m")
-    met = x.alias("x").join(y.alias("y"), ["token", "part"]).where((F.col("x.sid") < F.col("y.sid")) & fits("x", "y") & enough & (F.lit(True) if apart is None else apart))
+    once = (F.col("x.own") != F.col("y.own")) | (F.col("x.cell") == F.col("x.own") * 1025)
+    met = dealt.alias("x").join(dealt.alias("y"), ["token", "cell"]).where((F.col("x.sid") < F.col("y.sid")) & (F.col(f"x.{by}") != F.col(f"y.{by}")) & once & fits("x", "y") & enough)
     return met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
 
 
@@ -361,14 +362,14 @@ class Links(NamedTuple):
     members: DataFrame  # doc_id, sid, n_links: each document's set, and how many other documents it links to
 
 
-def links(docs: DataFrame, wide: int = 1000) -> Links:
+def links(docs: DataFrame, wide: int = 500) -> Links:
     """The whole join: every link between distinct sets, whether or not others connect its ends.
 
-    Sets of a token that more than `wide` have are compared in SALTS parts. Equal sets link, and are told
+    Sets of a token that more than `wide` have are compared group by group. Equal sets link, and are told
     by membership. Rows without an id or words link nothing; rows that repeat an id and text count once."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, active, stored = filed_sets(docs)
-    pairs = candidates(active.drop("band"), active, wide=wide)
+    pairs = candidates(active.drop("band"), active, "sid", wide)
     found = written(verified(written(pairs, "pairs"), stored), "links")
     own = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "sid").distinct()
     size = own.groupBy("sid").agg(F.count("*").alias("size"))
@@ -398,9 +399,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comp = components(first)
 
     label = active.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    apart = label.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    open_ = written(label.join(apart, "token").select("token", "sid", "n", "m", "most", "comp"), "open")
-    pairs = candidates(open_, active, F.col("x.comp") != F.col("y.comp"))
+    pairs = candidates(label.drop("band"), active, "comp")
     links = first.union(verified(written(pairs, "pairs"), stored))
     # the least id of each set, of each component, and back
     lone = written(members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least")).join(components(links), "sid", "left"), "lone")
