@@ -1,7 +1,14 @@
-"""Language-model scores by online logistic context mixing over the bits of words."""
+"""Language-model scores by online logistic context mixing.
+
+A text is told token by token, in order. First come the questions of `lm_order`: is it the token that followed
+the same two words, or the same word, before. If not, its word is spelled, bit by bit, under contexts inside the
+word and the text's class. So what earlier words say enters by the questions; the spelling of a word looks back
+no further than its own start, which lets each distinct word be spelled once whatever the number of texts.
+"""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +21,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, fold, texts, written
+from quillmark.llm import lm_order
+from quillmark.llm.common import Batches, fold, spread_join, texts, written
 
 #: Predictors: so many bytes before (inside the word), 0 for the whole word so far; with the text's class or without.
 ORDERS = ((1, True), (2, True), (3, True), (4, False), (0, False), (0, True))
@@ -58,17 +66,25 @@ class Classes(NamedTuple):
     def of(self, cells: np.ndarray, n: np.ndarray) -> int:
         return int((self.log_share + self.log_cell[:, cells] @ n).argmax())
 
+    def of_each(self, r: lm_order.Read, n_texts: int) -> np.ndarray:
+        """The class of each of some texts."""
+        short = (r.size > 0) & (r.size <= SHORT)
+        at = np.flatnonzero(short[r.token])
+        cell, text = (r.mark % np.uint64(CELLS)).astype(np.int64)[r.token[at]], r.text[at]
+        return np.stack([share + np.bincount(text, row[cell], n_texts) for share, row in zip(self.log_share, self.log_cell)]).argmax(0)
+
 
 def classes(docs: DataFrame, rounds: int = 8) -> Classes:
     """Expectation maximization (hard assignments) over all given rows, each round one pass over the
-    written counts of short words; a round gives the driver CLASSES x CELLS sums."""
+    written counts of short words; a round gives the driver CLASSES x CELLS sums. It starts from up to 256
+    rows of more than ten cells, chosen by hash; where there are none, classes start alike."""
 
     def cells_of(batches: Batches) -> Batches:
         for batch in batches:
             got = [short_words(counted(t)) for t in texts(batch, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.astype("<u2").tobytes() for c, _ in got], pa.binary()), pa.array([np.minimum(n, 60000).astype("<u2").tobytes() for _, n in got], pa.binary())], ["cells", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.astype("<u2").tobytes() for c, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())], ["cells", "n"])
 
-    read = lambda c, n: (np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, "<u2").astype(np.float64))
+    read = lambda c, n: (np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float64))
     rows = written(docs.select("text").mapInArrow(cells_of, "cells binary, n binary"), "short-words")
     seeds = np.zeros((256, CELLS))
     for k, r in enumerate(rows.where(F.length("cells") > 20).orderBy(F.xxhash64("cells", "n"), "cells", "n").limit(len(seeds)).collect()):
@@ -126,31 +142,89 @@ def word_counts(docs: DataFrame, kinds: Classes, held: int = 400_000) -> DataFra
     return docs.select("text").mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-#: What the bits of a byte that are known so far (with a leading 1) do to a context's key.
+class Code(NamedTuple):
+    """How a byte is told bit by bit: the more frequent, the fewer."""
+
+    size: np.ndarray  # bits of each byte
+    node: np.ndarray  # [byte, step]: which of the tree's 255 forks is asked
+    bit: np.ndarray  # [byte, step]
+    rank: np.ndarray  # place of each byte from left to right in the tree
+
+
+def code_of(counts: np.ndarray) -> Code:
+    """The code of least length for bytes met that often, each once more so that all have one."""
+    heap = [(int(n) + 1, b) for b, n in enumerate(counts)]
+    heapq.heapify(heap)
+    forks: list[tuple[int, int]] = []
+    while len(heap) > 1:
+        (n, x), (m, y) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (n + m, 256 + len(forks)))
+        forks.append((x, y))
+    paths: dict[int, list[tuple[int, int]]] = {}
+    todo: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][1], [])]
+    while todo:
+        at, path = todo.pop()
+        if at < 256:
+            paths[at] = path
+        else:
+            todo += [(forks[at - 256][k], [*path, (at - 256, k)]) for k in (1, 0)]
+    wide = max(map(len, paths.values()))
+    code = Code(np.zeros(256, dtype=np.int64), np.zeros((256, wide), dtype=np.int64), np.zeros((256, wide), dtype=np.int64), np.zeros(256, dtype=np.int64))
+    for rank, (b, path) in enumerate(paths.items()):
+        code.size[b], code.rank[b] = len(path), rank
+        code.node[b, : len(path)], code.bit[b, : len(path)] = zip(*path)
+    return code
+
+
+#: All bytes in eight bits.
+EVEN = code_of(np.zeros(256))
+
+
+def byte_code(by_class: DataFrame) -> Code:
+    """By how often the words counted hold each byte; a blank closes every word."""
+
+    def run(batches: Batches) -> Batches:
+        sums = np.zeros(256)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+            sums += np.bincount(np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8), np.repeat(n, size), 256)[:256] if words else 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(sums)], ["byte", "n"])
+
+    counts = np.zeros(256)
+    for r in by_class.select("word", "n").mapInArrow(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r.byte] = r.n
+    return code_of(counts)
+
+
+#: What a fork of the code does to a context's key.
 NODE = np.random.default_rng(11).integers(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 #: The word so far is looked up by key while it has so few bytes; from there on among the words that start alike.
 SHALLOW = 4
 
 
 class Bits(NamedTuple):
-    """All bits of some words, each word closed by a blank: eight steps, each over every byte."""
+    """All bits of some words, each word closed by a blank: steps over every byte that has that many bits."""
 
     owner: np.ndarray  # the word of each byte
     byte: np.ndarray
     deep: np.ndarray  # the bytes that stand behind SHALLOW others or more
     keys: list[np.ndarray]  # by predictor: each byte's context before a bit is known, in 64 bits
+    code: Code
 
-    def steps(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """For each bit of the bytes, the highest first: the predictors' contexts, and the bit."""
-        node = np.ones(len(self.byte), dtype=np.int64)
-        for k in range(7, -1, -1):
-            bit = (self.byte >> k) & 1
-            turn = NODE[node]
-            yield [s ^ turn for s in self.keys], bit
-            node = node * 2 + bit
+    def steps(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each step: the bytes that take it, the predictors' contexts, and the bit."""
+        at = np.arange(len(self.byte))
+        for k in range(self.code.node.shape[1]):
+            at = at[self.code.size[self.byte[at]] > k]
+            if not len(at):
+                return
+            b = self.byte[at]
+            turn = NODE[self.code.node[b, k]]
+            yield at, [s[at] ^ turn for s in self.keys], self.code.bit[b, k]
 
 
-def bits_of(words: list[bytes], kinds: list[int]) -> Bits:
+def bits_of(words: list[bytes], kinds: list[int], code: Code = EVEN) -> Bits:
     b = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     owner = np.repeat(np.arange(len(words)), size)
@@ -177,7 +251,7 @@ def bits_of(words: list[bytes], kinds: list[int]) -> Bits:
     for order, by_class in ORDERS:
         x = (contexts[order] + kind if by_class else contexts[order]) * np.uint64(0xC2B2AE3D27D4EB4F)
         keys.append(x ^ (x >> np.uint64(32)))
-    return Bits(owner, b.astype(np.int64), at >= SHALLOW, keys)
+    return Bits(owner, b.astype(np.int64), at >= SHALLOW, keys, code)
 
 
 #: Words of a bucket, on average; those that start with the same SHALLOW bytes share one.
@@ -212,7 +286,7 @@ def parted(words: list[bytes]) -> Iterator[list[int]]:
         yield part
 
 
-def context_counts(buckets: DataFrame, held: int = 4_000_000) -> DataFrame:
+def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 4_000_000) -> DataFrame:
     """predictor int, key long, n0 double, n1 double: how often each context that is looked up by key saw
     each bit, over all words. Tasks add up at most some `held` contexts before they hand them on."""
 
@@ -241,13 +315,14 @@ def context_counts(buckets: DataFrame, held: int = 4_000_000) -> DataFrame:
             for row in range(batch.num_rows):
                 words, kinds, n = members(batch.column(0), row)
                 for at in range(0, len(words), BUCKET):
-                    some = bits_of(words[at : at + BUCKET], kinds[at : at + BUCKET])
+                    some = bits_of(words[at : at + BUCKET], kinds[at : at + BUCKET], code)
                     weight = np.array(n[at : at + BUCKET], dtype=np.float64)[some.owner]
-                    for keys, bit in some.steps():
+                    for byte, keys, bit in some.steps():
+                        w = weight[byte]
                         for i, (order, _) in enumerate(ORDERS):
-                            near = ~some.deep if not order else slice(None)
+                            near = ~some.deep[byte] if not order else slice(None)
                             x = np.zeros(len(keys[i][near]), dtype=[("key", np.uint64), ("n0", np.float64), ("n1", np.float64)])
-                            x["key"], x["n0"], x["n1"] = keys[i][near], (weight * (1 - bit))[near], (weight * bit)[near]
+                            x["key"], x["n0"], x["n1"] = keys[i][near], (w * (1 - bit))[near], (w * bit)[near]
                             waiting[i].append(x)
                     for i in range(len(ORDERS)):
                         add_up(i)
@@ -263,15 +338,16 @@ class Model(NamedTuple):
     """What is small of the model; the bit counts are broadcast once beside it."""
 
     table_bits: tuple[int, ...]  # by predictor: its part of the table has 2^bits slots
+    code: Code
     weights: np.ndarray  # [gate, predictor, level]
     refine: np.ndarray  # [gate, bin]: probability of a 1 where the mixer said about this
 
 
-def start_model(table_bits: int | tuple[int, ...]) -> Model:
+def start_model(table_bits: int | tuple[int, ...], code: Code = EVEN) -> Model:
     weights = np.zeros((LEVELS, len(ORDERS), LEVELS))
     weights += 0.3
     centers = 1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, BINS)))
-    return Model((table_bits,) * len(ORDERS) if isinstance(table_bits, int) else table_bits, weights, np.tile(centers, (LEVELS, 1)))
+    return Model((table_bits,) * len(ORDERS) if isinstance(table_bits, int) else table_bits, code, weights, np.tile(centers, (LEVELS, 1)))
 
 
 #: A context's stretched prediction and level in one number: the level in the lowest bits.
@@ -343,33 +419,36 @@ def sized(counts: DataFrame) -> tuple[tuple[int, ...], Table]:
     return table_bits, Table(np.concatenate(slots).astype(np.uint32), np.concatenate(tables, axis=1), np.concatenate(checks), sum(1 << b for b in table_bits))
 
 
-def counts_among(context: np.ndarray, byte: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each bit of the bytes, the highest first: how often (by weight) the byte's context and higher
-    bits were followed by 0 and by 1 among all given bytes. Exact: equal ones stand together when sorted."""
+def counts_among(context: np.ndarray, byte: np.ndarray, weight: np.ndarray, code: Code = EVEN) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step, of the bytes that take it: how often (by weight) the byte's context and bits so far were
+    followed by 0 and by 1 among all given bytes. Exact: equal ones stand together when sorted."""
     _, at = np.unique(context, return_inverse=True)
-    key = at * 256 + byte
-    order = np.argsort(key, kind="stable")
-    key, w, out = key[order], weight[order], []
-    for k in range(7, -1, -1):
-        node = key >> (k + 1)
-        first = np.concatenate([[True], node[1:] != node[:-1]])
-        run = np.cumsum(first) - 1
-        ones = np.bincount(run, w * ((key >> k) & 1))[run]
-        all_ = np.bincount(run, w)[run]
-        n0, n1 = np.empty_like(w), np.empty_like(w)
-        n0[order], n1[order] = all_ - ones, ones
-        out.append((n0, n1))
+    order = np.argsort(at * 256 + code.rank[byte], kind="stable")
+    context, size, out = at[order], code.size[byte], []
+    for k in range(code.node.shape[1]):
+        own = np.flatnonzero(size > k)
+        if not len(own):
+            break
+        turn = np.flatnonzero(size[order] > k)
+        b, c, w = byte[order[turn]], context[turn], weight[order[turn]]
+        node = code.node[b, k]
+        run = np.cumsum(np.concatenate([[True], (c[1:] != c[:-1]) | (node[1:] != node[:-1])])) - 1
+        ones = np.bincount(run, w * code.bit[b, k])[run]
+        both = np.empty((2, len(byte)))
+        both[:, order[turn]] = np.bincount(run, w)[run] - ones, ones
+        out.append((both[0, own], both[1, own]))
     return out
 
 
-def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: np.ndarray, unmet: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """For each bit: what each predictor has of it, as `encoded`, and the bit. `weight`: how often the
-    counts have met each byte's word. `unmet`: with one sighting of the bit taken out."""
+def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: np.ndarray, unmet: bool) -> Iterator[tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """For each step: what each predictor has of it, as `encoded`, and the bit with the bytes it is of. `weight`:
+    how often the counts have met each byte's word. `unmet`: with one sighting of the bit taken out."""
     deep = np.flatnonzero(some.deep)
-    near = np.flatnonzero(~some.deep)
-    among = {i: counts_among(some.keys[i][deep], some.byte[deep], weight[deep]) for i, (order, _) in enumerate(ORDERS) if not order and len(deep)}
-    for step, (keys, bit) in enumerate(some.steps()):
-        got = []
+    among = {i: counts_among(some.keys[i][deep], some.byte[deep], weight[deep], some.code) for i, (order, _) in enumerate(ORDERS) if not order and len(deep)}
+    for step, (byte, keys, bit) in enumerate(some.steps()):
+        got, far = [], some.deep[byte]
+        near = np.flatnonzero(~far)
+        far = np.flatnonzero(far)
         for i, (order, _) in enumerate(ORDERS):
             part = slice(None) if order else near
             at = slots_of(keys[i][part], i, table_bits)
@@ -381,13 +460,13 @@ def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: n
             if not order:
                 whole = np.zeros(len(bit), dtype=np.int32)
                 whole[near] = x
-                if len(deep):
+                if len(far):
                     n0, n1 = among[i][step]
-                    b = bit[deep]
-                    whole[deep] = encoded(np.maximum(n0 - (1 - b), 0), np.maximum(n1 - b, 0)) if unmet else encoded(n0, n1)
+                    b = bit[far]
+                    whole[far] = encoded(np.maximum(n0 - (1 - b), 0), np.maximum(n1 - b, 0)) if unmet else encoded(n0, n1)
                 x = whole
             got.append(x)
-        yield got, bit
+        yield got, (bit, byte)
 
 
 def inputs(got: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -426,9 +505,9 @@ def final_logs(model: Model) -> np.ndarray:
 
 def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3) -> Model:
     """One online pass of every task over its words, mini-batch by mini-batch in a drawn order, each
-    weight stepping by its error over the curvature met lately; the tasks' weights are averaged by how
-    many bytes they saw. Then the refinement counts what comes of the mixer's outputs, likewise over all
-    words. A word counts as often as it was met, each time as if it were one more, unseen, sighting."""
+    weight stepping by its error over the curvature met lately, while the refinement counts what comes of
+    the mixer's outputs. The tasks' weights are averaged by how many bits they saw, their counts added up.
+    A word counts as often as it was met, each time as if it were one more, unseen, sighting."""
     table_bits, n_weights, n_refine = model.table_bits, model.weights.size, model.refine.size
 
     def turns_of(batches: Batches):
@@ -438,21 +517,28 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
                 words, kinds, times = members(batch.column(0), row)
                 for part in parted(words):
                     part = np.random.default_rng(len(part)).permutation(part).tolist()
-                    some = bits_of([words[i] for i in part], [kinds[i] for i in part])
+                    some = bits_of([words[i] for i in part], [kinds[i] for i in part], model.code)
                     n = np.array([times[i] for i in part], dtype=np.float64)[some.owner]
                     turns = list(steps_with(known, table_bits, some, n, True))
                     edge = np.searchsorted(some.owner, np.arange(0, len(part) + 2000, 2000))
-                    for x, y in zip(edge[:-1], edge[1:]):
-                        for got, bit in turns:
-                            yield [g[x:y] for g in got], bit[x:y], n[x:y]
+                    cuts = [np.searchsorted(byte, edge) for _, (_, byte) in turns]
+                    for k in range(len(edge) - 1):
+                        for (got, (bit, byte)), cut in zip(turns, cuts):
+                            if cut[k] < cut[k + 1]:
+                                own = slice(cut[k], cut[k + 1])
+                                yield [g[own] for g in got], bit[own], n[byte[own]]
 
-    def weights(batches: Batches) -> Batches:
+    def run(batches: Batches) -> Batches:
         own, seen = model.weights.reshape(-1).copy(), 0.0
-        curve = np.full(n_weights, 50.0)
+        curve, ones, all_ = np.full(n_weights, 50.0), np.zeros(n_refine), np.zeros(n_refine)
         for got, bit, n in turns_of(batches):
             st, level = inputs(got)
             keys = weight_keys(level)
-            p = 1 / (1 + np.exp(-mixed(own, st, keys)))
+            z = mixed(own, st, keys)
+            at = level[-1] * BINS + np.rint((z + CLIP) * ((BINS - 1) / (2 * CLIP))).astype(np.int64)
+            ones += np.bincount(at, n * bit, minlength=n_refine)
+            all_ += np.bincount(at, n, minlength=n_refine)
+            p = 1 / (1 + np.exp(-z))
             error, bend = (bit - p) * n, p * (1 - p) * n
             curve *= 0.995
             bend *= sum(map(np.abs, st))  # predictors that agree move together: their steps are bounded jointly
@@ -460,30 +546,16 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
                 grad = np.bincount(key, x * error, minlength=n_weights)
                 curve += np.bincount(key, np.abs(x) * bend, minlength=n_weights)
                 own += rate * grad / (curve + 50)
-            seen += len(n) / 8
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_weights), pa.int32()), pa.array(own * seen), pa.array([seen] * n_weights)], ["k", "x", "y"])
-
-    def refinement(batches: Batches) -> Batches:
-        ones, all_ = np.zeros(n_refine), np.zeros(n_refine)
-        for got, bit, n in turns_of(batches):
-            st, level = inputs(got)
-            z = mixed(fitted, st, weight_keys(level))
-            key = level[-1] * BINS + np.rint((z + CLIP) * ((BINS - 1) / (2 * CLIP))).astype(np.int64)
-            ones += np.bincount(key, n * bit, minlength=n_refine)
-            all_ += np.bincount(key, n, minlength=n_refine)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_refine), pa.int32()), pa.array(ones), pa.array(all_)], ["k", "x", "y"])
-
-    def total(f) -> dict[int, tuple[float, float]]:
-        rows = buckets.select("words").mapInArrow(f, "k int, x double, y double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-        return {r.k: (r.x, r.y) for r in rows}
+            seen += len(n)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * n_weights + [1] * n_refine, pa.int32()), pa.array([*range(n_weights), *range(n_refine)], pa.int32()), pa.array(np.concatenate([own * seen, ones])), pa.array(np.concatenate([np.full(n_weights, seen), all_]))], ["kind", "k", "x", "y"])
 
     fitted, refine = model.weights.reshape(-1).copy(), model.refine.reshape(-1).copy()
-    for k, (x, y) in total(weights).items():
-        if y:
-            fitted[k] = x / y
-    for k, (x, y) in total(refinement).items():
-        refine[k] = (x + 4 * refine[k]) / (y + 4)
-    return Model(table_bits, fitted.reshape(model.weights.shape), refine.reshape(model.refine.shape))
+    for r in buckets.select("words").mapInArrow(run, "kind int, k int, x double, y double").groupBy("kind", "k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect():
+        if r.kind == 0 and r.y:
+            fitted[r.k] = r.x / r.y
+        elif r.kind == 1:
+            refine[r.k] = (r.x + 4 * refine[r.k]) / (r.y + 4)
+    return model._replace(weights=fitted.reshape(model.weights.shape), refine=refine.reshape(model.refine.shape))
 
 
 class Speaker:
@@ -503,13 +575,14 @@ class Speaker:
             if not asked:
                 continue
             part = asked + [i for i in part if i >= len(words)]
-            some = bits_of([all_words[i] for i in part], [all_kinds[i] for i in part])
+            some = bits_of([all_words[i] for i in part], [all_kinds[i] for i in part], self.model.code)
             size = int(np.searchsorted(some.owner, len(asked)))  # the bytes asked for come first
             total = np.zeros(size)
-            for got, bit in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False):
-                st, level = inputs([g[:size] for g in got])
+            for got, (bit, byte) in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False):
+                cut = int(np.searchsorted(byte, size))
+                st, level = inputs([g[:cut] for g in got])
                 z = mixed(self.weights, st, weight_keys(level))
-                total += self.logs[(bit[:size] * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
+                total[byte[:cut]] += self.logs[(bit[:cut] * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
             out[asked] = np.bincount(some.owner[:size], total, minlength=len(asked))
         return out
 
@@ -517,6 +590,7 @@ class Speaker:
 class Trained(NamedTuple):
     model: Model
     table: Broadcast
+    order: lm_order.Order
     kinds: Classes
     counts: DataFrame
     buckets: DataFrame
@@ -536,9 +610,10 @@ def train(docs: DataFrame) -> Trained:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_buckets = by_class.count() // BUCKET + 1
     buckets = written(gathered(by_class, n_buckets, "words", ["word", "class", "n"]), "buckets")
-    table_bits, table = sized(context_counts(buckets))
-    shared, model = docs.sparkSession.sparkContext.broadcast(table), start_model(table_bits)
-    return Trained(learn(buckets, shared, model) if n else model, shared, kinds, counts, buckets, n_buckets, int(n), int(v))
+    code = byte_code(by_class)
+    table_bits, table = sized(context_counts(buckets, code))
+    shared, model = docs.sparkSession.sparkContext.broadcast(table), start_model(table_bits, code)
+    return Trained(learn(buckets, shared, model) if n else model, shared, lm_order.train(docs, int(v), tokens, END), kinds, counts, buckets, n_buckets, int(n), int(v))
 
 
 def spoken(queries: DataFrame, trained: Trained) -> DataFrame:
@@ -573,7 +648,10 @@ class Common(NamedTuple):
 
 
 def common_words(trained: Trained, most: int, longest: int) -> Common:
-    chosen = trained.counts.where(F.length("word") <= longest).orderBy(F.desc("n"), "word").limit(most)
+    """The `most` commonest words of at most `longest` bytes, and the 4096 commonest of up to 4096 bytes."""
+    by_count = [F.desc("n"), F.asc("word")]
+    size = F.length("word")
+    chosen = trained.counts.where(size <= longest).orderBy(*by_count).limit(most).union(trained.counts.where((size > longest) & (size <= 4096)).orderBy(*by_count).limit(4096))
     asked = chosen.select("word", F.explode(F.array(*[F.lit(k) for k in range(CLASSES)])).alias("kind"))
     got = spoken(asked, trained).toArrow()
     place: dict[bytes, int] = {}
@@ -584,56 +662,76 @@ def common_words(trained: Trained, most: int, longest: int) -> Common:
     return Common(place, np.log10(counts + 1), p)
 
 
+SUMS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
+
+
+def told(ids: list, split: list[list[bytes]], first_row: int, common: Common, kinds: Classes, order: lm_order.Order) -> pa.RecordBatch:
+    """A row for each text with its sums over common words, and one for each other word of each text."""
+    r, n = lm_order.read(split, END), len(split)
+    h, kind = lm_order.heard(order, r), kinds.of_each(r, n)
+    place = np.fromiter(map(common.place.get, r.words, repeat(-1)), dtype=np.int64, count=len(r.words))[r.token]
+    met, spelled = place >= 0, ~h.named
+    add_up = lambda of, x=None: np.bincount(r.text[of], None if x is None else x[of], n)
+    n_tokens = add_up(slice(None))
+    base, said = np.zeros(len(place)), np.zeros(len(place))
+    base[met] = common.log_count[place[met]]
+    both = met & spelled
+    said[both] = common.log_p[place[both], kind[r.text[both]]]
+    score = add_up(slice(None), said + h.log10) + kinds.log_share[kind] / np.log(10)
+    size = add_up(slice(None), r.size[r.token]).astype(np.int64) + n_tokens
+    pairs, inverse, tf = np.unique(r.text[~met] * len(r.words) + r.token[~met], return_inverse=True, return_counts=True)
+    text, word = pairs // len(r.words), pairs % len(r.words)
+    rest = len(pairs)
+    head = [
+        pa.array(first_row + np.concatenate([np.arange(n), text])),
+        pa.array([b""] * n + [r.words[w] for w in word.tolist()], pa.binary()),
+        pa.array(np.concatenate([kind, kind[text]]).astype(np.int32)),
+        pa.array(np.concatenate([np.zeros(n, dtype=np.int64), tf])),
+        pa.array(np.concatenate([np.zeros(n, dtype=np.int64), np.bincount(inverse, spelled[~met], rest).astype(np.int64)])),
+    ]
+    own = [ids, n_tokens, add_up(met), add_up(met, base), score, size]
+    tail = [pa.concat_arrays([pa.array(x, t), pa.nulls(rest, t)]) for x, (_, t) in zip(own, SUMS)]
+    return pa.RecordBatch.from_arrays([*head, *tail], ["row", "word", "kind", "tf", "spelled", *(c for c, _ in SUMS)])
+
+
 def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: int = 64) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) and bits_per_byte of every row.
 
-    A word's probability is the mixer's, averaged with its share of the training tokens (OWN_SHARE),
+    A spelled word's probability is the mixer's, averaged with its share of the training tokens (OWN_SHARE),
     which is none for an unknown word.
 
-    The `frequent` commonest words of at most `longest` bytes travel to every task with their counts and
-    probabilities (that bounds the broadcast). All other words are scored once for each class of texts they
-    stand in and come by a join, one row for each text and word. A null or empty text is its end alone. Rows
-    are told apart by their place, so repeated rows and null ids each give a row. An empty training set
-    gives c = 0 and N = 0.
+    The `frequent` commonest words of at most `longest` bytes, and some longer ones, travel to every task with
+    their counts and probabilities (that bounds the broadcast). All other words are spelled once for each class
+    of texts they stand in and come by a join, one row for each text and word; long ones, of which one may be
+    in very many texts, by parts. A null or empty text is its end alone. Rows are told apart by their place, so
+    repeated rows and null ids each give a row. An empty training set gives c = 0 and N = 0.
     """
     spark, kinds = docs.sparkSession, trained.kinds
+    order = spark.sparkContext.broadcast(trained.order)
     shared = spark.sparkContext.broadcast(common_words(trained, frequent, longest))
-    sums = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long"
+    schema = "row long, word binary, kind int, tf long, spelled long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long"
 
     def run(batches: Batches) -> Batches:
-        row, common = TaskContext.get().partitionId() << 40, shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, whole = batch.column(0).to_pylist(), texts(batch)
-            for at in range(0, len(whole), 500):
-                rare, own = [], []
-                for i, t in zip(ids[at : at + 500], whole[at : at + 500]):
-                    row += 1
-                    tf = counted(t)
-                    kind = kinds.of(*short_words(tf))
-                    k = np.fromiter(tf.values(), dtype=np.int64, count=len(tf))
-                    place = np.fromiter(map(common.place.get, tf, repeat(-1)), dtype=np.int64, count=len(tf))
-                    size = int(k @ np.fromiter(map(len, tf), dtype=np.int64, count=len(tf)) + k.sum())
-                    hit = place >= 0
-                    p, n = place[hit], k[hit]
-                    own.append((row, b"", kind, 0, i, int(k.sum()), int(n.sum()), float(n @ common.log_count[p]), float(n @ common.log_p[p, kind] + kinds.log_share[kind] / np.log(10)), size))
-                    if not hit.all():
-                        rare += [(row, w, kind, tf[w]) for w, h in zip(tf, hit.tolist()) if not h]
-                cols = list(zip(*own))
-                head = [pa.array([*c, *r], t) for c, r, t in zip(cols, zip(*rare) if rare else [()] * 4, (pa.int64(), pa.binary(), pa.int32(), pa.int64()))]
-                tail = [pa.array([*c, *[None] * len(rare)], t) for c, (_, t) in zip(cols[4:], sums)]
-                yield pa.RecordBatch.from_arrays([*head, *tail], ["row", "word", "kind", "tf", *(n for n, _ in sums)])
-
-    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema.replace("row long,", "row long, word binary, kind int, tf long,")), "found")
-    rare = found.where("tf > 0").select("row", "word", "kind", "tf")
-    tf = F.col("tf")
-    said = rare.join(spoken(rare.select("word", "kind").distinct(), trained), ["word", "kind"])
-    sums_of_rare = said.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, tf).otherwise(0).cast("long").alias("n_known"), (tf * F.log10(F.col("c") + 1)).alias("base"), (tf * F.col("p")).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
-    parts = found.where("tf = 0").select("row", *(n for n, _ in sums)).union(sums_of_rare)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids, split = part.column(0).to_pylist(), [tokens(t) for t in texts(part)]
+                for group in lm_order.together(split):
+                    yield told(ids[: len(group)], group, row, shared.value, kinds, order.value)
+                    ids, row = ids[len(group) :], row + len(group)
+
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "found")
+    rare = found.where("tf > 0").select("row", "word", "kind", "tf", "spelled")
+    asked = written(spoken(rare.select("word", "kind").distinct(), trained), "spoken")
+    short = F.length("word") <= longest
+    said = rare.where(short).join(asked.where(short), ["word", "kind"]).unionByName(spread_join(rare.where(~short), asked.where(~short), ["word", "kind"], "row"))
+    sums_of_rare = said.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).cast("long").alias("n_known"), (F.col("tf") * F.log10(F.col("c") + 1)).alias("base"), (F.col("spelled") * F.col("p")).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
+    parts = found.where("tf = 0").select("row", *(n for n, _ in SUMS)).union(sums_of_rare)
     floor = float(np.log10(trained.train_tokens + trained.distinct + 1))
     return (
         parts.groupBy("row")
-        .agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *[F.sum(n).alias(n) for n, _ in sums[1:]])
+        .agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *[F.sum(n).alias(n) for n, _ in SUMS[1:]])
         .select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))
     )
 
