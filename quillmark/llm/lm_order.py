@@ -26,6 +26,8 @@ PREDICTORS = COUNTED + WORDED
 GATES = 8
 #: Tokens that are looked at together; a longer text is looked at alone.
 TOGETHER = 100_000
+#: Questions after which weights and counts move.
+STEP = 2048
 
 
 class Read(NamedTuple):
@@ -198,8 +200,9 @@ def train(docs: DataFrame, distinct: int, tokens, end: bytes) -> Order:
             for at in range(0, batch.num_rows, 500):
                 for group in together([tokens(t) for t in texts(batch.slice(at, 500), 0)]):
                     q = questions(read(group, end), bits)
-                    learned(m, q, curve)
                     asked += len(q.bit)
+                    for k in range(0, len(q.bit), STEP):
+                        learned(m, Bits(*(x[..., k : k + STEP] for x in q)), curve)
         seen = np.flatnonzero(m.counts.any(axis=0))
         refine, weights = m.refine.reshape(2, -1), m.weights.reshape(-1) * asked
         rows = [(0, seen, m.counts[0][seen], m.counts[1][seen]), (1, np.arange(refine.shape[1]), *refine), (2, np.arange(len(weights)), weights, np.full(len(weights), float(asked)))]
