@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import small
+from quillmark.llm.common import fresh, small, written
 
 MOST = 3  # times that a source's words may be taken
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = list(b" \t\n\x0b\x0c\r")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> dict[str | None, float]:
@@ -42,9 +43,9 @@ class Source(NamedTuple):
 
 
 def plan(sizes: list[tuple[str | None, int]], block: int) -> list[Source]:
-    out = []
+    out, own = [], dict(sizes)
     for name, target in targets(sizes).items():
-        size = dict(sizes)[name]
+        size = own[name]
         blocks = -(-size // block)
         # the last block is short: as many slots as the blocks' mean length fills
         slots = min(round(target * blocks / size), MOST * blocks) if size else 0
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20, size
     take nothing. The same rows and parameters give the same mix at any partitioning.
     """
     spark = docs.sparkSession
-    sizes = sized(docs) if sizes is None else sizes
+    sizes = written(sized(docs), "sizes") if sizes is None else sizes
     totals = [(r.source, int(r.size)) for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     sources = plan(totals, block)
     counts = draw(sources, shards, seed)
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20, size
     spread = cut.repartition(max(1, min(4096, sum(s.slots for s in sources) // 100_000)), "shard", "source", "part")
     slots = spread.select("shard", "source", "blocks", F.explode(F.sequence(F.col("begin") + F.col("part") * step, F.col("begin") + F.least(F.col("n"), (F.col("part") + 1) * step) - 1)).alias("slot"))
     to_block = F.pandas_udf(permutation, "long")
-    return Mix(placed(sizes), slots.select("shard", "source", "slot", to_block("slot", "blocks", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))).alias("block")), sources)
+    return Mix(written(placed(sizes), "placed"), slots.select("shard", "source", "slot", to_block("slot", "blocks", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))).alias("block")), sources)
 
 
 def parts(m: Mix, block: int = 64) -> DataFrame:
@@ -151,48 +152,59 @@ def filled(m: Mix, block: int = 64) -> DataFrame:
     return s.join(p, same).select("s.shard", "s.slot", "s.source", "s.block", "p.doc_id", "p.start", "p.words")
 
 
+def drawn(m: Mix, block: int) -> DataFrame:
+    """source, doc_id, start, size, block, words, times: what each row with words gives to each block that the
+    mix draws, and how often. Counts of blocks grow with the input, so they are never broadcast."""
+    times = m.slots.groupBy("source", "block").agg(F.count("*").alias("times")).hint("merge").alias("t")
+    p = parts(m, block).alias("p")
+    same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
+    return p.join(times, same).select("p.source", "p.doc_id", "p.start", "p.size", "p.block", "words", "times")
+
+
 def taken(m: Mix, block: int = 64) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: words the mix takes, repeats counted."""
     spark = m.sizes.sparkSession
-    times = m.slots.groupBy("source", "block").agg(F.count("*").alias("times")).alias("t")
-    p = parts(m, block).alias("p")
-    same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    got = p.join(times, same).groupBy("p.source", "p.doc_id", "p.start", "p.size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = drawn(m, block).groupBy("source", "doc_id", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     info = spark.createDataFrame([(s.name, s.size, s.target) for s in m.sources], "source string, source_size long, target double")
     z = m.sizes.alias("z")
     rows = z.join(got.alias("g"), F.col("z.source").eqNullSafe(F.col("g.source")) & F.col("z.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("z.start") == F.col("g.start")) & (F.col("z.size") == F.col("g.size")), "left")
     return rows.select("z.doc_id", "z.size", "z.source", F.coalesce("taken", F.lit(0)).alias("taken")).alias("r").join(info.alias("i"), F.col("r.source").eqNullSafe(F.col("i.source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text's stretches (first word, words), in order, each with the white space that follows it."""
+    b = text.encode()
+    blank = np.isin(np.frombuffer(b, dtype=np.uint8), BLANKS)
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    ends = [*starts[1:].tolist(), len(b)]
+    return b"".join(b[int(starts[k]) : ends[k + n - 1]] for k, n in spans).decode()
+
+
 def mixed_documents(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20) -> DataFrame:
-    """The mix as rows of docs, all columns: of each row up to MOST copies, the k-th holding, in order,
-    the words of those blocks that the mix takes k times or more. A copy that keeps all words keeps the
-    text as it is. Their words sum up to `taken`. Rows that the mix doesn't draw are gone."""
+    """The mix as rows of docs, all columns, whatever their names: of each row up to MOST copies, the k-th
+    holding, in order, the words of those blocks that the mix takes k times or more, with the white space
+    behind them. A copy that keeps all words keeps the text as it is; n_chars, where there is such a column, is
+    set anew. Their words sum up to `taken`. Rows that the mix doesn't draw are gone."""
     m = mix(docs, block, shards, seed)
-    times = m.slots.groupBy("source", "block").agg(F.count("*").alias("times")).alias("t")
-    p = parts(m, block).alias("p")
-    same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    drawn = p.join(times, same).groupBy("p.source", "p.doc_id", "p.start", "p.size").agg(F.collect_list(F.struct((F.greatest(F.col("p.block") * block, F.col("p.start")) - F.col("p.start")).alias("from"), "words", "times")).alias("spans"))
+    first = (F.greatest(F.col("block") * block, F.col("start")) - F.col("start")).alias("from")
+    spans = drawn(m, block).groupBy("source", "doc_id", "start", "size").agg(F.collect_list(F.struct(first, "words", "times")).alias("spans"))
     # rows alike in id, source and size: the one that stands n-th takes the n-th list
-    lists = drawn.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.array_sort(F.collect_list(F.struct("start", "spans"))).alias("_lists"))
-    own = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_s": F.col("source").cast("string"), "_z": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
-    own = own.where("_z > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("text"))))
-    both = own.join(lists, own["_i"].eqNullSafe(lists["_id"]) & own["_s"].eqNullSafe(lists["_source"]) & (own["_z"] == lists["_size"]))
-    spans = both.withColumn("_spans", F.get("_lists", F.col("_n") - 1)["spans"]).where("_spans is not null")
-    each = spans.withColumn("_k", F.explode(F.sequence(F.lit(1), F.array_max("_spans.times").cast("int"))))
+    nth = Window.partitionBy("doc_id", "source", "size").orderBy("start")
+    lists = m.sizes.where("size > 0").withColumn("n", F.row_number().over(nth)).alias("z").join(spans.alias("s"), F.col("z.source").eqNullSafe(F.col("s.source")) & F.col("z.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("z.start") == F.col("s.start")) & (F.col("z.size") == F.col("s.size"))).select("z.doc_id", "z.source", "z.size", "n", "spans").alias("l")
     names = list(docs.columns)
-    read = each.select(*names, F.array_sort(F.expr("filter(_spans, s -> s.times >= _k)")).alias("_spans"), "_z")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    own = own.where("size > 0").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("row.text")))).alias("o")
+    same = F.col("o.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("o.source").eqNullSafe(F.col("l.source")) & (F.col("o.size") == F.col("l.size")) & (F.col("o.n") == F.col("l.n"))
+    each = own.join(lists, same).select("row", "o.size", "spans", F.explode(F.sequence(F.lit(1), F.array_max("spans.times").cast("int"))).alias("k"))
+    kept = F.transform(F.array_sort(F.filter("spans", lambda s: s["times"] >= F.col("k"))), lambda s: F.struct(s["from"].alias("from"), s["words"].alias("words")))
+    read = each.select("row", "size", kept.alias("kept")).alias("e").select(*[F.col(f"e.row.`{c}`") for c in names], F.col("e.kept").alias(fresh(docs, "kept_")), F.col("e.size").alias(fresh(docs, "size_")))
 
     def run(batches):
         for batch in small(batches):
             at = batch.schema.get_field_index("text")
             new = []
-            for t, spans, size in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-                if sum(s["words"] for s in spans) == size:
-                    new.append(t)
-                else:
-                    words = t.encode().split()
-                    new.append(b" ".join(w for s in spans for w in words[s["from"] : s["from"] + s["words"]]).decode())
+            for t, some, size in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                new.append(t if sum(s["words"] for s in some) == size else cut(t, [(s["from"], s["words"]) for s in some]))
             cols = batch.columns[: len(names)]
             cols[at] = pa.array(new, cols[at].type)
             if "n_chars" in names:

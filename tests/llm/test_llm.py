@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmark.llm import chat, langid, lm_score, mixing, ngram_join, packing, pii, quality, queries, topk, toxicity
+from quillmark.llm import chat, langid, lm_order, lm_score, mixing, ngram_join, packing, pii, quality, queries, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,7 +27,7 @@ def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns with clashing names."""
     rows = [(1, None, None, None), (2, "", "en", "a"), (None, "a text without an id", "en", "a"), (3, "same words here again", "en", "a"), (3, "same words here again", "en", "a"), (4, "same words here again", "en", "b"), (5, "word " * 50_000, "en", "b"), (6, "x" * 100_000, None, "b"), (7, "\n\t ", "fr", None), (8, "Mail a.b@c.de \U0001f600 or call +49 170 1234567", "en", "a")]
     d = docs(spark, rows)
-    for c in ("score", "n", "sid", "token", "row", "bucket", "size", "start", "kept", "block", "times", "comp"):
+    for c in ("score", "n", "sid", "token", "row", "bucket", "size", "start", "kept", "block", "times", "comp", "_spans", "_lists", "_i", "spans", "k", "dropped", "part", "n_"):
         d = d.withColumn(c, F.lit("clash"))
     return d
 
@@ -336,3 +336,99 @@ def test_pipeline(spark, given):
     words = sum(len(WORD.findall(r.text)) for r in steps[3].collect())
     assert steps[4].agg(F.sum("length")).first()[0] >= words
     assert corpus_pipeline.run(spark, SF).count() == steps[4].count()
+
+
+def test_mixed_and_deduplicated_rows_keep_columns_of_any_name(odd):
+    got = mixing.mixed_documents(odd)
+    assert got.columns == odd.columns
+    want = {r.doc_id: r.taken for r in mixing.taken(mixing.mix(odd)).where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    words = collections.Counter()
+    for r in got.collect():
+        words[r.doc_id] += len(WORD.findall(r.text))
+        assert r["_spans"] == r["dropped"] == r["k"] == "clash" and r.n_chars == len(r.text)
+    assert dict(words) == want
+    assert ngram_join.deduplicated(odd).columns == odd.columns
+
+
+def test_cut_keeps_line_breaks():
+    text = " one two\nthree\tfour\n\nfive  "
+    assert mixing.cut(text, [(0, 2), (2, 2)]) == "one two\nthree\tfour\n\n" and mixing.cut(text, [(1, 1), (4, 1)]) == "two\nfive  "
+
+
+def test_pipeline_on_odd_and_no_rows(spark, odd, none):
+    for d, least in ((odd, 1), (none, 0)):
+        at = d
+        for _, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, SF)
+        assert at.count() >= 0 and (d is odd or at.count() == 0)
+
+
+def test_names_outside_lists_and_parts_of_names():
+    new, found = pii.replace("Zorblat Quux said: MARY JONES and Priya Sharma came. Dear Noah, call 5551234567 or phone 555-0199. Later Jones left; Mary's car. The United Nations said no.", b"k")
+    for v in ("Zorblat", "Quux", "MARY", "JONES", "Jones", "Priya", "Sharma", "Noah", "5551234567", "555-0199", "Mary"):
+        assert v not in new
+    assert "The United Nations said no." in new
+    by = {(k, v): s for k, v, s in found}
+    assert by["name", "MARY JONES"].split()[1].casefold() == by["surname", "Jones"].casefold()
+    assert by["name", "MARY JONES"].split()[0].casefold() == by["name", "Mary"].casefold()
+
+
+def test_a_persons_surrogate_is_the_same_beside_any_other():
+    names = ["Mary", "Anna", "Emma", "Laura", "Sarah", "Julia"]
+    alone = {n: pii.replace(f"Here is {n}.", b"k")[1][0][2] for n in names}
+    _, found = pii.replace("Here are " + ", ".join(names) + ".", b"k")
+    assert {v: s for _, v, s in found} == alone and len(set(alone.values())) == len(names) and not any("[" in s for s in alone.values())
+    for v, end in (("Иванова", "ова"), ("Петров", "ов"), ("Достоевский", "ский")):
+        s = pii.surname(b"k", v)
+        assert s.endswith(end) and s != v and len(s) == len(v)
+
+
+def test_reading_order_brute_force():
+    rng = np.random.default_rng(4)
+    split = [[b"w%d" % k for k in rng.integers(0, 6, n)] for n in (40, 0, 25, 300)]
+    model = lm_order.start(12)
+    for _ in range(3):
+        lm_order.learned(model, lm_order.questions(lm_order.read(split, b""), 12), np.full(lm_order.GATES * (lm_order.PREDICTORS + 1), 50.0))
+    r = lm_order.read(split, b"")
+    h, q = lm_order.heard(model, r), lm_order.questions(r, 12)
+    p = dict(zip(zip(q.token.tolist(), (q.gate // 4).tolist()), lm_order.probabilities(model, q).tolist()))
+    at, asked = 0, 0
+    for words in split:
+        last: dict = {}
+        before = [None, None]
+        for w in [*words, b""]:
+            want, named = 0.0, False
+            two, one = last.get(tuple(before)), last.get(before[1])
+            if two is not None:
+                asked, named = asked + 1, two == w
+                want += math.log10(p[at, 0] if named else 1 - p[at, 0])
+            if not named and one is not None and one != two:
+                asked, named = asked + 1, one == w
+                want += math.log10(p[at, 1] if named else 1 - p[at, 1])
+            assert h.named[at] == named and h.log10[at] == pytest.approx(want)
+            last[tuple(before)] = last[before[1]] = w
+            before, at = [before[1], w], at + 1
+    assert at == len(r.token) and asked == len(q.bit) > 300
+
+
+def test_lm_hears_the_order_of_words(spark, given):
+    t = lm_score.train(lm_score.train_fold(given))
+    phrase = "the road goes ever on and on down from the door".split()
+    again, mixed = " ".join(phrase * 6), " ".join(np.random.default_rng(1).permutation(phrase * 6))
+    got = {r.doc_id: r.score for r in lm_score.score(docs(spark, [(1, again, "en", "a"), (2, mixed, "en", "a")]), t).collect()}
+    assert got[1] > got[2] + 5
+
+
+def test_code_of_bytes():
+    code = lm_score.code_of(np.bincount(np.frombuffer(b"aaaaaaabbbc" * 1000, np.uint8), minlength=256))
+    assert code.size[97] == 1 and code.size[98] == 2 and sum(2.0**-n for n in code.size) == 1
+    said = {tuple(code.bit[b, : code.size[b]].tolist()) for b in range(256)}
+    assert len(said) == 256 and (lm_score.EVEN.size == 8).all()
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from quillmark.llm.common import bounded_sample
+
+    d = spark.range(5000).selectExpr("id % 3000 as id").union(spark.range(4000).selectExpr("7L as id"))
+    n = bounded_sample(d, "id", 1000).count()
+    assert 500 < n <= 1000 and bounded_sample(d, "id", 10_000).count() == 9000
