@@ -43,6 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all of `documents`, each written and read again as the next one's input.
+
+    Null and empty texts are what the quality rules reject. Rows that repeat an id are judged one by one, and
+    all go or stay together as near copies. Null ids stay through every stage; an empty table gives no rows.
+    Further columns travel along, whatever their names, until packing, which gives its own."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
