@@ -43,6 +43,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand tasks at most so many rows at a time, as texts may be long: both sides of the way to
+    Python hold a batch. A session that was given a number of its own keeps it."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it in any case."""
     used = {c.lower() for c in df.columns}

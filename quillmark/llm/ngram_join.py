@@ -102,7 +102,7 @@ def text_key(text: str) -> int:
 class Seen:
     """Remembers a bounded number of keys, to do repeated texts once a task."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.keys, self.most = set(), most
 
     def new(self, key: int) -> bool:
@@ -131,7 +131,8 @@ def sets(docs: DataFrame) -> DataFrame:
                 np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
-        few = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CHUNK)
+        few = np.minimum(cells, 255, out=cells).astype(np.uint8).reshape(-1, CHUNK)
+        del cells
         used = np.flatnonzero(few.any(axis=1))
         if len(used):
             none, pack = pa.nulls(len(used), pa.int64()), pa.Codec("zstd")
@@ -153,7 +154,7 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 cells = np.frombuffer(pack.decompress(x, CHUNK, asbytes=True), dtype=np.uint8)
-                sums.setdefault(c, np.zeros(CHUNK, dtype=np.int64))[:] += cells
+                sums.setdefault(c, np.zeros(CHUNK, dtype=np.int32))[:] += cells
         for c, x in sums.items():
             excess = (x - mean) / (4 * np.sqrt(mean) + 1)
             level = np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)

@@ -18,7 +18,7 @@ from quillmark.llm.common import Batches, small, texts
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 #: Distinct parts of words whose ids a worker remembers; beyond, the older half is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: Signs that the normalizer leaves as they are but for lower-casing, and whose kinds every edition of the
 #: character tables knows alike: printable ASCII, Latin and Cyrillic. Words with others go through the
@@ -131,7 +131,7 @@ def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return placed, cost
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_sequences: int = 2048, linear: float = 1.0, quadratic: float | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_sequences: int = 1024, linear: float = 1.0, quadratic: float | None = None) -> DataFrame:
     """Pieces of every document with their place in a sequence; `ids` are little-endian uint32.
 
     Each task packs what it reads in blocks of about block_sequences sequences, so nothing is

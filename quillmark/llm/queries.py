@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, langid, lm_score, mixing, ngram_join, packing, pii, quality, topk, toxicity
-from quillmark.llm.common import fold, table
+from quillmark.llm.common import few_rows, fold, table
 
 #: Key of the surrogates that the query makes; a deployment passes its own.
 DEMO_KEY = b"quillmark-demo-key"
@@ -79,7 +80,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_packing, op2_toxicity, op3_quality_cascade, op4_chat_formatting, op5_exact_top_k, op6_mixing, op7_ngram_jaccard_join, op8_lm_scoring, op9_pii_surrogates, op10_language_id, pipeline)
-    return {f.__name__: f for f in own}
+
+    def with_few_rows(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            few_rows(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: with_few_rows(f) for f in own}
 
 
 OP3 = r"""
