@@ -20,14 +20,14 @@ from quillmark.llm.common import Batches, texts
 CLIP, BINS = 12.0, 33
 SMALL = 10  # bits of the contexts made of counters
 #: Contexts that hold words grow with the vocabulary up to so many bits; beyond, words share slots.
-MOST_BITS = 20
+MOST_BITS = 18
 COUNTED, WORDED = 3, 3
 PREDICTORS = COUNTED + WORDED
 GATES = 8
 #: Tokens that are looked at together; a longer text is looked at alone.
-TOGETHER = 100_000
+TOGETHER = 20_000
 #: Questions after which weights and counts move.
-STEP = 2048
+STEP = 4096
 
 
 class Read(NamedTuple):
@@ -166,14 +166,13 @@ def learned(m: Order, q: Bits, curve: np.ndarray, rate: float = 0.3) -> None:
     """One step: the mixer answers, its weights move by its errors, then the contexts count what came."""
     st, z = mixed(m, q)
     p, n = 1 / (1 + np.exp(-z)), GATES * (PREDICTORS + 1)
-    np.add.at(m.refine, (q.bit, q.gate, bins(z)), 1)
+    m.refine.reshape(-1)[:] += np.bincount((q.bit * GATES + q.gate) * BINS + bins(z), minlength=m.refine.size)
     error, bend = q.bit - p, p * (1 - p) * np.abs(st).sum(0)
     keys = q.gate * (PREDICTORS + 1) + np.arange(PREDICTORS + 1)[:, None]
     curve *= 0.995
     curve += np.bincount(keys.ravel(), (np.abs(st) * bend).ravel(), n)
     m.weights.reshape(-1)[:] += rate * np.bincount(keys.ravel(), (st * error).ravel(), n) / (curve + 50)
-    for row in q.slots:
-        np.add.at(m.counts, (q.bit, row), 1)
+    np.add.at(m.counts.reshape(-1), (q.bit * m.counts.shape[1] + q.slots).ravel(), 1.0)
 
 
 def together(split: list[list[bytes]]) -> list[list[list[bytes]]]:

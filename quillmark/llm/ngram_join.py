@@ -330,32 +330,36 @@ def fits(x: str, y: str) -> Column:
 MARKS = 4
 
 
-def marked(active: DataFrame) -> DataFrame:
-    """sid, marks: one bit for each of a set's tokens that meet others, and spare: how many fell on bits already set.
+def marked(filed: DataFrame) -> DataFrame:
+    """Adds marks, one bit for each of a set's filed tokens up to this one in the order of all tokens, and spare:
+    how many of those fell on bits already set.
 
-    Two sets that share k tokens share at least k - spare bits, with either one's spare."""
+    If this is the k-th token that two sets share, their marks have at least k - spare bits in common, with
+    either one's spare. A set's tokens stand in that order as `most` falls."""
     bit = F.pmod(F.xxhash64("token"), F.lit(64 * MARKS))
-    word = lambda k: F.bit_or(F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * MARKS}) % 64 as int))")).otherwise(F.lit(0).cast("long")))
-    own = active.groupBy("sid").agg(F.count("*").alias("k"), *[word(k).alias(f"w{k}") for k in range(MARKS)])
+    so_far = Window.partitionBy("sid").orderBy(F.desc("most")).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * MARKS}) % 64 as int))")
+    words = {f"w{k}": F.bit_or(F.when(F.floor(bit / 64) == k, own).otherwise(F.lit(0).cast("long"))).over(so_far) for k in range(MARKS)}
     used = sum((F.bit_count(f"w{k}") for k in range(MARKS)), F.lit(0))
-    return own.select("sid", (F.col("k") - used).cast("int").alias("spare"), *[f"w{k}" for k in range(MARKS)])
+    return filed.withColumns(words | {"spare": F.count("*").over(so_far).cast("int")}).withColumn("spare", F.col("spare") - used)
 
 
-def candidates(filed: DataFrame, active: DataFrame, by: str = "sid", wide: int = 500) -> DataFrame:
-    """a, b: pairs of filed sets (token, sid, n, m, most) that differ in the column `by`, fit in size and
-    position and share as many tokens as they must.
+def candidates(filed: DataFrame, by: str = "sid", wide: int = 500) -> DataFrame:
+    """a, b: pairs of filed sets (token, sid, n, m, most) that differ in the column `by` and may share as many
+    tokens as they must, at places and of sizes that fit.
 
-    A pair is dropped where the sets meet if their marks share too few bits. A token's sets are parted in
-    groups of some `wide`; each two groups, and each with itself, meet in a cell of their own."""
+    Linked sets share m tokens or more that fit; at the m-th of them their marks tell of m - spare or more, and
+    only there, or later, a pair is made. A token's sets are parted in groups of some `wide`; each two
+    groups, and each with itself, meet in a cell of their own."""
     buckets = filed.groupBy("token").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.count("*").alias("size")).where("low < high")
-    open_ = spread_join(filed, buckets.select("token", F.least(F.ceil(F.col("size") / wide), F.lit(1 << 10)).cast("int").alias("groups")), ["token"], "sid").where("groups is not null")
-    dealt = open_.join(marked(active), "sid").withColumn("own", F.expr("cast(pmod(xxhash64(sid), groups) as int)")).withColumn("other", F.explode(F.expr("sequence(0, groups - 1)")))
+    told = spread_join(marked(filed), buckets.select("token", F.least(F.ceil(F.col("size") / wide), F.lit(1 << 10)).cast("int").alias("groups")), ["token"], "sid")
+    dealt = told.where("groups is not null").withColumn("own", F.expr("cast(pmod(xxhash64(sid), groups) as int)")).withColumn("other", F.explode(F.expr("sequence(0, groups - 1)")))
     dealt = written(dealt.withColumn("cell", F.least("own", "other") * 1024 + F.greatest("own", "other")).drop("other", "groups"), "dealt")
     common = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(MARKS)), F.lit(0))
     enough = common + F.least("x.spare", "y.spare") >= F.least("x.m", "y.m")
     once = (F.col("x.own") != F.col("y.own")) | (F.col("x.cell") == F.col("x.own") * 1025)
     met = dealt.alias("x").join(dealt.alias("y"), ["token", "cell"]).where((F.col("x.sid") < F.col("y.sid")) & (F.col(f"x.{by}") != F.col(f"y.{by}")) & once & fits("x", "y") & enough)
-    return met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+    return met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
 class Links(NamedTuple):
@@ -370,7 +374,7 @@ def links(docs: DataFrame, wide: int = 500) -> Links:
     by membership. Rows without an id or words link nothing; rows that repeat an id and text count once."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, active, stored = filed_sets(docs)
-    pairs = candidates(active.drop("band"), active, "sid", wide)
+    pairs = candidates(active.drop("band"), "sid", wide)
     found = written(verified(written(pairs, "pairs"), stored), "links")
     own = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "sid").distinct()
     size = own.groupBy("sid").agg(F.count("*").alias("size"))
@@ -400,7 +404,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comp = components(first)
 
     label = active.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    pairs = candidates(label.drop("band"), active, "comp")
+    pairs = candidates(label.drop("band"), "comp")
     links = first.union(verified(written(pairs, "pairs"), stored))
     # the least id of each set, of each component, and back
     lone = written(members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least")).join(components(links), "sid", "left"), "lone")
