@@ -286,7 +286,7 @@ def parted(words: list[bytes]) -> Iterator[list[int]]:
         yield part
 
 
-def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 4_000_000) -> DataFrame:
+def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 2_000_000) -> DataFrame:
     """predictor int, key long, n0 double, n1 double: how often each context that is looked up by key saw
     each bit, over all words. Tasks add up at most some `held` contexts before they hand them on."""
 
@@ -401,11 +401,11 @@ def checks_of(keys: np.ndarray) -> np.ndarray:
 
 
 def sized(counts: DataFrame) -> tuple[tuple[int, ...], Table]:
-    """Of `context_counts`: bits by predictor, and the table. There are four slots or more for each context
+    """Of `context_counts`: bits by predictor, and the table. There are two slots or more for each context
     counted; of those that share a slot the one seen more often has it."""
     counts = written(counts, "contexts")
     n = {r.predictor: r["count"] for r in counts.groupBy("predictor").count().collect()}
-    table_bits = tuple(max(8, (4 * n.get(i, 0) - 1).bit_length()) for i in range(len(ORDERS)))
+    table_bits = tuple(max(8, (2 * n.get(i, 0) - 1).bit_length()) for i in range(len(ORDERS)))
     slots, tables, checks = [], [], []
     for i in range(len(ORDERS)):
         got = counts.where(F.col("predictor") == i).select("key", "n0", "n1").toArrow()
