@@ -85,6 +85,7 @@ def code_profile(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         "connectives": code_metrics.connective_counts(corpus),
         "typography": code_metrics.typography(corpus, config.handwritten_until),
         "repositories": code_metrics.repositories(corpus),
+        "totals": code_metrics.totals(corpus),
     }
 
 

@@ -402,9 +402,10 @@ PSEUDONYM_SQL = "SELECT DISTINCT conv_id, 'chat-' || substr(sha256(conv_id || ':
 
 
 def code_overlaps(spark, sf_dir):
-    """Each document as a comment on the benchmark item of its number."""
-    b = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 40).alias("k"), F.col("text").alias("code")).groupBy("k").agg(F.min("code").alias("code"))
-    d = read(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 40).join(b, "k")
+    """Each document as a comment on the benchmark item whose rank is its number modulo the count of items."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("code"))
+    b = items.withColumn("k", F.row_number().over(Window.orderBy("item_id", "code")) - 1)
+    d = read(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % F.lit(max(1, items.count()))).join(b, "k")
     return d.select("doc_id", half_up(code_overlap(F.col("text"), F.col("code")), 3).alias("overlap"))
 
 
@@ -412,7 +413,7 @@ def _words_sql(c: str) -> str:
     return rf"list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all({c}, '\p{{L}}{{3,}}'), lambda w: string_split(regexp_replace(w, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), ' '))), lambda w: lower(w)), lambda w: length(w) >= 3))"
 
 
-OVERLAP_SQL = f"""WITH b AS (SELECT item_id % 40 AS k, min(text) AS code FROM benchmark GROUP BY 1), j AS (SELECT doc_id, {_words_sql('d.text')} AS own, {_words_sql('code')} AS theirs FROM documents d JOIN b ON b.k = d.doc_id % 40)
+OVERLAP_SQL = f"""WITH b AS (SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS k, text AS code FROM benchmark), j AS (SELECT doc_id, {_words_sql('d.text')} AS own, {_words_sql('code')} AS theirs FROM documents d JOIN b ON b.k = d.doc_id % (SELECT greatest(count(*), 1) FROM benchmark))
 SELECT doc_id, floor((CASE WHEN len(own) = 0 OR len(theirs) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(own, theirs))::DOUBLE / len(own) END) * 1000 + 0.5) / 1000 AS overlap FROM j"""
 
 

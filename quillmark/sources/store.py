@@ -83,6 +83,12 @@ class Store:
         at = f"profile_{half}/{name}"
         return self.spark.read.parquet(self._at(at)) if self._exists(at) else None
 
+    def _parts(self, name: str) -> list[str]:
+        """Names of the tables in a folder of the store."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
+        return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
     def export(self, to: str) -> None:
         """A copy for serving: turns, indexes, profiles and meta. The place must not exist."""
         names = ["turns", "postings", "context_postings", "meta", *(f"profile_{h}" for h in ("chat", "code"))]
@@ -93,9 +99,8 @@ class Store:
             if not self._exists(n):
                 continue
             if n.startswith("profile_"):
-                for part in ("registers", "markers", "habits", "typography", "sizes", "code_markers"):
-                    if (df := self.profile(n.removeprefix("profile_"), part)) is not None:
-                        df.write.mode("errorifexists").parquet(f"{to}/{n}/{part}")
+                for part in self._parts(n):
+                    self.spark.read.parquet(self._at(f"{n}/{part}")).write.mode("errorifexists").parquet(f"{to}/{n}/{part}")
             else:
                 writer = self.spark.read.parquet(self._at(n)).write.mode("errorifexists")
                 (writer.partitionBy("register") if n == "turns" else writer).parquet(f"{to}/{n}")

@@ -325,3 +325,12 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(60)
     bursts.ingest(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
+
+
+def test_an_export_keeps_every_profile_table(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/own")
+    tables = {name: spark.createDataFrame([(name,)], "label string") for name in ("sizes", "connectives", "repositories", "totals")}
+    s.save_profile("code", tables)
+    s.export(f"file://{tmp_path}/copy")
+    copied = store.Store(spark, f"file://{tmp_path}/copy")
+    assert {name: copied.profile("code", name).first().label for name in tables} == {name: name for name in tables}
