@@ -78,6 +78,13 @@ def reported(rows: DataFrame, rules: list[Column], ready: Column, n: Column) ->
     return scored.withColumn("verdict", verdict).drop("_ready", "_found")
 
 
+def unmeasured(texts: DataFrame) -> DataFrame:
+    """texts (id, register, text) of registers without a profile: score 0 and no findings."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: trimmed(s) != "")
+    none = reported(texts, [F.lit(None).cast(FINDING)], F.lit(False), F.size(parts))
+    return none.select("id", "register", "score", "verdict", "messages", "findings")
+
+
 def check_texts(texts: DataFrame, profile: DataFrame, declared: tuple[NeverMark, ...] = ()) -> DataFrame:
     """texts (id, register, text) against profile rows (register, message_length, turn_length,
     punctuation, bursts, emoji, list_share, markdown_share, mark_shares), shares in percent and null

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillmark.config import NeverMark
-from quillmark.operators import habits, metrics, score, search
-from quillmark.sources.store import Store
+from quillmark.operators import code_metrics, habits, metrics, score, search
+from quillmark.sources.store import CODE, Store
 
 DEFAULT_EXAMPLES, DEFAULT_FOUND = 18, 15
 
@@ -65,8 +65,38 @@ def score_profile(store: Store) -> DataFrame:
     return metrics.chosen_window(store.profile("chat", "registers")).withColumnRenamed("facet", "register").crossJoin(shares).crossJoin(marks)  # one row each
 
 
+def comment_marks(store: Store) -> DataFrame:
+    """genre and mark_shares, a map by label: at most two rows."""
+    marks = store.profile("code", "typography")
+    return marks.groupBy("genre").agg(F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("mark_shares"))
+
+
 def check(store: Store, texts: DataFrame, declared: tuple[NeverMark, ...] = ()) -> DataFrame:
-    return score.check_texts(texts, score_profile(store), declared)
+    """texts: id, register, text and, if at hand, code, what a comment stands by. Registers code and jsdoc
+    are held to the rules of comments, all others to those of messages. A half of the profile that isn't
+    built scores 0."""
+    texts = texts if "code" in texts.columns else texts.withColumn("code", F.lit(None).cast("string"))
+    is_comment = F.coalesce(F.col("register").isin(*CODE), F.lit(False))
+    said, comments = texts.where(~is_comment), texts.where(is_comment)
+    said = score.check_texts(said, score_profile(store), declared) if store.profile("chat", "registers") is not None else score.unmeasured(said)
+    sizes = store.profile("code", "sizes")
+    if sizes is None:
+        return said.unionByName(score.unmeasured(comments))
+    split = code_metrics.split_markers(store.profile("code", "code_markers")).first()
+    return said.unionByName(score.check_comments(comments, sizes, split.own, split.foreign, comment_marks(store), declared))
+
+
+def reply_constraints(quality: Row | None, limit: int) -> list[Constraint]:
+    """What the examples of a reply are worth, from a pair_quality row (None: no examples), and two fixed lines."""
+    if quality is None or quality.few_pairs:
+        worth = [Constraint("examples_by_topic_only", True)]
+    else:
+        worth = [Constraint("pairs_found", (quality.pairs, limit))] * quality.short + [Constraint("pairs_by_order_only", True)] * quality.none_quoted
+    return [*worth, Constraint("answer_without_retelling", True), Constraint("greet_only_at_the_start", True)]
+
+
+#: Held by every rephrasing.
+REPHRASE = [Constraint("keep_all_facts", True), Constraint("add_and_drop_nothing", True), Constraint("shorten_what_is_longer_than_usual", True)]
 
 
 def percent(share: float) -> str:
@@ -117,9 +147,7 @@ def constraints(store: Store, register: str, declared: tuple[NeverMark, ...] = (
         row = sizes.where(F.col("genre") == register).first() if sizes is not None else None
         if row is None:
             return []
-        from quillmark.operators.code_metrics import split_markers
-
-        own = split_markers(store.profile("code", "code_markers")).first()
+        own = code_metrics.split_markers(store.profile("code", "code_markers")).first()
         marks = store.profile("code", "typography").where(F.col("genre") == register)
         head = code_constraints(row, own.own if own else [])
     else:

@@ -11,7 +11,7 @@ from quillmark.config import Config
 from quillmark.functions.text import script_language
 from quillmark.operators import code_metrics, comments, habits, lexicon, metrics, redact, turns
 from quillmark.sources import export, repositories
-from quillmark.sources.store import CHAT, CODE, Store, with_ids
+from quillmark.sources.store import CHAT, CODE, Store, missing, refreshed, with_ids
 
 #: Surnames that one pattern may hold; an export that names more people is an error, not a slow pattern.
 MOST_SURNAMES = 20_000
@@ -67,13 +67,13 @@ def build_chat(spark: SparkSession, path: str, store: Store, config: Config | No
     expect_owner(store, owner)
     marked = corpus_messages(rows, owner).persist()
     built = turns.build_turns(marked, config).withColumn("lang", script_language(F.col("text")))
-    numbered = turns.pick_holdout(with_ids(built, 1_000_000_000), config.holdout_size)
+    numbered = turns.pick_holdout(with_ids(built, store.next_id(CHAT)), config.holdout_size)
     store.write_turns(numbered, CHAT)
     store.rebuild_indexes()
     corpus = store.turns().where(F.col("register").isin(*CHAT))
     store.save_profile("chat", chat_profile(corpus, marked, config, now.year))
     report = {r.reason: r.n for r in turns.filter_stats(marked).collect()} | {"turns": corpus.count()}
-    store.set_meta({"owner_id": owner, "built_at": now.isoformat(), **{f"report.{k}": str(v) for k, v in report.items()}})
+    store.set_meta({"owner_id": owner, "built_at": now.isoformat(), "recent_from": str(config.recent_from(now.year)), **{f"report.{k}": str(v) for k, v in report.items()}})
     marked.unpersist()
     return report
 
@@ -89,15 +89,23 @@ def code_profile(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
     }
 
 
-def build_code(spark: SparkSession, repos: dict[str, str], store: Store, config: Config) -> int:
-    """Reads repositories (name: root) and replaces the code half of the store; wrong roots change nothing."""
+def build_code(spark: SparkSession, repos: dict[str, str], store: Store, config: Config, now: datetime.datetime | None = None) -> int:
+    """Reads repositories (name: root) and replaces the code half of the store; wrong roots change nothing.
+
+    Only files whose content is new since the last build are blamed; the other lines come from the store."""
+    now = now or datetime.datetime.now(datetime.UTC)
     files = repositories.candidates(spark, repos, list(config.code_emails)).persist()
-    found = comments.comment_corpus(repositories.read_files(files), repositories.read_blame(files), list(config.code_emails)).persist()
-    store.write_turns(with_ids(comments.comment_turns(found, config.longform_min_chars), 1).withColumn("holdout", F.lit(False)), CODE)
+    cache = store.blame()
+    todo = missing(files, cache).persist()
+    counts = {"report.files": files.count(), "report.files_blamed": todo.count()}
+    store.save_blame(refreshed(cache, files, repositories.read_blame(todo)))
+    found = comments.comment_corpus(repositories.read_files(files), store.blame(), list(config.code_emails)).persist()
+    built = with_ids(comments.comment_turns(found, config.longform_min_chars), store.next_id(CODE))
+    store.write_turns(built.withColumn("holdout", F.lit(False)), CODE)
     store.rebuild_indexes()
     store.save_profile("code", code_profile(found, config))
-    store.set_meta({"code_emails": ",".join(config.code_emails)})
+    store.set_meta({"code_emails": ",".join(config.code_emails), "code_built_at": now.isoformat(), **{k: str(v) for k, v in counts.items()}})
     n = found.count()
-    found.unpersist()
-    files.unpersist()
+    for df in (found, todo, files):
+        df.unpersist()
     return n

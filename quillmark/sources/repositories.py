@@ -40,8 +40,16 @@ def candidates(spark: SparkSession, repos: dict[str, str], emails: list[str]) ->
     bad = [root for root in repos.values() if not is_repository(root)]
     if bad:
         raise ValueError(f"not a repository: {', '.join(bad)}")
-    rows = [(name, root, path, blob) for name, root in repos.items() for own in [touched(root, emails)] for path, blob in sorted(tracked(root).items()) if path in own]
-    return spark.createDataFrame(rows, "repo string, root string, path string, blob string")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, root in zip(part["repo"], part["root"]):
+                own = touched(root, emails)
+                rows = [(name, root, path, blob) for path, blob in sorted(tracked(root).items()) if path in own]
+                yield pd.DataFrame(rows, columns=["repo", "root", "path", "blob"])
+
+    roots = spark.createDataFrame(sorted(repos.items()), "repo string, root string").repartition(max(1, len(repos)), "repo")
+    return roots.mapInPandas(run, "repo string, root string, path string, blob string")
 
 
 def read_files(files: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 turns/ is partitioned by register, so the chat and the code half are overwritten apart. postings/ and
 context_postings/ are the two search indexes; profile_chat/ and profile_code/ the two halves of the
-profile; meta/ holds key and value rows."""
+profile; blame/ keeps the authors of lines for the next build; meta/ holds key and value rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.search import Index, build_index
@@ -18,6 +20,15 @@ TURN = (
 )
 COLUMNS = [c.strip().split(" ")[0] for c in TURN.split(", ")]
 CHAT, CODE = ("dm", "group"), ("code", "jsdoc")
+BLAME = "repo string, path string, blob string, line_no int, email string, year int"
+
+
+class Profile(NamedTuple):
+    """Both halves: tables by name, the code half's under code_<name>; scalars are the chat half's where it has them."""
+
+    built_at: str
+    recent_from: int
+    tables: dict[str, DataFrame]
 
 
 class Store:
@@ -42,17 +53,20 @@ class Store:
     def turn(self, id: int) -> DataFrame:
         return self.turns().where(F.col("id") == id)
 
-    def next_id(self) -> int:
-        return self.turns().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    def next_id(self, replaced: tuple[str, ...] = ()) -> int:
+        """One beyond every id that stays when the turns of these registers are replaced."""
+        kept = self.turns().where(~F.col("register").isin(*replaced)) if replaced else self.turns()
+        return kept.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
 
     def write_turns(self, turns: DataFrame, registers: tuple[str, ...]) -> None:
         """Replaces the turns of these registers, one job, others untouched; a register without new turns
         is emptied. `turns` must not read this store's same registers."""
+        seen = Observation()
         rows = turns.where(F.col("register").isin(*registers)).select(*COLUMNS)
+        rows = rows.observe(seen, *[F.count(F.when(F.col("register") == r, 1)).alias(r) for r in registers])
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("register").parquet(self._at("turns"))
-        new = {r.register for r in rows.select("register").distinct().collect()}
         jvm = self.spark._jvm
-        for r in set(registers) - new:
+        for r in [r for r in registers if seen.get[r] == 0]:
             gone = jvm.org.apache.hadoop.fs.Path(f"{self._at('turns')}/register={r}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
@@ -83,6 +97,28 @@ class Store:
         at = f"profile_{half}/{name}"
         return self.spark.read.parquet(self._at(at)) if self._exists(at) else None
 
+    def blame(self) -> DataFrame:
+        return self._read("blame", BLAME)
+
+    def save_blame(self, rows: DataFrame) -> None:
+        """Replaces the cache by `rows`, which may read it: they are written beside it and then take its
+        place. A run lost between these two steps leaves no cache, so the next one fills it anew."""
+        rows.write.mode("overwrite").parquet(self._at("blame.next"))
+        now, to = (self.spark._jvm.org.apache.hadoop.fs.Path(self._at(n)) for n in ("blame.next", "blame"))
+        fs = now.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(to, True)
+        if not fs.rename(now, to):
+            raise OSError(f"{now} can't take the place of {to}")
+
+    def merged_profile(self) -> Profile | None:
+        """None before the first build."""
+        halves = [(h, n) for h in ("chat", "code") if self._exists(f"profile_{h}") for n in self._parts(f"profile_{h}")]
+        if not halves:
+            return None
+        named = {n if h == "chat" or n.startswith("code_") else f"code_{n}": self.profile(h, n) for h, n in halves}
+        meta = self.meta()
+        return Profile(meta.get("built_at", meta.get("code_built_at", "")), int(meta.get("recent_from", "0")), named)
+
     def _parts(self, name: str) -> list[str]:
         """Names of the tables in a folder of the store."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))

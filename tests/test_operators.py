@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,3 +335,52 @@ def test_an_export_keeps_every_profile_table(spark, tmp_path):
     s.export(f"file://{tmp_path}/copy")
     copied = store.Store(spark, f"file://{tmp_path}/copy")
     assert {name: copied.profile("code", name).first().label for name in tables} == {name: name for name in tables}
+
+
+def test_code_build_blames_what_is_new(spark, tmp_path):
+    import subprocess
+
+    from quillmark.plans import brief, build, report
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=Me", "-c", "user.email=me@x.y", *a], check=True, capture_output=True)
+    run("init")
+    (root / "a.py").write_text("# Keeps the order, because later steps rely on it.\nx = 1\n")
+    (root / "b.py").write_text("# TODO drop this branch when the old format is gone.\ny = 2\n")
+    run("add", ".")
+    run("commit", "-m", "first")
+    s = store.Store(spark, f"file://{tmp_path}/corpus")
+    nothing = spark.createDataFrame([(0, "dm", "Да."), (1, "code", "x")], "id int, register string, text string")
+    assert [(r.score, r.verdict) for r in brief.check(s, nothing).collect()] == [(0, "nothing to check")] * 2 and s.merged_profile() is None
+    config_ = config.Config(code_emails=("me@x.y",))
+    (tmp_path / "dump.json").write_text(json.dumps(chats()))
+    build.build_chat(spark, f"file://{tmp_path}/dump.json", s, config.Config(holdout_size=0, chat_stop_list=("spam",)), datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC))
+    assert build.build_code(spark, {"r": str(root)}, s, config_) == 2
+    assert s.meta()["report.files_blamed"] == "2" and sorted(r.id for r in s.turns().select("id").collect()) == [1, 2, 3, 4, 5]
+    (root / "b.py").write_text("# TODO drop this branch when the old format is gone.\ny = 3\n")
+    run("commit", "-am", "second")
+    assert build.build_code(spark, {"r": str(root)}, s, config_) == 2
+    assert (s.meta()["report.files"], s.meta()["report.files_blamed"]) == ("2", "1")
+    assert {(r.path, r.line_no, r.email) for r in s.blame().collect()} == {(p, n, "me@x.y") for p in ("a.py", "b.py") for n in (1, 2)}
+    merged = s.merged_profile()
+    assert merged.built_at.startswith("2026-01-01") and merged.recent_from == 2025
+    assert {"registers", "typography", "code_sizes", "code_typography", "code_markers"} <= set(merged.tables)
+    texts = spark.createDataFrame([(0, "code", "FIXME 👍", ""), (1, "dm", "Да.", None)], "id int, register string, text string, code string")
+    got = {r.id: r for r in brief.check(s, texts).collect()}
+    assert {f.rule[:2] for f in got[0].findings} == {"K4", "K7"} and got[1].messages == 1
+    shown = report.render_profile(s, "code", full=True)
+    assert "because: 1" in shown and "own: TODO (1)" in shown and "## Repositories" in shown
+    assert "## Bursts" in report.render_profile(s, "dm") and "empty" in report.render_profile(s, "group")
+    assert "files known: 1" in report.render_code_report(s) and "turns: 3" in report.render_report(s)
+    s.export(f"file://{tmp_path}/copy")
+    assert store.Store(spark, f"file://{tmp_path}/copy").blame().count() == 0
+
+
+def test_reply_notes(spark):
+    from quillmark.plans import brief
+
+    Quality = namedtuple("Quality", "pairs few_pairs short none_quoted")
+    names = lambda q: [c.name for c in brief.reply_constraints(q, 4)][:-2]
+    assert names(None) == names(Quality(0, True, False, False)) == ["examples_by_topic_only"]
+    assert names(Quality(2, False, True, True)) == ["pairs_found", "pairs_by_order_only"] and names(Quality(4, False, False, False)) == []
