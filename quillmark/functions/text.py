@@ -7,8 +7,9 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of the Unicode kind, as a character class body and as a class.
-SPACES = r"\t\n\x0B\f\r " + "".join(rf"\x{{{c:X}}}" for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+#: White space of the Unicode kind: as characters, as a character class body and as a class.
+BLANKS = "\t\n\x0b\f\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+SPACES = r"\t\n\x0B\f\r " + "".join(rf"\x{{{ord(c):X}}}" for c in BLANKS[6:])
 SPACE = f"[{SPACES}]"
 #: A word's edge that knows ASCII word characters only.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -24,7 +25,7 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def shortened(text: Column, n: int) -> Column:
@@ -60,12 +61,15 @@ def utc_year(seconds: Column) -> Column:
 def emoji_pattern() -> str:
     """Pictographs of the Unicode emoji data, and the katakana letter that chats use as a face.
 
-    The ranges are taken from the property itself, which Java's patterns don't know."""
+    The ranges are taken from the property itself, which Java's patterns don't know. A class of so many
+    ranges is slow to miss, so letters and the like are turned away by a short one before it."""
     import regex
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     spans = [(ord(m[0][0]), ord(m[0][-1])) for m in regex.finditer(r"\p{Extended_Pictographic}+", every)]
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "ツ]"
+    body = lambda xs: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in xs)
+    low = [x for x in spans if x[1] < 0x2000]
+    return rf"(?=[{body(low)}\x{{2000}}-\x{{10FFFF}}])[{body(spans)}ツ]"
 
 
 def around(text: Column, mark: str) -> Column:

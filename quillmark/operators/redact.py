@@ -17,13 +17,14 @@ SURNAME = "<имя>"
 PLACEHOLDER_WORDS = ("ссылка", "телефон", "почта", "карта", "имя", "собеседник")
 
 EMAIL = rf"(?i){EDGE}[A-Za-z0-9_.%+-]+@[A-Za-z0-9_.-]+\.[a-z]{{2,}}{EDGE}"
-CARD = rf"{EDGE}(?:[0-9][ -]?){{13,19}}{EDGE}"
+#: The lookaheads at the start are implied by what follows; they leave most places of a text at once.
+CARD = rf"(?=[0-9]){EDGE}(?:[0-9][ -]?){{13,19}}{EDGE}"
 #: Ten digits at least, which the lookahead asks for.
-PHONE = rf"(?=\+?(?:[{SPACES}()-]*[0-9]){{10}})\+?[0-9][0-9{SPACES}()-]{{9,}}[0-9]"
+PHONE = rf"(?=[+0-9])(?=\+?(?:[{SPACES}()-]*[0-9]){{10}})\+?[0-9][0-9{SPACES}()-]{{9,}}[0-9]"
 
 
 def emails(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, PLACEHOLDERS["email"])
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, PLACEHOLDERS["email"])).otherwise(text)
 
 
 def cards(text: Column) -> Column:

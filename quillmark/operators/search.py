@@ -40,9 +40,9 @@ class Index:
 def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True) -> Index:
     """Index of all turns that aren't held out and have that text. Terms are counted within their turn,
     so nothing but its own tokens is shuffled; ids are unique."""
-    rows = turns.where(~F.col("holdout") & F.col(text).isNotNull()).select("id", terms(F.col(text), stemmed).alias("_t")).withColumn("len", F.size("_t"))
-    n, avg = rows.agg(F.count("*"), F.avg("len")).first()
-    counted = rows.select("id", "len", F.explode("_t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    rows = turns.where(~F.col("holdout") & F.col(text).isNotNull())
+    n, avg = rows.agg(F.count("*"), F.avg(F.size(tokens(F.col(text))))).first()  # each token is one term
+    counted = rows.select("id", terms(F.col(text), stemmed).alias("_t")).withColumn("len", F.size("_t")).select("id", "len", F.explode("_t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     return Index(counted, int(n), float(avg or 0.0))
 
 
