@@ -212,9 +212,9 @@ class Bits(NamedTuple):
     keys: list[np.ndarray]  # by predictor: each byte's context before a bit is known, in 64 bits
     code: Code
 
-    def steps(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """For each step: the bytes that take it, the predictors' contexts, and the bit."""
-        at = np.arange(len(self.byte))
+    def steps(self, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each step: the bytes (of those from `first` to `last`) that take it, the predictors' contexts, and the bit."""
+        at = np.arange(first, len(self.byte) if last is None else last)
         for k in range(self.code.node.shape[1]):
             at = at[self.code.size[self.byte[at]] > k]
             if not len(at):
@@ -286,48 +286,69 @@ def parted(words: list[bytes]) -> Iterator[list[int]]:
         yield part
 
 
-def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 2_000_000) -> DataFrame:
+class Pairs(NamedTuple):
+    """Contexts of a predictor with the bytes that followed them: each once, sorted by context and the byte's rank."""
+
+    sort: np.ndarray  # the context without its last 8 bits, and there the rank
+    key: np.ndarray  # the context
+    byte: np.ndarray
+    n: np.ndarray
+
+
+def paired(found: list[Pairs]) -> Pairs:
+    """All given pairs, equal ones added up."""
+    sort, key, byte, n = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(sort)
+    sort = sort[order]
+    first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(sort) else order
+    own = order[first]
+    return Pairs(sort[first], key[own], byte[own], np.add.reduceat(n[order], first) if len(first) else n)
+
+
+def bits_of_pairs(x: Pairs, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step: contexts with the bits so far, and how often they saw 0 and 1. Bytes that begin with the
+    same bits are neighbours in rank, so equal ones stand together."""
+    at = np.arange(len(x.key))
+    for k in range(code.node.shape[1]):
+        at = at[code.size[x.byte[at]] > k]
+        if not len(at):
+            return
+        b, n, context = x.byte[at], x.n[at], x.sort[at] >> np.uint64(8)
+        node = code.node[b, k]
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (node[1:] != node[:-1])]))
+        n1 = np.add.reduceat(n * code.bit[b, k], first)
+        yield x.key[at[first]] ^ NODE[node[first]], np.add.reduceat(n, first) - n1, n1
+
+
+def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 1_000_000) -> DataFrame:
     """predictor int, key long, n0 double, n1 double: how often each context that is looked up by key saw
-    each bit, over all words. Tasks add up at most some `held` contexts before they hand them on."""
+    each bit, over all words. Tasks add up contexts and bytes, some `held` pairs at most, before they
+    tell them bit by bit and hand them on."""
 
     def run(batches: Batches) -> Batches:
-        waiting: list[list[np.ndarray]] = [[] for _ in ORDERS]
-
-        def add_up(i: int) -> None:
-            x = np.concatenate(waiting[i])
-            keys, at = np.unique(x["key"], return_inverse=True)
-            out = np.zeros(len(keys), dtype=x.dtype)
-            out["key"], out["n0"], out["n1"] = keys, np.bincount(at, x["n0"], len(keys)), np.bincount(at, x["n1"], len(keys))
-            waiting[i] = [out]
+        waiting: list[list[Pairs]] = [[] for _ in ORDERS]
 
         def out() -> Batches:
             for i, own in enumerate(waiting):
-                if own:
-                    add_up(i)
-                    x = waiting[i][0]
-                    for k in range(0, len(x), 100_000):
-                        y = x[k : k + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(y), pa.int32()), pa.array(y["key"].view(np.int64)), pa.array(y["n0"].copy()), pa.array(y["n1"].copy())], ["predictor", "key", "n0", "n1"])
+                for key, n0, n1 in bits_of_pairs(own[0], code) if own else ():
+                    for k in range(0, len(key), 100_000):
+                        part = slice(k, k + 100_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), i, dtype=np.int32)), pa.array(key[part].view(np.int64)), pa.array(n0[part]), pa.array(n1[part])], ["predictor", "key", "n0", "n1"])
                 own.clear()
-                waiting[i] = []
 
         for batch in batches:
             for row in range(batch.num_rows):
                 words, kinds, n = members(batch.column(0), row)
                 for at in range(0, len(words), BUCKET):
                     some = bits_of(words[at : at + BUCKET], kinds[at : at + BUCKET], code)
-                    weight = np.array(n[at : at + BUCKET], dtype=np.float64)[some.owner]
-                    for byte, keys, bit in some.steps():
-                        w = weight[byte]
-                        for i, (order, _) in enumerate(ORDERS):
-                            near = ~some.deep[byte] if not order else slice(None)
-                            x = np.zeros(len(keys[i][near]), dtype=[("key", np.uint64), ("n0", np.float64), ("n1", np.float64)])
-                            x["key"], x["n0"], x["n1"] = keys[i][near], (w * (1 - bit))[near], (w * bit)[near]
-                            waiting[i].append(x)
-                    for i in range(len(ORDERS)):
-                        add_up(i)
-                if sum(len(x[0]) for x in waiting if x) > held:
-                    yield from out()
+                    weight, rank = np.array(n[at : at + BUCKET], dtype=np.float64)[some.owner], code.rank[some.byte].astype(np.uint64)
+                    for i, (order, _) in enumerate(ORDERS):
+                        near = slice(None) if order else ~some.deep
+                        key = some.keys[i][near]
+                        fresh = paired([Pairs((key & ~np.uint64(255)) | rank[near], key, some.byte[near], weight[near])])
+                        waiting[i] = [paired([*waiting[i], fresh]) if waiting[i] else fresh]
+                    if sum(len(x[0].key) for x in waiting) > held:
+                        yield from out()
         yield from out()
 
     found = buckets.select("words").mapInArrow(run, "predictor int, key long, n0 double, n1 double")
@@ -361,7 +382,7 @@ def encoded(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Table(NamedTuple):
-    """The contexts that are looked up by key, as they are broadcast: slots, counts and checks of those seen."""
+    """The contexts that are looked up by key: slots in order, counts and checks of those seen."""
 
     slot: np.ndarray
     counts: np.ndarray  # [bit, context]
@@ -370,26 +391,42 @@ class Table(NamedTuple):
 
 
 class Lookup(NamedTuple):
-    """By context: prediction and level. `less`: those with one sighting of a bit taken out of the counts,
-    as for a word that the counts have not met; first for bit 0, then 1. `check`: whose it is, so that a
-    context that found its slot taken counts as unseen. `index`: by slot, the context, 0 for none."""
+    """Predictions and levels, as they are broadcast. `value`: by context, 0 first for none; with `unmet` by bit
+    and context, one sighting of that bit taken out of the counts, as for a word that the counts have not met.
+    `check`: whose it is, so that a context that found its slot taken counts as unseen. `taken`: a bit for each
+    slot, `before`: how many slots are taken before those of each 64. Without them each slot is a context."""
 
-    full: np.ndarray
-    less: np.ndarray
+    value: np.ndarray
     check: np.ndarray | None = None
-    index: np.ndarray | None = None
-
-
-def looked_up(counts: np.ndarray) -> Lookup:
-    n0, n1 = counts[0], counts[1]
-    return Lookup(encoded(n0, n1), np.concatenate([encoded(np.maximum(n0 - 1, 0), n1), encoded(n0, np.maximum(n1 - 1, 0))]))
+    taken: np.ndarray | None = None
+    before: np.ndarray | None = None
+
+    def places(self, slot: np.ndarray) -> np.ndarray:
+        if self.taken is None:
+            return slot
+        word, bit = slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64)
+        taken = self.taken[word]
+        return np.where(taken & bit, self.before[word] + np.bitwise_count(taken & (bit - np.uint64(1))) + 1, 0)
+
+
+def looked_up(counts: np.ndarray, unmet: bool = False) -> Lookup:
+    out = np.zeros((2, counts.shape[1]) if unmet else counts.shape[1], dtype=np.int32)
+    for at in range(0, counts.shape[1], 100_000):
+        part = slice(at, at + 100_000)
+        n0, n1 = counts[:, part]
+        if unmet:
+            out[0, part], out[1, part] = encoded(np.maximum(n0 - 1, 0), n1), encoded(n0, np.maximum(n1 - 1, 0))
+        else:
+            out[part] = encoded(n0, n1)
+    return Lookup(out)
 
 
-def opened(table: Table) -> Lookup:
-    index = np.zeros(table.size, dtype=np.int32)
-    index[table.slot] = np.arange(1, len(table.slot) + 1)
-    known = looked_up(np.pad(table.counts, ((0, 0), (1, 0))))
-    return known._replace(check=np.pad(table.check, (1, 0)), index=index)
+def opened(table: Table, unmet: bool = False) -> Lookup:
+    taken = np.zeros(-(-table.size // 64), dtype=np.uint64)
+    np.bitwise_or.at(taken, table.slot >> 6, np.uint64(1) << (table.slot & 63).astype(np.uint64))
+    n = np.bitwise_count(taken).astype(np.int32)
+    known = looked_up(np.pad(table.counts, ((0, 0), (1, 0))), unmet)
+    return known._replace(check=np.pad(table.check, (1, 0)), taken=taken, before=np.cumsum(n, dtype=np.int32) - n)
 
 
 def slots_of(keys: np.ndarray, predictor: int, table_bits: tuple[int, ...]) -> np.ndarray:
@@ -419,54 +456,57 @@ def sized(counts: DataFrame) -> tuple[tuple[int, ...], Table]:
     return table_bits, Table(np.concatenate(slots).astype(np.uint32), np.concatenate(tables, axis=1), np.concatenate(checks), sum(1 << b for b in table_bits))
 
 
-def counts_among(context: np.ndarray, byte: np.ndarray, weight: np.ndarray, code: Code = EVEN) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each step, of the bytes that take it: how often (by weight) the byte's context and bits so far were
-    followed by 0 and by 1 among all given bytes. Exact: equal ones stand together when sorted."""
+def counts_among(context: np.ndarray, byte: np.ndarray, weight: np.ndarray, code: Code, unmet: bool) -> np.ndarray:
+    """All bits of the first byte, then those of the next: what is known of the byte's context and bits so far, as
+    `encoded`, from how often (by weight) 0 and 1 followed among all given bytes. Exact: equal ones stand
+    together when sorted."""
     _, at = np.unique(context, return_inverse=True)
     order = np.argsort(at * 256 + code.rank[byte], kind="stable")
-    context, size, out = at[order], code.size[byte], []
+    size = code.size[byte]
+    first, out = np.cumsum(size) - size, np.empty(size.sum(), dtype=np.int32)
+    turn = order
     for k in range(code.node.shape[1]):
-        own = np.flatnonzero(size > k)
-        if not len(own):
+        turn = turn[size[turn] > k]
+        if not len(turn):
             break
-        turn = np.flatnonzero(size[order] > k)
-        b, c, w = byte[order[turn]], context[turn], weight[order[turn]]
-        node = code.node[b, k]
+        b, c, w = byte[turn], at[turn], weight[turn]
+        node, bit = code.node[b, k], code.bit[b, k]
         run = np.cumsum(np.concatenate([[True], (c[1:] != c[:-1]) | (node[1:] != node[:-1])])) - 1
-        ones = np.bincount(run, w * code.bit[b, k])[run]
-        both = np.empty((2, len(byte)))
-        both[:, order[turn]] = np.bincount(run, w)[run] - ones, ones
-        out.append((both[0, own], both[1, own]))
+        ones = np.bincount(run, w * bit)
+        zeros = np.bincount(run, w) - ones
+        n0, n1 = zeros[run], ones[run]
+        out[first[turn] + k] = encoded(np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)) if unmet else encoded(n0, n1)
     return out
 
 
-def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: np.ndarray, unmet: bool) -> Iterator[tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: np.ndarray, unmet: bool, edges: np.ndarray | None = None) -> Iterator[tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
     """For each step: what each predictor has of it, as `encoded`, and the bit with the bytes it is of. `weight`:
-    how often the counts have met each byte's word. `unmet`: with one sighting of the bit taken out."""
+    how often the counts have met each byte's word. `unmet`: with one sighting of the bit taken out. `edges`:
+    one stretch of bytes after the other, each with all its steps; bytes beyond the last are only counted."""
     deep = np.flatnonzero(some.deep)
-    among = {i: counts_among(some.keys[i][deep], some.byte[deep], weight[deep], some.code) for i, (order, _) in enumerate(ORDERS) if not order and len(deep)}
-    for step, (byte, keys, bit) in enumerate(some.steps()):
-        got, far = [], some.deep[byte]
-        near = np.flatnonzero(~far)
-        far = np.flatnonzero(far)
-        for i, (order, _) in enumerate(ORDERS):
-            part = slice(None) if order else near
-            at = slots_of(keys[i][part], i, table_bits)
-            if known.index is not None:
-                at = known.index[at]
-            x = known.less[at + bit[part] * len(known.full)] if unmet else known.full[at]
-            if known.check is not None:
-                x[known.check[at] != checks_of(keys[i][part])] = 0
-            if not order:
-                whole = np.zeros(len(bit), dtype=np.int32)
-                whole[near] = x
-                if len(far):
-                    n0, n1 = among[i][step]
-                    b = bit[far]
-                    whole[far] = encoded(np.maximum(n0 - (1 - b), 0), np.maximum(n1 - b, 0)) if unmet else encoded(n0, n1)
-                x = whole
-            got.append(x)
-        yield got, (bit, byte)
+    among = {i: counts_among(some.keys[i][deep], some.byte[deep], weight[deep], some.code, unmet) for i, (order, _) in enumerate(ORDERS) if not order and len(deep)}
+    size = np.where(some.deep, some.code.size[some.byte], 0)
+    begin = np.cumsum(size) - size
+    edges = np.array([0, len(some.byte)]) if edges is None else edges
+    for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for step, (byte, keys, bit) in enumerate(some.steps(first, last)):
+            got, far = [], some.deep[byte]
+            near = np.flatnonzero(~far)
+            far = np.flatnonzero(far)
+            for i, (order, _) in enumerate(ORDERS):
+                key, b = (keys[i], bit) if order else (keys[i][near], bit[near])
+                at = known.places(slots_of(key, i, table_bits))
+                x = known.value[b, at] if unmet else known.value[at]
+                if known.check is not None:
+                    x[known.check[at] != checks_of(key)] = 0
+                if not order:
+                    whole = np.zeros(len(bit), dtype=np.int32)
+                    whole[near] = x
+                    if len(far):
+                        whole[far] = among[i][begin[byte[far]] + step]
+                    x = whole
+                got.append(x)
+            yield got, (bit, byte)
 
 
 def inputs(got: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -511,7 +551,7 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
     table_bits, n_weights, n_refine = model.table_bits, model.weights.size, model.refine.size
 
     def turns_of(batches: Batches):
-        known = opened(table.value)
+        known = table.value
         for batch in batches:
             for row in range(batch.num_rows):
                 words, kinds, times = members(batch.column(0), row)
@@ -519,14 +559,9 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
                     part = np.random.default_rng(len(part)).permutation(part).tolist()
                     some = bits_of([words[i] for i in part], [kinds[i] for i in part], model.code)
                     n = np.array([times[i] for i in part], dtype=np.float64)[some.owner]
-                    turns = list(steps_with(known, table_bits, some, n, True))
-                    edge = np.searchsorted(some.owner, np.arange(0, len(part) + 2000, 2000))
-                    cuts = [np.searchsorted(byte, edge) for _, (_, byte) in turns]
-                    for k in range(len(edge) - 1):
-                        for (got, (bit, byte)), cut in zip(turns, cuts):
-                            if cut[k] < cut[k + 1]:
-                                own = slice(cut[k], cut[k + 1])
-                                yield [g[own] for g in got], bit[own], n[byte[own]]
+                    edges = np.searchsorted(some.owner, np.arange(0, len(part) + 2000, 2000))
+                    for got, (bit, byte) in steps_with(known, table_bits, some, n, True, edges):
+                        yield got, bit, n[byte]
 
     def run(batches: Batches) -> Batches:
         own, seen = model.weights.reshape(-1).copy(), 0.0
@@ -561,8 +596,8 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
 class Speaker:
     """The model with its lookups, as tasks use it."""
 
-    def __init__(self, model: Model, known: Table | np.ndarray):
-        self.model, self.known, self.weights = model, opened(known) if isinstance(known, Table) else looked_up(known), model.weights.reshape(-1)
+    def __init__(self, model: Model, known: Lookup | np.ndarray):
+        self.model, self.known, self.weights = model, known if isinstance(known, Lookup) else looked_up(known), model.weights.reshape(-1)
         self.logs = final_logs(model).reshape(-1)
 
     def log10_words(self, words: list[bytes], kinds: list[int], met: tuple[list[bytes], list[int], list[int]] = ([], [], [])) -> np.ndarray:
@@ -578,11 +613,11 @@ class Speaker:
             some = bits_of([all_words[i] for i in part], [all_kinds[i] for i in part], self.model.code)
             size = int(np.searchsorted(some.owner, len(asked)))  # the bytes asked for come first
             total = np.zeros(size)
-            for got, (bit, byte) in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False):
-                cut = int(np.searchsorted(byte, size))
-                st, level = inputs([g[:cut] for g in got])
+            edges = np.searchsorted(some.owner[:size], np.arange(0, len(asked) + 2000, 2000))
+            for got, (bit, byte) in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False, edges):
+                st, level = inputs(got)
                 z = mixed(self.weights, st, weight_keys(level))
-                total[byte[:cut]] += self.logs[(bit[:cut] * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
+                total[byte] += self.logs[(bit * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
             out[asked] = np.bincount(some.owner[:size], total, minlength=len(asked))
         return out
 
@@ -612,8 +647,12 @@ def train(docs: DataFrame) -> Trained:
     buckets = written(gathered(by_class, n_buckets, "words", ["word", "class", "n"]), "buckets")
     code = byte_code(by_class)
     table_bits, table = sized(context_counts(buckets, code))
-    shared, model = docs.sparkSession.sparkContext.broadcast(table), start_model(table_bits, code)
-    return Trained(learn(buckets, shared, model) if n else model, shared, lm_order.train(docs, int(v), tokens, END), kinds, counts, buckets, n_buckets, int(n), int(v))
+    share, model = docs.sparkSession.sparkContext.broadcast, start_model(table_bits, code)
+    if n:
+        unmet = share(opened(table, True))
+        model = learn(buckets, unmet, model)
+        unmet.destroy()
+    return Trained(model, share(opened(table)), lm_order.train(docs, int(v), tokens, END), kinds, counts, buckets, n_buckets, int(n), int(v))
 
 
 def spoken(queries: DataFrame, trained: Trained) -> DataFrame:
