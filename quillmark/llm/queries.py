@@ -8,17 +8,17 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, langid, lm_score, mixing, ngram_join, packing, pii, quality, topk, toxicity
+from quillmark.llm import centroids, chat, exact_dedup, langid, lm_score, mixing, ngram_join, packing, pii, quality, token_align, topk, toxicity
 from quillmark.llm.common import few_rows, fold, table
 
 #: Key of the surrogates that the query makes; a deployment passes its own.
 DEMO_KEY = b"quillmark-demo-key"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_toxicity, op3_quality_cascade, op4_chat_formatting, op5_exact_top_k, op6_mixing, op7_ngram_jaccard_join, op8_lm_scoring, op9_pii_surrogates, op10_language_id, pipeline)
+    own = (op1_packing, op2_toxicity, op3_quality_cascade, op4_chat_formatting, op5_exact_top_k, op6_mixing, op7_ngram_jaccard_join, op8_lm_scoring, op9_pii_surrogates, op10_language_id, op11_centroid_clustering, op12_token_alignment, op13_exact_dedup, pipeline)
 
     def with_few_rows(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         @wraps(f)
@@ -150,6 +162,32 @@ c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+OP11_ROUND = """,
+a{k} AS MATERIALIZED (SELECT r, n, v, cluster, distance FROM (SELECT x.r, x.n, x.v, c.c AS cluster, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance,
+    row_number() OVER (PARTITION BY x.r ORDER BY list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.c) AS k FROM d x, c{k} c) WHERE k = 1)"""
+OP11_MOVE = """,
+c{next} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT cluster, i, sum(CAST(v[i] AS HUGEINT) * n) AS s, CAST(sum(n) AS HUGEINT) AS n FROM (SELECT cluster, v, n, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.c)"""
+OP11 = (
+    """WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, v, count(*) AS n FROM x GROUP BY v),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM x) ORDER BY h NULLS LAST, v LIMIT 40)"""
+    + "".join(OP11_ROUND.format(k=k) + OP11_MOVE.format(k=k, next=k + 1) for k in range(5))
+    + OP11_ROUND.format(k=5)
+    + """
+SELECT x.vec_id, CAST(a5.cluster AS INTEGER) AS cluster, a5.distance, CAST(sum(a5.distance) OVER (PARTITION BY a5.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a5.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM x JOIN a5 ON a5.v = x.v JOIN c5 ON c5.c = a5.cluster"""
+)
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS norm FROM documents),
+r AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER g AS k, first_value(doc_id) OVER g AS keep_id
+      FROM d WINDOW g AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_cascade": OP3, "op4_chat_formatting": OP4, "op5_exact_top_k": OP5, "op7_ngram_jaccard_join": OP7}
+    return {"op3_quality_cascade": OP3, "op4_chat_formatting": OP4, "op5_exact_top_k": OP5, "op7_ngram_jaccard_join": OP7, "op11_centroid_clustering": OP11, "op13_exact_dedup": OP13}
