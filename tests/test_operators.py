@@ -92,8 +92,8 @@ def expected_turns(rows, window, cap, age):
     return out
 
 
-@pytest.mark.parametrize(("window", "cap", "age"), [(90, 10, 300), (300, 3, 1000)])
-def test_turns_follow_the_rules(spark, window, cap, age):
+@pytest.mark.parametrize(("window", "cap", "age", "stretch"), [(90, 10, 300, turns.STRETCH), (300, 3, 1000, turns.STRETCH), (90, 10, 300, 1), (300, 3, 1000, 2), (200, 4, 1000, 5), (400, 3, 5000, 17), (90, 2, 300, 60)])
+def test_turns_follow_the_rules(spark, window, cap, age, stretch):
     rng, rows = random.Random(window), []
     for chat in range(12):
         ts = 1_700_000_000
@@ -102,12 +102,32 @@ def test_turns_follow_the_rules(spark, window, cap, age):
             kept = rng.random() < 0.9
             rows.append({"chat_key": f"c{chat}", "pos": pos, "id": pos + 1 if rng.random() < 0.95 else 7, "from_id": rng.choice(["me", "me", "you"]), "ts": ts, "text": f"word{pos}", "clean": f"word{pos}" if kept else "", "is_forwarded": False, "is_via_bot": rng.random() < 0.1, "n_links": 0, "reply_to": rng.choice([None, 0, rng.randrange(1, 121)]), "register": "dm"})
     df = spark.createDataFrame(rows, "chat_key string, pos int, id long, from_id string, ts long, text string, clean string, is_forwarded boolean, is_via_bot boolean, n_links int, reply_to long, register string")
-    built = turns.build_turns(turns.judged(df, F.lit("me")), config.Config(burst_window_seconds=window, max_parts=cap, context_max_age_seconds=age))
+    built = turns.build_turns(turns.judged(df, F.lit("me")), config.Config(burst_window_seconds=window, max_parts=cap, context_max_age_seconds=age), stretch)
     got = {(r.chat_key, r.pos, tuple(r.parts), r.context_in, r.context_explicit, r.context_lag) for r in built.collect()}
     want = {(c, t["pos"], tuple(t["parts"]), t["context"], t["explicit"], t["lag"]) for c in {r["chat_key"] for r in rows} for t in expected_turns([r for r in rows if r["chat_key"] == c], window, cap, age)}
     assert got == want and len(got) > 300
 
 
+@pytest.mark.parametrize("stretch", [3, 40])
+def test_one_chat_of_long_runs_spreads_over_tasks(spark, stretch):
+    """Hardly anyone else speaks, so runs, bursts and pending messages reach over many stretches."""
+    rng, rows, ts = random.Random(stretch), [], 1_700_000_000
+    for pos in range(2000):
+        ts += rng.choice([1, 2, 3, 100])
+        who = "you" if rng.random() < 0.004 else "me"
+        rows.append({"chat_key": "c", "pos": pos * 2, "id": pos + 1, "from_id": who, "ts": ts, "text": f"word{pos}", "clean": f"word{pos}" if rng.random() < 0.5 else "", "is_forwarded": False, "is_via_bot": rng.random() < 0.3, "n_links": 0, "reply_to": None, "register": "dm"})
+    df = spark.createDataFrame(rows, "chat_key string, pos int, id long, from_id string, ts long, text string, clean string, is_forwarded boolean, is_via_bot boolean, n_links int, reply_to long, register string")
+    held = config.Config(burst_window_seconds=50, max_parts=7, context_max_age_seconds=100_000)
+    marked = turns.judged(df, F.lit("me"))
+    got = {(r.pos, tuple(r.parts), r.context_in, r.context_lag) for r in turns.build_turns(marked, held, stretch).collect()}
+    assert got == {(t["pos"], tuple(t["parts"]), t["context"], t["lag"]) for t in expected_turns(rows, 50, 7, 100_000)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert turns.started(marked, held, stretch).select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rejects(spark):
     rows = [("a", True, False, 0), ("a", False, True, 0), ("  ", False, False, 0), ('{"a": 1}', False, False, 0), ("x = [1]; y", False, False, 0), ("see", False, False, 4), ("fine", False, False, 3), (None, False, False, 0)]
     df = spark.createDataFrame(rows, "t string, f boolean, b boolean, n int")
