@@ -9,7 +9,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import written
 from quillmark.llm.packing import byte_letters
 
-#: Distinct stretches of text that a worker remembers; beyond, all are forgotten.
-REMEMBERED = 400_000
+#: Distinct stretches of text that a worker remembers, and as many older ones.
+REMEMBERED = 250_000
 #: A block of documents is closed when it has so many distinct pairs, counted by document.
 BLOCK = 1 << 20
 SPACE_MARK = "▁"
@@ -34,17 +34,9 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 DETAIL = "doc_id string, groups array<struct<a:array<int>,b:array<int>>>, links array<struct<a:int,b:int>>"
 
 
-class Stretch(NamedTuple):
-    """A part of a text that begins and ends where tokens of both sides do. pairs: an int64 for each link, the
-    first side's id in its upper half and the second's in its lower."""
-
-    spelled: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-
-
+#: What is known of a part of a text that begins and ends where tokens of both sides do: its groups as text, n_a,
+#: n_b, n_groups, and an int64 for each link, the first side's id in its upper half and the second's in its lower.
+Stretch = tuple[str, int, int, int, bytes]
 Group = tuple[list[int], list[int]]
 
 
@@ -98,6 +90,7 @@ class Aligner:
         self.length_a = list(map(len, self.bytes_a))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.length_b, self.space_b = list(map(len, self.bytes_b)), self.b.piece_to_id(SPACE_MARK)
+        self.counted_a, self.counted_b = np.array(self.length_a), np.array(self.length_b)
         held = "".join(p for i, p in enumerate(pieces) if not self.b.is_byte(i))
         blanks = "".join(c for c in "\t\n\x0b\f\r" if c not in held)
         if not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
@@ -106,6 +99,7 @@ class Aligner:
         # a run of blanks that follows one of another kind may be one token with it, so it isn't cut off
         self.cut = re.compile(f"[{blanks}]+[^{blanks}]*(?:(?<=[{others}])[{blanks}]+[^{blanks}]*)*").findall if " " in blanks else lambda text: [text]
         self.known: dict[str, Stretch | None] = {}
+        self.former: dict[str, Stretch | None] = {}
 
     def ids(self, stretches: list[str]) -> list[tuple[str, list[int], list[int]]]:
         """Each stretch with its ids. The second model puts a space before what it is given: the stretch's own
@@ -118,21 +112,33 @@ class Aligner:
         raw = text.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
 
-    def stretch(self, text: str, a: list[int], b: list[int]) -> Stretch | None:
-        """None where the bytes of either side differ from the text's."""
-        if not self.same_bytes(text, a, b):
-            return None
+    def all_same(self, found: list[tuple[str, list[int], list[int]]]) -> bool:
+        """Whether all stretches have the bytes of their tokens: together they do, and each is as long."""
+        texts, a, b = zip(*found)
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        if not all(a) or not all(b) or not self.same_bytes("".join(texts), flat_a, flat_b):
+            return False
+        long = [len(t.encode()) for t in texts]
+        return all(np.add.reduceat(said[flat], np.cumsum([0, *map(len, ids[:-1])])).tolist() == long for said, flat, ids in ((self.counted_a, flat_a, a), (self.counted_b, flat_b, b)))
+
+    def stretch(self, a: list[int], b: list[int]) -> Stretch:
         groups, pairs = merged(a, b, self.length_a, self.length_b)
-        return Stretch(spelled(groups), len(a), len(b), len(groups), array("q", pairs).tobytes())
+        return spelled(groups), len(a), len(b), len(groups), array("q", pairs).tobytes()
 
     def learn(self, stretches: set[str]) -> None:
-        """All is forgotten when there is too much: what is frequent is soon known again."""
+        """What isn't known is encoded; None where the bytes of either side differ from the text's. When there is
+        too much, what wasn't met since the last such time is forgotten."""
         if len(self.known) + len(stretches) > REMEMBERED:
-            self.known.clear()
-        new = [s for s in stretches if s not in self.known]
+            self.known, self.former = {}, self.known
+        met = stretches - self.known.keys()
+        again = met & self.former.keys()
+        self.known.update(zip(again, map(self.former.__getitem__, again)))
+        new = list(met - again)
         for at in range(0, len(new), 1000):
-            for found in self.ids(new[at : at + 1000]):
-                self.known[found[0]] = self.stretch(*found)
+            found = self.ids(new[at : at + 1000])
+            same = self.all_same(found)
+            for s, a, b in found:
+                self.known[s] = self.stretch(a, b) if same or self.same_bytes(s, a, b) else None
 
     def read(self, texts: list[str | None]) -> list[tuple[list[str], Counter[str]] | None]:
         """Each text's stretches in order and how often each stands there, all of them known; None for a text

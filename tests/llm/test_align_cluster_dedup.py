@@ -184,7 +184,7 @@ def test_what_was_forgotten_is_learnt_again(monkeypatch):
     fresh = token_align.Aligner(*PATHS)
     for k in range(30):
         text = f"word{k} and other{k} words {k}"
-        assert fresh.detail(text)[0] == whole(text)[0] and len(fresh.known) <= 20
+        assert fresh.detail(text)[0] == whole(text)[0] and len(fresh.known) <= 20 and len(fresh.former) <= 20
 
 
 def test_queries_of_whole_tables(spark):
