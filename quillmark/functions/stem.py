@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -121,11 +121,24 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
 
+@F.pandas_udf(StringType())
+def _stem(words: pd.Series) -> pd.Series:
+    return words.map(stem)
+
+
 def stems(text: Column) -> Column:
-    """Stemmed tokens in order. Arrow batches; each worker remembers the words that it has met."""
+    """Stemmed tokens in order, for few texts such as requests. Arrow batches; each worker remembers the words
+    that it has met."""
     return _stems(tokens(text))
 
 
+def vocabulary(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """word, stem for each distinct one of `words` (column word) that `known` lacks: no other word meets Python."""
+    distinct = words.select("word").distinct()
+    new = distinct if known is None else distinct.join(known.select("word"), "word", "left_anti")
+    return new.withColumn("stem", _stem("word"))
+
+
 def stem_text(text: str) -> list[str]:
     """The same for a request on the driver."""
     found = re.findall(r"[^\W_]+", text.lower().replace("ё", "е"))

@@ -1,14 +1,16 @@
-"""BM25 search over turns: an index of postings, and ranking for one request or a table of them."""
+"""BM25 search over turns: an index of postings, and ranking for one request or a table of them.
+
+Ranking sees ids and what costs depend on; texts are fetched for the winners alone."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.functions.stem import stem_text, stems
+from quillmark.functions.stem import stem_text, stems, vocabulary
 from quillmark.functions.text import half_up, near_key, tokens
 
 #: Words without a topic.
@@ -24,26 +26,92 @@ RECENCY, INFERRED, SLOW, SLOW_SECONDS = 0.12, 1.5, 0.8, 1800
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+#: Rows that may come to the driver to be looked up in every task from then on: asked terms and winners.
+MOST_LOCAL = 1 << 16
+#: Words of a vocabulary that may be broadcast.
+MOST_WORDS = 1 << 20
+#: Ids in a block of postings, and the blocks that are searched first.
+BLOCK_BITS, FIRST_BLOCKS = 10, 32
+
+
+def folded(word: Column) -> Column:
+    return F.translate(word, MARKED, PLAIN)
+
+
 def terms(text: Column, stemmed: bool = True) -> Column:
-    return F.transform(stems(text) if stemmed else tokens(text), lambda w: F.translate(w, MARKED, PLAIN))
+    return F.transform(stems(text) if stemmed else tokens(text), folded)
+
+
+def local(rows: DataFrame, most: int = MOST_LOCAL) -> tuple[DataFrame, int | None]:
+    """The rows as a table that every task may hold, and how many they are; the frame itself and None where
+    there are more than `most`."""
+    found = rows.limit(most + 1).collect()
+    return (F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)), len(found)) if len(found) <= most else (rows, None)
 
 
 @dataclass
 class Index:
-    """postings: term, id, tf, len. n_docs and avg_len are over all indexed rows."""
+    """postings: term, id, tf, len. n_docs and avg_len are over all indexed rows.
+
+    bounds (term, block, n, max_tf, min_len), where at hand: how many postings a term has in a block of
+    ids, and the figures that no score there goes beyond."""
 
     postings: DataFrame
     n_docs: int
     avg_len: float
+    bounds: DataFrame | None = None
+
+    def cut(self, asked: DataFrame, few: bool) -> Index:
+        """The same with the postings of asked terms alone. Of few terms the files' statistics are asked."""
+        wanted = asked.select("term").distinct()
+        if few:
+            names = [r.term for r in wanted.collect()]
+            only = lambda df: df.where(F.col("term").isin(names))
+        else:
+            only = lambda df: df.join(wanted, "term", "left_semi")
+        return replace(self, postings=only(self.postings), bounds=None if self.bounds is None else only(self.bounds))
+
+
+@dataclass
+class WordIndex(Index):
+    """An index that is made for a request: rows (id, len, word) and each word's term. Stems are looked up in the
+    vocabulary, whose words that lead to asked terms are few; only their rows are counted."""
+
+    words: DataFrame | None = None
+    terms: DataFrame | None = None
 
+    def cut(self, asked: DataFrame, few: bool) -> Index:
+        wanted, n = local(self.terms.join(asked.select("term").distinct(), "term", "left_semi"))
+        return Index(counted(self.words.join(wanted, "word")), self.n_docs, self.avg_len)
 
-def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True) -> Index:
-    """Index of all turns that aren't held out and have that text. Terms are counted within their turn,
-    so nothing but its own tokens is shuffled; ids are unique."""
+
+def counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def said_words(rows: DataFrame, text: str) -> DataFrame:
+    """id, len and each token as word."""
+    return rows.select("id", tokens(F.col(text)).alias("_t")).select("id", F.size("_t").alias("len"), F.explode("_t").alias("word"))
+
+
+def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True, known: DataFrame | None = None) -> Index:
+    """Index of all turns that aren't held out and have that text. Terms are counted within their turn; ids are
+    unique. `known` (word, stem) holds every word, where the corpus keeps its vocabulary: it is broadcast
+    where it has no more than MOST_WORDS words. Else the distinct words are stemmed here."""
     rows = turns.where(~F.col("holdout") & F.col(text).isNotNull())
     n, avg = rows.agg(F.count("*"), F.avg(F.size(tokens(F.col(text))))).first()  # each token is one term
-    counted = rows.select("id", terms(F.col(text), stemmed).alias("_t")).withColumn("len", F.size("_t")).select("id", "len", F.explode("_t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    return Index(counted, int(n), float(avg or 0.0))
+    said = said_words(rows, text)
+    if not stemmed:
+        return Index(counted(said.withColumn("term", folded(F.col("word")))), int(n), float(avg or 0.0))
+    found = (vocabulary(said) if known is None else known).select("word", folded(F.col("stem")).alias("term"))
+    held = F.broadcast(found) if known is not None and known.limit(MOST_WORDS + 1).count() <= MOST_WORDS else found
+    return WordIndex(counted(said.join(held, "word")), int(n), float(avg or 0.0), words=said, terms=found)
+
+
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """term, block, n, max_tf, min_len: a posting's weight grows with tf and shrinks with len, so these two bound
+    it whatever the average length comes to."""
+    return postings.groupBy("term", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
 
 
 def query_terms(requests: DataFrame, stemmed: bool = True, text: str = "query") -> DataFrame:
@@ -53,16 +121,28 @@ def query_terms(requests: DataFrame, stemmed: bool = True, text: str = "query")
     return requests.select("query_id", F.explode(F.slice(placed, 1, MAX_TERMS)).alias("t")).select("query_id", "t.term")
 
 
-def bm25(index: Index, asked: DataFrame) -> DataFrame:
-    """query_id, id, score (lower is better). Postings are first cut to the asked terms."""
-    used = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+def weight(index: Index, tf: Column, length: Column) -> Column:
+    """What a posting adds to a score, but for its term's rarity."""
+    long = K1 * (1 - B + B * length / F.lit(max(index.avg_len, 1e-9)))
+    return tf * (K1 + 1) / (tf + long)
+
+
+def rarity(index: Index, seen: DataFrame) -> DataFrame:
+    """term, idf of terms with their number of postings n_t."""
     n = F.lit(float(index.n_docs))
-    seen = used.groupBy("term").agg(F.count("*").alias("n_t"))
     idf = F.log((n - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    weight = seen.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    long = K1 * (1 - B + B * F.col("len") / F.lit(max(index.avg_len, 1e-9)))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + long)
-    return asked.join(weight, "term").join(used, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
+    return seen.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
+
+
+def bm25(index: Index, asked: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score (lower is better) from an index cut to the asked terms. With `wanted` (query_id,
+    block) the ids of those blocks alone are scored."""
+    counts = index.postings.groupBy("term").agg(F.count("*").alias("n_t")) if index.bounds is None else index.bounds.groupBy("term").agg(F.sum("n").alias("n_t"))
+    known = F.broadcast(asked.join(rarity(index, counts), "term"))  # a row for each asked term
+    hits = index.postings.join(known, "term")
+    if wanted is not None:
+        hits = hits.withColumn("block", F.shiftright("id", BLOCK_BITS)).join(wanted, ["query_id", "block"], "left_semi")
+    return hits.groupBy("query_id", "id").agg((-F.sum(F.col("idf") * weight(index, F.col("tf"), F.col("len")))).alias("score"))
 
 
 def facet_filter(turns: DataFrame, register: str | None = None, lang: str | None = None, require_context: bool = False, year_from: int | None = None, min_chars: int | None = None, max_chars: int | None = None) -> DataFrame:
@@ -94,30 +174,62 @@ def ranked(scores: DataFrame, turns: DataFrame, now: int, recency: float = RECEN
 
 
 def collapsed(candidates: DataFrame, limit: int, order: list[str], text: str = "text") -> DataFrame:
-    """Of near-duplicates the first in order, then the first `limit` of each query; adds place."""
-    key = near_key(F.col(text))
-    first = candidates.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order))).where("_k = 1").drop("_k")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit)
+    """Of near-duplicates the first in order, then the first `limit` of each query; adds place. The first of a key
+    is a minimum, taken in every task before anything moves, so a key of any size is one row a task."""
+    rows, first = F.struct(*candidates.columns), F.struct(*order)
+    once = candidates.groupBy("query_id", near_key(F.col(text)).alias("_key")).agg(F.min_by(rows, first).alias("_row")).select("_row.*")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit)
 
 
 def top_candidates(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of lowest cost for each query: tasks pass on n rows a query at most."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "id"))).where(F.col("_r") <= n).drop("_r")
 
 
+def best(index: Index, asked: DataFrame, facts: DataFrame, n: int, now: int, recency: float, match_context: bool) -> DataFrame:
+    """query_id, id, score, cost of the n best ids for each request. `facts` are the ids that may be found, with
+    what costs depend on.
+
+    With bounds, blocks of ids are ranked by the lowest cost that any id in them can have. The FIRST_BLOCKS
+    best give n costs to beat; after that only blocks that can beat them are read. The result is the same."""
+    top = lambda wanted=None: top_candidates(ranked(bm25(index, asked, wanted), facts, now, recency, match_context), n).select("query_id", "id", "score", "cost")
+    if index.bounds is None:
+        return top()
+    known = F.broadcast(asked.join(rarity(index, index.bounds.groupBy("term").agg(F.sum("n").alias("n_t"))), "term"))
+    least = index.bounds.join(known, "term").groupBy("query_id", "block").agg((-F.sum(F.col("idf") * weight(index, F.col("max_tf"), F.col("min_len")))).alias("least"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("least", "block"))
+    first, n_first = local(least.withColumn("_p", place).where(F.col("_p") <= FIRST_BLOCKS).select("query_id", "block"))
+    found, n_found = local(top(first)) if n_first is not None else (None, None)
+    if n_found is None:
+        return top()
+    beaten = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("cost").alias("cost")).where(F.col("n") >= n).select("query_id", "cost")
+    # costs are rounded at nine digits, sums differ in the last ones
+    rest = least.join(F.broadcast(beaten), "query_id", "left").where(F.col("cost").isNull() | (F.col("least") <= F.col("cost") + 1e-6))
+    rest = rest.join(first, ["query_id", "block"], "left_anti").select("query_id", "block")
+    return top_candidates(found.unionByName(top(rest)), n)
+
+
 def search(index: Index, turns: DataFrame, requests: DataFrame, limit: int = 20, now: int = 2026, recency: float = RECENCY, match_context: bool = False, stemmed: bool = True, seed: int | None = None, **facets) -> DataFrame:
     """query_id, place, id, score, source and the turn's columns: the best `limit` turns for each request
     (query_id, query). Three times as many are ranked before near-duplicates collapse.
 
     With a seed, requests that come out short are filled up with turns drawn by hash: no list is empty
     while the facet has turns. Requests without a usable word match nothing and are only filled up."""
+    requests, n = local(requests.select("query_id", "query"))
     asked = query_terms(requests, stemmed)
+    asked = asked if n is None else local(asked, MOST_LOCAL * MAX_TERMS)[0]
     fit = facet_filter(turns, **facets)
-    matched = top_candidates(ranked(bm25(index, asked), fit, now, recency, match_context), 3 * limit).withColumn("source", F.lit(0))
+    facts = fit.select("id", "year", *(["context_explicit", "context_lag"] if match_context else []))
+    cut = index.cut(asked, n is not None and n <= 64)
+    found = best(cut, asked, facts, 3 * limit, now, recency, match_context).withColumn("source", F.lit(0))
     if seed is not None:
-        drawn = fit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * limit)  # 2 * limit rows
-        spare = requests.select("query_id").crossJoin(F.broadcast(drawn)).withColumns({"score": F.lit(None).cast("double"), "cost": F.xxhash64("id", F.lit(seed)).cast("double"), "source": F.lit(1)})
-        matched = matched.unionByName(spare.select(matched.columns))
-    return collapsed(matched, limit, ["source", "cost", "id"])
+        draw = F.xxhash64("id", F.lit(seed))
+        drawn = fit.select("id").orderBy(draw, "id").limit(2 * limit)  # 2 * limit rows
+        spare = requests.select("query_id").crossJoin(F.broadcast(drawn)).select("query_id", "id", F.lit(None).cast("double").alias("score"), draw.cast("double").alias("cost"), F.lit(1).alias("source"))
+        found = found.unionByName(spare)
+    few = n is not None and 5 * limit * n <= MOST_LOCAL * MAX_TERMS
+    own = turns.drop("query_id", "score", "cost", "source")  # names that the result has for itself
+    return collapsed(own.join(F.broadcast(found) if few else found, "id"), limit, ["source", "cost", "id"])
 
 
 def with_topic(pairs: DataFrame, topical: DataFrame, limit: int) -> DataFrame:
@@ -129,7 +241,8 @@ def with_topic(pairs: DataFrame, topical: DataFrame, limit: int) -> DataFrame:
 
 def sample(turns: DataFrame, n: int, seed: int, **facets) -> DataFrame:
     """n turns drawn by hash, near-duplicates collapsed: the same seed draws the same turns."""
-    drawn = facet_filter(turns, **facets).withColumn("cost", F.xxhash64("id", F.lit(seed)).cast("double")).orderBy("cost", "id").limit(n)
+    drawn = facet_filter(turns, **facets).select("id", F.xxhash64("id", F.lit(seed)).cast("double").alias("cost")).orderBy("cost", "id").limit(n)
+    drawn = turns.join(F.broadcast(drawn), "id")  # n rows
     return collapsed(drawn.withColumn("query_id", F.lit(0)), n, ["cost", "id"]).drop("query_id", "cost")
 
 

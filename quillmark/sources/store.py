@@ -1,7 +1,8 @@
 """The stored corpus: Parquet under one folder that the cluster shares.
 
 turns/ is partitioned by register, so the chat and the code half are overwritten apart. postings/ and
-context_postings/ are the two search indexes; profile_chat/ and profile_code/ the two halves of the
+context_postings/ are the two search indexes, each with its bounds by term and block of ids; vocabulary/ has
+the stem of every word that a build has met; profile_chat/ and profile_code/ the two halves of the
 profile; blame/ keeps the authors of lines for the next build; meta/ holds key and value rows."""
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators.search import Index, build_index
+from quillmark.functions.stem import vocabulary
+from quillmark.operators.search import Index, block_bounds, build_index, said_words
 from quillmark.operators.turns import ranks
 
 TURN = (
@@ -20,6 +22,8 @@ TURN = (
 )
 COLUMNS = [c.strip().split(" ")[0] for c in TURN.split(", ")]
 CHAT, CODE = ("dm", "group"), ("code", "jsdoc")
+POSTINGS = "id bigint, term string, tf bigint, len int"
+BOUNDS = "term string, block bigint, n bigint, max_tf bigint, min_len int"
 BLAME = "repo string, path string, blob string, line_no int, email string, year int"
 
 
@@ -70,16 +74,33 @@ class Store:
             gone = jvm.org.apache.hadoop.fs.Path(f"{self._at('turns')}/register={r}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
+    def vocabulary(self) -> DataFrame:
+        return self._read("vocabulary", "word string, stem string")
+
+    def learn_words(self) -> None:
+        """Stems of the words that no build before has met; all others stay as they are."""
+        rows = self.turns().where("not holdout")
+        words = [said_words(rows.where(F.col(c).isNotNull()), c).select("word").distinct() for c in ("text", "context_in")]
+        vocabulary(words[0].unionByName(words[1]), self.vocabulary()).write.mode("append").parquet(self._at("vocabulary"))
+
     def rebuild_indexes(self, stemmed: bool = True) -> None:
+        if stemmed:
+            self.learn_words()
         for name, column in (("postings", "text"), ("context_postings", "context_in")):
-            index = build_index(self.turns(), column, stemmed)
-            index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self._at(name))
+            index = build_index(self.turns(), column, stemmed, self.vocabulary() if stemmed else None)
+            self._by_term(index.postings, name)
+            self._by_term(block_bounds(self._read(name, POSTINGS)), f"{name}_bounds")
             self.set_meta({f"{name}.n_docs": str(index.n_docs), f"{name}.avg_len": repr(index.avg_len)})
 
+    def _by_term(self, rows: DataFrame, name: str) -> None:
+        """Files that each hold a range of terms in order, so a filter on terms skips most of them."""
+        rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self._at(name))
+
     def index(self, context: bool = False) -> Index:
         name = "context_postings" if context else "postings"
         meta = self.meta()
-        return Index(self._read(name, "id bigint, term string, tf bigint, len int"), int(meta.get(f"{name}.n_docs", "0")), float(meta.get(f"{name}.avg_len", "0")))
+        bounds = self._read(f"{name}_bounds", BOUNDS) if self._exists(f"{name}_bounds") else None
+        return Index(self._read(name, POSTINGS), int(meta.get(f"{name}.n_docs", "0")), float(meta.get(f"{name}.avg_len", "0")), bounds)
 
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self._read("meta", "key string, value string").collect()}
@@ -127,7 +148,7 @@ class Store:
 
     def export(self, to: str) -> None:
         """A copy for serving: turns, indexes, profiles and meta. The place must not exist."""
-        names = ["turns", "postings", "context_postings", "meta", *(f"profile_{h}" for h in ("chat", "code"))]
+        names = ["turns", "postings", "postings_bounds", "context_postings", "context_postings_bounds", "meta", *(f"profile_{h}" for h in ("chat", "code"))]
         target = Store(self.spark, to)
         if any(target._exists(n) for n in names):
             raise FileExistsError(to)

@@ -204,6 +204,62 @@ def test_search(spark):
     assert (quality.few_pairs, quality.short, quality.none_quoted) == (False, True, False)
 
 
+def many_turns(spark, n=6000):
+    """Turns over many blocks of ids: frequent words everywhere, rare ones here and there, some texts alike."""
+    rng = random.Random(3)
+    words, weights = [f"wort{k}" for k in range(400)], [1 / (k + 1) for k in range(400)]
+    rows = [(i * 3, " ".join(rng.choices(words, weights, k=rng.randrange(3, 30))), "dm" if i % 3 else "group", 2016 + i % 11, i % 7 == 0, i * 10) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, text string, register string, year int, context_explicit boolean, context_lag long").selectExpr("*", "false as holdout", "length(text) as chars", "length(text) > 200 as longform", "'de' as lang", "text as context_in")
+
+
+def test_bounds_give_the_same_best(spark, monkeypatch):
+    t = many_turns(spark).persist()
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 16)
+    monkeypatch.setattr(search, "BLOCK_BITS", 7)
+    index = search.build_index(t, stemmed=False)
+    bounded = search.Index(index.postings, index.n_docs, index.avg_len, search.block_bounds(index.postings))
+    asked = spark.createDataFrame([(0, "wort1 wort390"), (1, "wort2 wort380 wort300 wort5"), (2, "nothing here"), (3, "wort399")], "query_id int, query string")
+    rows = lambda i, **facets: sorted((r.query_id, r.place, r.id, round(r.score, 9)) for r in search.search(i, t, asked, 4, stemmed=False, **facets).collect())
+    for facets in ({}, {"register": "group", "match_context": True}, {"year_from": 2025}, {"min_chars": 10_000}):
+        assert rows(bounded, **facets) == rows(index, **facets)
+    scored = []
+    plain = search.bm25
+    monkeypatch.setattr(search, "bm25", lambda i, a, w=None: (scored.append(w), plain(i, a, w))[1])
+    assert len(rows(bounded)) == len(rows(index)) > 8
+    blocks = t.select(F.shiftright("id", 7)).distinct().count()
+    assert scored[0].where("query_id = 0").count() == 16 and scored[1].where("query_id = 0").count() < blocks / 2  # those with the rare word
+    t.unpersist()
+
+
+def test_texts_are_fetched_for_winners_alone(spark, capsys):
+    t = many_turns(spark, 200)
+    search.search(search.build_index(t, stemmed=False), t, spark.createDataFrame([(0, "wort1 wort3")], "query_id int, query string"), 4, stemmed=False).explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    winners = plan[plan.index("BroadcastExchange") :]
+    assert "WindowGroupLimit" in winners.split("row_number")[1] or "Window" in winners
+    assert plan.index("text#") < plan.index("BroadcastExchange")
+
+
+def test_a_key_of_any_size_collapses_to_one_row_a_task(spark, capsys):
+    t = spark.range(0, 5000, 1, 8).selectExpr("0 as query_id", "id", "id % 7 as cost", "if(id % 2 = 0, 'Same, text!', 'same text') as text")
+    got = search.collapsed(t, 5, ["cost", "id"])
+    assert [(r.id, r.place) for r in got.collect()] == [(0, 1)]
+    got.explain()
+    assert "partial_min_by" in capsys.readouterr().out
+
+
+def test_a_word_meets_the_stemmer_once(spark):
+    words = spark.createDataFrame([("сообщения",), ("running",), ("сообщения",), ("x1",)], "word string")
+    known = stem.vocabulary(words)
+    assert {r.word: r.stem for r in known.collect()} == {w: stem.stem(w) for w in ("сообщения", "running", "x1")}
+    more = words.unionByName(spark.createDataFrame([("cached",), ("cached",)], "word string"))
+    assert [(r.word, r.stem) for r in stem.vocabulary(more, known).collect()] == [("cached", stem.stem("cached"))]
+    t = searchable(spark)
+    held = stem.vocabulary(search.said_words(t, "text"))
+    same = [sorted(map(tuple, search.build_index(t, known=k).postings.select("id", "term", "tf", "len").collect())) for k in (None, held)]
+    assert same[0] == same[1] and len(same[0]) > 5
+
+
 def profile_row(spark):
     length = {"p25": 3, "median": 10, "p75": 20, "p90": 20}
     shares = {"has_exclamation": 0.01, "ends_period": 0.9, "starts_capital": 0.95}
@@ -289,6 +345,10 @@ def test_build_and_serve(spark, tmp_path):
     assert rows["Нормально.\nРаботаю над задачей."].context_in == "привет, как дела сегодня?"
     quoted = rows["Ничего, спасибо."]
     assert quoted.context_explicit and quoted.register == "dm" and quoted.chat_key.startswith("chat-")
+    assert s.vocabulary().count() == s.vocabulary().select("word").distinct().count() > 5 and s.index().bounds.count() > 5
+    words = s.vocabulary().count()
+    s.rebuild_indexes()
+    assert s.vocabulary().count() == words and s.index().postings.count() > 5
     assert s.turn(quoted.id).count() == 1 and s.next_id() > quoted.id and s.meta()["owner_id"] == "me"
     both, quality = brief.reply_examples(s, "привет, как дела", examples=4)
     assert both.count() == 3 and quality.first().few_pairs is False
