@@ -13,16 +13,15 @@ from quillmark.operators import code_metrics, comments, habits, lexicon, metrics
 from quillmark.sources import export, repositories
 from quillmark.sources.store import CHAT, CODE, Store, missing, refreshed, with_ids
 
-#: Surnames that one pattern may hold; an export that names more people is an error, not a slow pattern.
-MOST_SURNAMES = 20_000
+#: What tells the messages of an export apart.
+PLACE = ["section", "chat_no", "pos"]
 
 
 def corpus_messages(rows: DataFrame, owner: str) -> DataFrame:
-    """Messages redacted with the senders' surnames and marked as the owner's, others' or rejected."""
-    names = [r.surname for r in redact.surname_rows(rows.select(F.col("sender").alias("name")).distinct()).where(F.length("surname") >= 4).limit(MOST_SURNAMES + 1).collect()]
-    if len(names) > MOST_SURNAMES:
-        raise ValueError(f"more than {MOST_SURNAMES} surnames")
-    return turns.judged(rows.withColumn("clean", redact.cleaned(F.col("entities"), names)), F.lit(owner))
+    """Messages redacted with the senders' surnames, however many, and marked as the owner's, others' or rejected."""
+    names = redact.surname_rows(rows.select(F.col("sender").alias("name")).distinct())
+    clean = redact.scrubbed_rows(rows.withColumn("clean", redact.untagged(F.col("entities"))), PLACE, "clean", names)
+    return turns.judged(clean, F.lit(owner))
 
 
 def owner_id(rows: DataFrame, config: Config) -> str:

@@ -66,6 +66,29 @@ def test_redaction(spark):
     assert {r.prefix for r in redact.first_name_prefixes(names).collect()} == {"ivan", "olga"}
 
 
+NAMES = ["Petrov", "Petrovsky", "Smith-Jones", "O'Neil", "Иванов", "ΠΑΠΑΣ", "Straße", "van.der", "(Weird", "C++dev", "Lee", "  Kowalski ", "!!!!", "ab_c", "İnce", "1234"]
+TEXTS = ["petrov", "PETROVSKYmu said", "xPetrov no", "with smith-jones's dog and Smith alone", "smith-jone", "o'neil O'NEILS o neil", "с Ивановым, ивановы", "παπας ΠΑΠΑΣΤΟ", "STRASSE straße", "van.derbilt vanxder", "so (weirdo) weird", "c++developer c dev", "Lee Leeds", "kowalskiego", "wow!!!! and !!!!x", "AB_C1 ab-c", "ince İNCE inces", "call 1234567", None, "", "nothing"]
+
+
+def test_surnames_by_join_are_those_of_one_pattern(spark):
+    rng = random.Random(1)
+    letters = "abcdeéжз"
+    many = ["".join(rng.choices(letters, k=rng.randrange(3, 7))) for _ in range(300)]
+    said = TEXTS + [" ".join(w + rng.choice(["", "a", "-b", "!"]) for w in rng.choices(many + ["zzzz", "yyyy"], k=6)) for _ in range(60)]
+    rows = spark.createDataFrame([(k // 7, k % 7, t) for k, t in enumerate(said)], "a int, b int, text string")
+    for names in (NAMES, many, [*NAMES, *many], []):
+        want = {(r.a, r.b): r.t for r in rows.select("a", "b", redact.spaces(redact.surnames(redact.phones(F.col("text")), names)).alias("t")).collect()}
+        known = spark.createDataFrame([(n,) for n in names], "surname string")
+        assert {(r.a, r.b): r.text for r in redact.scrubbed_rows(rows, ["a", "b"], "text", known).collect()} == want
+
+
+def test_a_million_surnames(spark):
+    names = spark.range(1_000_000).select(F.concat(F.lit("Name"), F.hex("id")).alias("surname"))
+    rows = spark.createDataFrame([(0, "so nameF423Fov and name0 left"), (1, "nam and Nobody")], "id int, text string")
+    got = {r.id: r.text for r in redact.scrubbed_rows(rows, ["id"], "text", names).collect()}
+    assert got == {0: "so <имя> and <имя> left", 1: "nam and Nobody"}
+
+
 def expected_turns(rows, window, cap, age):
     """The rules read one message after another."""
     by_id = {m["id"]: m for m in rows}
