@@ -11,8 +11,11 @@ from quillmark.functions.text import comment_syntax, script_language, shortened,
 MAX_SOURCE = 400_000
 FILE = ["repo", "path"]
 #: Words that address a tool.
-DIRECTIVES = "shellcheck eslint-disable eslint-enable prettier-ignore biome-ignore stylelint- @ts- ts-ignore ts-expect-error istanbul\\ ignore c8\\ ignore v8\\ ignore oxlint-disable deno-lint noinspection swiftlint codeql"
-DIRECTIVE = r"(?i)\A\s*(" + "|".join(DIRECTIVES.replace("\\ ", "\0").split()).replace("\0", " ") + ")"
+DIRECTIVES = (
+    "shellcheck", "eslint-disable", "eslint-enable", "prettier-ignore", "biome-ignore", "stylelint-", "@ts-", "ts-ignore", "ts-expect-error",
+    "istanbul ignore", "c8 ignore", "v8 ignore", "oxlint-disable", "deno-lint", "noinspection", "swiftlint", "codeql",
+)
+DIRECTIVE = rf"(?i)\A\s*({'|'.join(DIRECTIVES)})"
 
 
 def source_lines(files: DataFrame) -> DataFrame:

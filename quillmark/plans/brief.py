@@ -40,12 +40,14 @@ def length_limits(store: Store, register: str, length: str | None) -> dict[str,
 def examples_for(store: Store, text: str, register: str = "dm", lang: str | None = None, length: str | None = None, examples: int = DEFAULT_EXAMPLES, now: int = 2026) -> DataFrame:
     """Turns on a topic, for writing or rephrasing."""
     bounded(examples, 4, 40, "examples")
+    store = store.snapshot()
     return search.search(store.index(), store.turns(), one_request(store, text), examples, now, seed=1, register=register, lang=lang, **length_limits(store, register, length))
 
 
 def reply_examples(store: Store, incoming: str, register: str = "dm", examples: int = DEFAULT_EXAMPLES, now: int = 2026) -> tuple[DataFrame, DataFrame]:
     """Answers to messages like this one, filled up by topic, and what they are worth."""
     bounded(examples, 4, 40, "examples")
+    store = store.snapshot()
     asked = one_request(store, incoming)
     pairs = search.search(store.index(context=True), store.turns(), asked, examples, now, match_context=True, seed=1, register=register, require_context=True)
     topical = search.search(store.index(), store.turns(), asked, examples, now, seed=1, register=register)
@@ -55,6 +57,7 @@ def reply_examples(store: Store, incoming: str, register: str = "dm", examples:
 
 def find(store: Store, query: str, limit: int = DEFAULT_FOUND, match_incoming: bool = False, now: int = 2026, **facets) -> DataFrame:
     bounded(limit, 1, 50, "limit")
+    store = store.snapshot()
     return search.search(store.index(match_incoming), store.turns(), one_request(store, query), limit, now, match_context=match_incoming, seed=1, **facets)
 
 

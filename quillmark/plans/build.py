@@ -67,12 +67,13 @@ def build_chat(spark: SparkSession, path: str, store: Store, config: Config | No
     marked = corpus_messages(rows, owner).persist()
     built = turns.build_turns(marked, config).withColumn("lang", script_language(F.col("text")))
     numbered = turns.pick_holdout(with_ids(built, store.next_id(CHAT)), config.holdout_size)
-    store.write_turns(numbered, CHAT)
-    store.rebuild_indexes()
-    corpus = store.turns().where(F.col("register").isin(*CHAT))
-    store.save_profile("chat", chat_profile(corpus, marked, config, now.year))
-    report = {r.reason: r.n for r in turns.filter_stats(marked).collect()} | {"turns": corpus.count()}
-    store.set_meta({"owner_id": owner, "built_at": now.isoformat(), "recent_from": str(config.recent_from(now.year)), **{f"report.{k}": str(v) for k, v in report.items()}})
+    with store.building():  # turns, indexes, profile and meta appear together, or not at all
+        store.write_turns(numbered, CHAT)
+        store.rebuild_indexes()
+        corpus = store.turns().where(F.col("register").isin(*CHAT))
+        store.save_profile("chat", chat_profile(corpus, marked, config, now.year))
+        report = {r.reason: r.n for r in turns.filter_stats(marked).collect()} | {"turns": corpus.count()}
+        store.set_meta({"owner_id": owner, "built_at": now.isoformat(), "recent_from": str(config.recent_from(now.year)), **{f"report.{k}": str(v) for k, v in report.items()}})
     marked.unpersist()
     return report
 
@@ -100,10 +101,11 @@ def build_code(spark: SparkSession, repos: dict[str, str], store: Store, config:
     store.save_blame(refreshed(cache, files, repositories.read_blame(todo)))
     found = comments.comment_corpus(repositories.read_files(files), store.blame(), list(config.code_emails)).persist()
     built = with_ids(comments.comment_turns(found, config.longform_min_chars), store.next_id(CODE))
-    store.write_turns(built.withColumn("holdout", F.lit(False)), CODE)
-    store.rebuild_indexes()
-    store.save_profile("code", code_profile(found, config))
-    store.set_meta({"code_emails": ",".join(config.code_emails), "code_built_at": now.isoformat(), **{k: str(v) for k, v in counts.items()}})
+    with store.building():
+        store.write_turns(built.withColumn("holdout", F.lit(False)), CODE)
+        store.rebuild_indexes()
+        store.save_profile("code", code_profile(found, config))
+        store.set_meta({"code_emails": ",".join(config.code_emails), "code_built_at": now.isoformat(), **{k: str(v) for k, v in counts.items()}})
     n = found.count()
     for df in (found, todo, files):
         df.unpersist()
