@@ -44,6 +44,11 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: F.length(w) >= 2)
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.translate(F.lower(text), "ё", "е"), F.lit(r"[\p{L}\p{N}]{2,}"))
+
+
 def whole_word(body: str) -> str:
     """A pattern for `body` between characters that aren't letters, of any script and case."""
     return rf"(?iu)(?<!\p{{L}})(?:{body})(?!\p{{L}})"

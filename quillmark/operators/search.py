@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.stem import stem_text, stems, vocabulary
-from quillmark.functions.text import half_up, near_key, tokens
+from quillmark.functions.text import half_up, near_key, token_count, tokens
 
 #: Words without a topic.
 STOP_TEXT = (
@@ -90,8 +90,10 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def said_words(rows: DataFrame, text: str) -> DataFrame:
-    """id, len and each token as word."""
-    return rows.select("id", tokens(F.col(text)).alias("_t")).select("id", F.size("_t").alias("len"), F.explode("_t").alias("word"))
+    """id, len and each token as word. A plain explode would have the tokens made twice, first to see whether
+    there are any."""
+    found = rows.select("id", tokens(F.col(text)).alias("_t")).select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("word"))
+    return found.where("word is not null")
 
 
 def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True, known: DataFrame | None = None) -> Index:
@@ -99,7 +101,7 @@ def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True, know
     unique. `known` (word, stem) holds every word, where the corpus keeps its vocabulary: it is broadcast
     where it has no more than MOST_WORDS words. Else the distinct words are stemmed here."""
     rows = turns.where(~F.col("holdout") & F.col(text).isNotNull())
-    n, avg = rows.agg(F.count("*"), F.avg(F.size(tokens(F.col(text))))).first()  # each token is one term
+    n, avg = rows.agg(F.count("*"), F.avg(token_count(F.col(text)))).first()  # each token is one term
     said = said_words(rows, text)
     if not stemmed:
         return Index(counted(said.withColumn("term", folded(F.col("word")))), int(n), float(avg or 0.0))
@@ -137,7 +139,9 @@ def rarity(index: Index, seen: DataFrame) -> DataFrame:
 def bm25(index: Index, asked: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """query_id, id, score (lower is better) from an index cut to the asked terms. With `wanted` (query_id,
     block) the ids of those blocks alone are scored."""
-    counts = index.postings.groupBy("term").agg(F.count("*").alias("n_t")) if index.bounds is None else index.bounds.groupBy("term").agg(F.sum("n").alias("n_t"))
+    # every posting has both; named here, so that this use of the postings shares the other's shuffle
+    both = F.col("tf") + F.col("len") > 0
+    counts = index.postings.groupBy("term").agg(F.count(F.when(both, 1)).alias("n_t")) if index.bounds is None else index.bounds.groupBy("term").agg(F.sum("n").alias("n_t"))
     known = F.broadcast(asked.join(rarity(index, counts), "term"))  # a row for each asked term
     hits = index.postings.join(known, "term")
     if wanted is not None:

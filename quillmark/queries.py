@@ -109,7 +109,7 @@ t AS (SELECT chat_key, min(pos) AS pos, arg_min(ts, pos) AS ts, arg_min(reply_to
 
 def frequent_words(texts: DataFrame, n: int = 6) -> DataFrame:
     """query_id, query: the most frequent words of four letters or more, as one request."""
-    words = texts.select(F.explode(search.terms(F.col("text"), stemmed=False)).alias("w")).where(F.length("w") >= 4)
+    words = texts.select(F.explode_outer(search.terms(F.col("text"), stemmed=False)).alias("w")).where(F.length("w") >= 4)
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
     return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "w"))).alias("all")).select(F.lit(0).alias("query_id"), F.array_join("all.w", " ").alias("query"))
 
