@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,22 +15,57 @@ SHARES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 ENDS = {"ends_period": ".", "ends_question": "?", "ends_exclamation": "!", "ends_paren": ")"}
 
 
-def floor_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float] | None = None) -> DataFrame:
+#: Distinct values of a key that one task may put in order; keys with more are cut into so many ranges first.
+WIDEST, RANGES = 1 << 16, 512
+#: Parts that a key's rows are dealt to where they meet what is known of their key.
+PARTS = 64
+
+
+def floor_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float] | None = None, widest: int = WIDEST, ranges: int = RANGES) -> DataFrame:
     """keys, count, mean (one digit), the value of rank min(n - 1, floor(n p)) for each share, max.
 
     Values are counted first, so a key's rows meet as one row for each distinct value, however many
-    they are. Nulls don't count."""
+    they are. Only the range of values that holds a rank is put in order (`holding`), so of a key with more
+    than `widest` distinct values a task sees some `ranges`th part for a share. Nulls don't count; NaN is
+    the greatest value. Keys may be null."""
     shares = shares or SHARES
     each = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    ranked = each.withColumns({"_upto": F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
-    rank = lambda p: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p)))
-    return ranked.groupBy(*keys).agg(
-        F.sum("_n").alias("count"),
-        half_up(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 1).alias("mean"),
-        *[F.min(F.when(F.col("_upto") > rank(p), F.col(value))).alias(name) for name, p in shares.items()],
-        F.max(value).alias("max"),
-    )
+    cuts = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10 * ranges))
+    known = each.groupBy(*keys).agg(F.when(F.count("*") > widest, cuts).alias("_cuts"))
+    held = holding(each, known, keys, value, shares)
+    inside = with_known(each, held, keys, [value, "_n"]).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    ranked = inside.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_lo").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    whole = [F.first(f"_all.{c}").alias(c) for c in ("count", "mean", "max")]
+    found = [F.min(F.when(F.col("_upto") > F.col(f"_rank_{name}"), F.col(value))).alias(name) for name in shares]
+    return ranked.groupBy(*keys).agg(*whole[:2], *found, whole[2])
+
+
+def with_known(each: DataFrame, known: DataFrame, keys: list[str], columns: list[str], how: str = "inner") -> DataFrame:
+    """Rows of `each` with what is known of their key; a key's rows are dealt to PARTS by their value.
+
+    Where Spark finds `known` small it broadcasts it instead."""
+    left = each.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int")).alias("l")
+    right = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("r")
+    same = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.col("l._part") == F.col("r._part"))
+    return left.join(right, same, how).select(*[F.col(f"l.{c}") for c in (*keys, *columns)], *[F.col(f"r.{c}") for c in known.columns if c not in keys])
+
+
+def holding(each: DataFrame, known: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, _lo, _hi (the least and greatest value of a range that holds a wanted rank), for each share
+    _rank_<name> (the rank counted from _lo, null where another range holds it), and _all, the key's figures.
+
+    Where a key is cut comes from a sketch; ranks don't: ranges are counted whole, wherever their ends lie."""
+    told = with_known(each, known.where("_cuts is not null"), keys, [value, "_n"], "left")
+    at = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(value).cast("double"))))
+    counted = told.groupBy(*keys, at.alias("_range")).agg(F.sum("_n").alias("_n"), F.sum(F.col(value) * F.col("_n")).alias("_sum"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    key = Window.partitionBy(*keys).orderBy("_range")  # as many rows as ranges
+    all_of = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.sum("_n").over(all_of)
+    figures = F.struct(n.alias("count"), half_up(F.sum("_sum").over(all_of) / n, 1).alias("mean"), F.max("_hi").over(all_of).alias("max"))
+    placed = counted.withColumns({"_all": figures, "_before": F.sum("_n").over(key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")})
+    rank = lambda p: F.least(F.col("_all.count") - 1, F.floor(F.col("_all.count") * F.lit(p))) - F.col("_before")
+    held = {f"_rank_{name}": F.when((rank(p) >= 0) & (rank(p) < F.col("_n")), rank(p)) for name, p in shares.items()}
+    return placed.select(*keys, "_lo", "_hi", "_all", *[c.alias(n) for n, c in held.items()]).where(F.coalesce(*held).isNotNull())
 
 
 def share(condition: Column, digits: int = 3) -> Column:

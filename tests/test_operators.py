@@ -1,5 +1,6 @@
 import datetime
 import json
+import math
 import random
 from collections import namedtuple
 
@@ -171,6 +172,51 @@ def test_floor_percentile(spark):
     assert [tuple(r) for r in metrics.floor_percentiles(df, ["k"], "x").collect()] == [("a", 4, 2.5, 2, 3, 4, 4, 4)]
 
 
+def percentiles_by_sorting(rows, shares):
+    groups, out = {}, {}
+    for k, x in rows:
+        if x is not None:
+            groups.setdefault(k, []).append(x)
+    for k, xs in groups.items():
+        xs.sort(key=lambda x: (x != x, x))  # NaN last
+        out[k] = tuple(xs[min(len(xs) - 1, math.floor(len(xs) * p))] for p in shares.values())
+    return out
+
+
+@pytest.mark.parametrize("widest,ranges", [(1 << 16, 512), (0, 2), (0, 7), (50, 16)])
+def test_percentiles_by_ranges_are_those_of_sorting(spark, widest, ranges):
+    rng = random.Random(5)
+    rows = [("spread", rng.lognormvariate(0, 40)) for _ in range(3000)] + [("narrow", 1000 + rng.random() * 1e-9) for _ in range(500)]
+    rows += [("ties", float(rng.randrange(3))) for _ in range(2000)] + [("hot", 7.0)] * 999 + [("hot", x / 10) for x in range(100)] + [("one", -0.5), (None, 3.0), (None, 1.0), ("none", None)]
+    rows += [("odd", x) for x in (math.inf, -math.inf, math.nan, math.nan, 0.0, 2.0)]
+    shares = {"lowest": 0.0, "tenth": 0.1, "median": 0.5, "p99": 0.99, "whole": 1.0}
+    got = metrics.floor_percentiles(spark.createDataFrame(rows, "k string, x double").repartition(7), ["k"], "x", shares, widest, ranges).collect()
+    plain = lambda t: tuple("nan" if x != x else x for x in t)
+    assert {r.k: plain(r[s] for s in shares) for r in got} == {k: plain(t) for k, t in percentiles_by_sorting(rows, shares).items()}
+    assert {r.k: r["count"] for r in got}["hot"] == 1099 and len(got) == 7
+
+
+def test_percentiles_of_whole_numbers_beyond_doubles(spark):
+    """Neighbours above 2^53 are one double but stay apart."""
+    rows = [("k", (1 << 53) + x) for x in range(1000)]
+    got = metrics.floor_percentiles(spark.createDataFrame(rows, "k string, x long"), ["k"], "x", {"median": 0.5, "p90": 0.9}, 10, 8).first()
+    assert (got["median"], got.p90, got["max"]) == ((1 << 53) + 500, (1 << 53) + 900, (1 << 53) + 999)
+    assert metrics.floor_percentiles(spark.createDataFrame(rows, "k string, x long").where("x < 0"), ["k"], "x").count() == 0
+
+
+def test_no_task_orders_all_values_of_a_key(spark):
+    """Of 200 000 distinct values only ranges that hold a rank reach the ordering."""
+    rows = spark.range(200_000).selectExpr("'k' as k", "cast(id as double) / 7 as x")
+    shares = {"median": 0.5, "p90": 0.9}
+    each = rows.groupBy("k", "x").agg(F.count("*").alias("_n"))
+    known = each.groupBy("k").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 640).alias("_cuts"))
+    held = metrics.holding(each, known, ["k"], "x", shares)
+    ordered = metrics.with_known(each, held, ["k"], ["x", "_n"]).where("x between _lo and _hi")
+    assert held.count() == 2 and ordered.count() < 200_000 * 2 / 64 * 1.5
+    got = metrics.floor_percentiles(rows, ["k"], "x", shares, 1000, 64).first()
+    assert (got["median"], got.p90) == (100_000 / 7, 180_000 / 7)
+
+
 def turn_rows(spark, rows):
     return spark.createDataFrame([(i, r, t.split("\n"), t, len(t), len(t) >= 300, False, 2015 + i % 10) for i, (r, t) in enumerate(rows)], "id long, register string, parts array<string>, text string, chars int, longform boolean, holdout boolean, year int")
 
