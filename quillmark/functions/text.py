@@ -63,18 +63,33 @@ def utc_year(seconds: Column) -> Column:
 
 
 @cache
-def emoji_pattern() -> str:
-    """Pictographs of the Unicode emoji data, and the katakana letter that chats use as a face.
-
-    The ranges are taken from the property itself, which Java's patterns don't know. A class of so many
-    ranges is slow to miss, so letters and the like are turned away by a short one before it."""
+def pictographs() -> list[tuple[int, int]]:
+    """Ranges of the Unicode emoji data's pictographs, taken from the property, which Java's patterns don't know."""
     import regex
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    spans = [(ord(m[0][0]), ord(m[0][-1])) for m in regex.finditer(r"\p{Extended_Pictographic}+", every)]
-    body = lambda xs: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in xs)
-    low = [x for x in spans if x[1] < 0x2000]
-    return rf"(?=[{body(low)}\x{{2000}}-\x{{10FFFF}}])[{body(spans)}ツ]"
+    return [(ord(m[0][0]), ord(m[0][-1])) for m in regex.finditer(r"\p{Extended_Pictographic}+", every)]
+
+
+def ranged(spans: list[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
+
+
+def emoji_class() -> str:
+    """Pictographs, and the katakana letter that chats use as a face."""
+    return f"[{ranged(pictographs())}ツ]"
+
+
+@cache
+def emoji_pattern() -> str:
+    """A class of so many ranges is slow to miss, so letters and the like are turned away by a short one before it."""
+    low = [x for x in pictographs() if x[1] < 0x2000]
+    return rf"(?=[{ranged(low)}\x{{2000}}-\x{{10FFFF}}]){emoji_class()}"
+
+
+def drawn(key: Column, seed: int) -> Column:
+    """A number that key and seed alone decide, evenly spread: 52 bits of a hash, so a double holds it."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 13), 16, 10).cast("double")
 
 
 def around(text: Column, mark: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.stem import stem_text, stems, vocabulary
-from quillmark.functions.text import half_up, near_key, token_count, tokens
+from quillmark.functions.text import drawn, half_up, near_key, token_count, tokens
 
 #: Words without a topic.
 STOP_TEXT = (
@@ -227,9 +227,8 @@ def search(index: Index, turns: DataFrame, requests: DataFrame, limit: int = 20,
     cut = index.cut(asked, n is not None and n <= 64)
     found = best(cut, asked, facts, 3 * limit, now, recency, match_context).withColumn("source", F.lit(0))
     if seed is not None:
-        draw = F.xxhash64("id", F.lit(seed))
-        drawn = fit.select("id").orderBy(draw, "id").limit(2 * limit)  # 2 * limit rows
-        spare = requests.select("query_id").crossJoin(F.broadcast(drawn)).select("query_id", "id", F.lit(None).cast("double").alias("score"), draw.cast("double").alias("cost"), F.lit(1).alias("source"))
+        draw = fit.select("id", drawn(F.col("id"), seed).alias("cost")).orderBy("cost", "id").limit(2 * limit)  # 2 * limit rows
+        spare = requests.select("query_id").crossJoin(F.broadcast(draw)).select("query_id", "id", F.lit(None).cast("double").alias("score"), "cost", F.lit(1).alias("source"))
         found = found.unionByName(spare)
     few = n is not None and 5 * limit * n <= MOST_LOCAL * MAX_TERMS
     own = turns.drop("query_id", "score", "cost", "source")  # names that the result has for itself
@@ -245,9 +244,9 @@ def with_topic(pairs: DataFrame, topical: DataFrame, limit: int) -> DataFrame:
 
 def sample(turns: DataFrame, n: int, seed: int, **facets) -> DataFrame:
     """n turns drawn by hash, near-duplicates collapsed: the same seed draws the same turns."""
-    drawn = facet_filter(turns, **facets).select("id", F.xxhash64("id", F.lit(seed)).cast("double").alias("cost")).orderBy("cost", "id").limit(n)
-    drawn = turns.join(F.broadcast(drawn), "id")  # n rows
-    return collapsed(drawn.withColumn("query_id", F.lit(0)), n, ["cost", "id"]).drop("query_id", "cost")
+    draw = facet_filter(turns, **facets).select("id", drawn(F.col("id"), seed).alias("cost")).orderBy("cost", "id").limit(n)
+    own = turns.join(F.broadcast(draw), "id")  # n rows
+    return collapsed(own.withColumn("query_id", F.lit(0)), n, ["cost", "id"]).drop("query_id", "cost")
 
 
 def holdout_turns(turns: DataFrame, n: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.config import Config
-from quillmark.functions.text import SPACES, code_overlap, half_up, near_key, pseudonym, utf16_len, whole_word
+from quillmark.functions.text import SPACES, code_overlap, emoji_class, half_up, near_key, pseudonym, utf16_len, whole_word
 from quillmark.operators import habits, lexicon, metrics, redact, score, search, turns
 from quillmark.operators.habits import Probe
 
@@ -350,6 +350,15 @@ CARD_SQL = REDACT.format(r"regexp_replace(text, '\b(?:\d[ -]?){13,19}\b', '<ка
 SPACE_SQL = REDACT.format(rf"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^[{SPACES}]+|[{SPACES}]+$', '', 'g')")
 PHONE_SQL = rf"SELECT doc_id, CAST(coalesce(len(list_filter(regexp_extract_all(text, '\+?\d[\d{SPACES}()-]{{9,}}\d'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 10)), 0) AS BIGINT) AS n_phones FROM documents"
 
+# a match of PHONE has ten digits, so it lies in no match that stays; longer ones go first
+REDACT_ALL_SQL = rf"""WITH e AS (SELECT doc_id, text FROM ({EMAIL_SQL})),
+c AS (SELECT doc_id, regexp_replace(text, '\b(?:\d[ -]?){{13,19}}\b', '<карта>', 'g') AS text FROM e),
+f AS (SELECT *, list_filter(regexp_extract_all(text, '\+?\d[\d{SPACES}()-]{{9,}}\d'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 10) AS found FROM c),
+o AS (SELECT doc_id, text, list_transform(list_sort(list_transform(found, lambda m: {{'k': -length(m), 'm': m}})), lambda x: x.m) AS found FROM f),
+p AS (SELECT doc_id, list_reduce(list_prepend(text, found), lambda a, b: replace(a, b, '<телефон>')) AS text FROM o),
+n AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:Schmidt|Petrov)[\p{{L}}\p{{N}}_]*', '\1<имя>', 'g') AS text FROM p)
+SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^[{SPACES}]+|[{SPACES}]+$', '', 'g') AS text FROM n"""
+
 
 def near_dup_collapse(spark, sf_dir):
     """Distinct lines of documents: of those alike but for case and punctuation, the first stays."""
@@ -464,11 +473,22 @@ def random_topup(spark, sf_dir):
     return search.sample(document_turns(spark, sf_dir), 40, seed=3, register="dm").select("id", "place")
 
 
+DRAW_SQL = rf"""WITH {DOCS}, d AS (SELECT id, text, CAST('0x' || substr(sha256('3:' || id), 1, 13) AS BIGINT) AS cost FROM t WHERE NOT holdout AND register = 'dm'),
+n AS (SELECT * FROM d ORDER BY cost, id LIMIT 40), k AS (SELECT *, row_number() OVER (PARTITION BY {NEAR} ORDER BY cost, id) AS k FROM n)
+SELECT id, CAST(row_number() OVER (ORDER BY cost, id) AS INTEGER) AS place FROM k WHERE k = 1"""
+
+
 def emoji_palette(spark, sf_dir):
     said = metrics.messages_of(document_turns(spark, sf_dir), "register")
     return metrics.emoji_counts(said.withColumn("message", F.concat("message", F.when(F.contains("message", F.lit("!")), "😀").otherwise("🎉"))), ["register"])
 
 
+EMOJI_SQL = rf"""WITH {DOCS}, m AS (SELECT register, unnest(parts) AS m FROM t),
+e AS (SELECT register, unnest(regexp_extract_all(m || CASE WHEN contains(m, '!') THEN '😀' ELSE '🎉' END, '{emoji_class()}')) AS char FROM m),
+c AS (SELECT register, char, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY register ORDER BY n DESC, char) AS INTEGER) AS place FROM c)
+SELECT * FROM r WHERE place <= 15"""
+
+
 def length_bounds(spark, sf_dir):
     m = metrics.floor_percentiles(document_turns(spark, sf_dir), ["register"], "chars").select(F.col("register").alias("facet"), F.lit("all").alias("window"), F.struct("median", "p75").alias("turn_length"))
     return metrics.length_bounds(m)
@@ -497,7 +517,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "redact_email": (redact_email, EMAIL_SQL),
     "redact_card": (redact_card, CARD_SQL),
     "redact_phone": (redact_phone, PHONE_SQL),
-    "redact_all": (redact_all, None),
+    "redact_all": (redact_all, REDACT_ALL_SQL),
     "whitespace": (whitespace, SPACE_SQL),
     "near_dup_collapse": (near_dup_collapse, NEAR_SQL),
     "holdout_pick": (holdout_pick, HOLDOUT_SQL),
@@ -508,8 +528,8 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "score_texts": (score_texts, _score_sql()),
     "facet_scan": (facet_scan, FACET_SQL),
     "length_bounds": (length_bounds, BOUNDS_SQL),
-    "random_topup": (random_topup, None),
-    "emoji_palette": (emoji_palette, None),
+    "random_topup": (random_topup, DRAW_SQL),
+    "emoji_palette": (emoji_palette, EMOJI_SQL),
 }
 
 
