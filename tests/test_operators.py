@@ -503,14 +503,78 @@ def test_streaming(spark, tmp_path):
     df = spark.createDataFrame(rows, "chat_key string, from_id string, text string, event_time timestamp")
     df.write.parquet(src)
     batch = bursts.burst_sessions(df).orderBy("start").collect()
-    assert [r.n_parts for r in batch] == [2, 1, 1] or [r.n_parts for r in batch] == [1, 1, 1, 1]
+    assert [(r.n_parts, r.chars) for r in batch] == [(2, 6), (1, 3), (1, 3)]  # a gap of the window's length goes on
     stream = spark.readStream.schema(df.schema).parquet(src)
-    q = bursts.burst_sessions(stream).writeStream.format("memory").queryName("bursts_out").outputMode("append").trigger(availableNow=True).start()
+    q = bursts.burst_sessions(stream, late="0 seconds").writeStream.format("memory").queryName("bursts_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
+    assert spark.table("bursts_out").orderBy("start").collect() == batch[:2]  # the last may still grow
     bursts.ingest(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
 
 
+@pytest.fixture
+def rocksdb(spark):
+    from quillmark.streaming import bursts
+
+    spark.conf.set(bursts.PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(bursts.PROVIDER)
+
+
+MESSAGES = "chat_key string, pos int, id long, from_id string, ts long, text string, clean string, is_forwarded boolean, is_via_bot boolean, n_links int, reply_to long, register string"
+
+
+def streamed_turns(spark, folder, files, held, name, late="10 seconds"):
+    """Turns of a stream that reads one file a batch, in the order given."""
+    from quillmark.streaming import bursts
+
+    for n, rows in enumerate(files):
+        path = f"{folder}/in/{n}.json"
+        spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("overwrite").json(f"file://{path}.d")
+    stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"file://{folder}/in")
+    q = bursts.turn_stream(turns.judged(stream, F.lit("me")), held, late).writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{folder}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.processAllAvailable()
+    q.awaitTermination(120)
+    return {(r.chat_key, r.pos, r.ts, r.reply_to, r.register, tuple(r.parts)) for r in spark.table(name).collect()}
+
+
+def said(chat, pos, ts, who="me", text=None, bot=False, reply_to=None):
+    text = f"word{pos}" if text is None else text
+    return (chat, pos, pos + 1, who, ts, text, text, False, bot, 0, reply_to, "dm")
+
+
+def test_streamed_turns_are_those_of_the_batch(rocksdb, tmp_path):
+    spark, rng, rows = rocksdb, random.Random(9), []
+    for chat in range(5):
+        ts = 1_700_000_000
+        for pos in range(60):
+            ts += rng.choice([0, 5, 30, 90, 91, 200])
+            rows.append(said(f"c{chat}", pos, ts, rng.choice(["me", "me", "me", "you"]), "" if rng.random() < 0.1 else None, rng.random() < 0.1, rng.choice([None, 3])))
+    rows.sort(key=lambda r: r[4])
+    held = config.Config(max_parts=3)
+    batch = turns.bursts(turns.judged(spark.createDataFrame(rows, MESSAGES), F.lit("me")), held)
+    want = {(r.chat_key, r.pos, r.ts, r.reply_to, r.register, tuple(r.parts)) for r in batch.collect()}
+    files = [rows[:110], rows[110:200], rows[200:], [said("end", 0, rows[-1][4] + 100_000, "you")]]
+    for f in files[:3]:
+        rng.shuffle(f)
+    assert streamed_turns(spark, tmp_path, files, held, "turns_ordered") == want and len(want) > 60
+
+
+def test_streamed_turns_wait_for_late_messages_and_drop_later_ones(rocksdb, tmp_path):
+    t = 1_700_000_000
+    # a batch drops what is behind the watermark that the batch before it had reached
+    files = [[said("c", 0, t), said("c", 2, t + 20)], [said("c", 1, t + 15)], [said("x", 0, t + 5000, "you")], [said("x", 1, t + 5001, "you")], [said("c", 3, t + 30)], [said("x", 2, t + 9000, "you")]]
+    got = streamed_turns(rocksdb, tmp_path, files, config.Config(), "turns_late")
+    assert got == {("c", 0, t, None, "dm", ("word0", "word1", "word2"))}  # word3 comes when its time is long over
+
+
+def test_streamed_turns_need_the_store_they_name(spark):
+    from quillmark.streaming import bursts
+
+    with pytest.raises(ValueError, match="RocksDB"):
+        bursts.turn_stream(turns.judged(spark.createDataFrame([], MESSAGES), F.lit("me")))
+
+
 def test_an_export_keeps_every_profile_table(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/own")
     tables = {name: spark.createDataFrame([(name,)], "label string") for name in ("sizes", "connectives", "repositories", "totals")}
