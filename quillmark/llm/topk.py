@@ -1,4 +1,7 @@
-"""Exact top-k by inner product: a ball tree in every shard, searched by branch and bound."""
+"""Exact top-k by inner product: a ball tree in every shard, searched by branch and bound.
+
+Shards are searched in rounds, each of some four times as many as the one before; a round starts from the
+kth scores over all shards before it."""
 
 from __future__ import annotations
 
@@ -14,6 +17,11 @@ from pyspark.sql.window import Window
 from quillmark.llm.common import Batches, written
 
 SCALE = 1024
+#: How much larger a round is than the one before.
+GROWTH = 4
+#: Inner products up to here are added up in 64 bits.
+SAFE = float(1 << 62)
+FOUND = "query_id long, vec_id long, score long"
 
 
 def usable(col: str) -> Column:
@@ -63,12 +71,18 @@ def ball_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, list[Ball]]:
 
 def search(ids: np.ndarray, x: np.ndarray, balls: list[Ball], q: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
     """The k best (score, -id) of one shard, or those that can still be among the k best overall:
-    scores below `floor`, the kth score found so far elsewhere, are out of the running."""
+    scores below `floor`, the kth score found so far elsewhere, are out of the running.
+
+    A score is exact at any size; one among the best that is no 64-bit number is an error."""
     top: list[tuple[int, int]] = []
     qf = q.astype(np.float64)
     norm = float(np.sqrt(qf @ qf))
     # rounding errors of the bound stay far below this
-    bound = lambda b: float(qf @ b.center) + norm * b.radius * (1 + 1e-9) + 1e-6 * (1 + norm)
+    reach = [float(np.sqrt(b.center @ b.center)) + b.radius for b in balls[:1]]
+    slack = 1e-6 * (1 + norm) + 1e-11 * norm * sum(reach)
+    bound = lambda b: float(qf @ b.center) + norm * b.radius * (1 + 1e-9) + slack
+    if reach and 2 * norm * reach[0] >= SAFE:
+        x, q = x.astype(object), q.astype(object)
     todo = [(-bound(balls[0]), 0)] if balls else []
     while todo:
         limit, at = heapq.heappop(todo)
@@ -88,11 +102,14 @@ def search(ids: np.ndarray, x: np.ndarray, balls: list[Ball], q: np.ndarray, own
                     heapq.heappush(top, (s, -i))
                 elif (s, -i) > top[0]:
                     heapq.heapreplace(top, (s, -i))
+    wide = [-i for s, i in top if not -(1 << 63) <= s < 1 << 63]
+    if wide:
+        raise OverflowError(f"the inner product of vectors {own} and {wide[0]} doesn't fit 64 bits")
     return top
 
 
 def index(vectors: DataFrame, shard_rows: int = 8192, leaf: int = 64) -> DataFrame:
-    """One row a shard: its ids and vectors in tree order and its balls. Every usable vector is indexed.
+    """One row a shard: its number, ids and vectors in tree order and balls. Every usable vector is indexed.
 
     Rows are dealt to shards by hash; vectors of another length than the first are a shard's own group."""
     rows = scaled(vectors)
@@ -112,7 +129,8 @@ def index(vectors: DataFrame, shard_rows: int = 8192, leaf: int = 64) -> DataFra
                 tree = b"".join(np.array([b.first, b.last, b.left, b.right, b.radius, *b.center], dtype="<f8").tobytes() for b in balls)
                 yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([x[order].tobytes()], pa.binary()), pa.array([tree], pa.binary())], names)
 
-    return written(rows.repartition(shards, "vec_id").mapInArrow(run, "dim int, ids binary, vectors binary, tree binary"), "balls")
+    built = rows.repartition(shards, "vec_id").mapInArrow(run, "dim int, ids binary, vectors binary, tree binary")
+    return written(built.select(F.spark_partition_id().alias("shard"), "*"), "balls")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, shard_rows: int = 8192, block: int = 4096, leaf: int = 64) -> DataFrame:
@@ -120,25 +138,34 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, shard_rows: int = 81
     with any other row, ties to the smaller id.
 
     Queries go to the shards in blocks of at most `block` vectors, which bounds both the broadcast and
-    what the driver holds. The first shard of a block that is searched gives each query a kth score,
-    which all other shards start from. Vectors that are null, empty or hold a null or a value that is
-    not finite take no part; vectors of other lengths than the query's neither. Rows that repeat an id
-    are candidates each; as queries, one of them counts. An empty table gives none.
+    what the driver holds: a block's vectors and kth scores. Where a round has fewer shards than tasks could
+    run, each shard is searched by several tasks, with some of the queries each. Vectors that are null, empty
+    or hold a null or a value that is not finite take no part; vectors of other lengths than the query's
+    neither. Rows that repeat an id are candidates each; as a query, the one with the least vector counts. A
+    score among the best that doesn't fit 64 bits is an error. An empty table gives none.
     """
     spark = vectors.sparkSession
     shards = index(vectors, shard_rows, leaf)
-    asked = written(scaled(vectors.where(queries)).dropDuplicates(["vec_id"]), "queries")
-    ranges = _ranges(asked, block)
-    out: DataFrame | None = None
-    for low, high in ranges:
+    asked = written(scaled(vectors.where(queries)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    last = shards.agg(F.max("shard")).first()[0]
+    out = spark.createDataFrame([], FOUND)
+    for low, high in _ranges(asked, block) if last is not None else []:
         rows = asked.where(F.col("vec_id").between(low, high)).collect()
-        found = _searched(spark, shards, [(r.vec_id, r.v) for r in rows], k)
-        found = found if len(ranges) == 1 else written(found, "found")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = out.union(_searched(shards, last + 1, [(r.vec_id, r.v) for r in rows], k))
+    return placed(out).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+
+
+def rounds(shards: int) -> list[tuple[int, int]]:
+    """First and last number (not included) of the shards of each round."""
+    out, done, size = [], 0, 1
+    while done < shards:
+        out.append((done, min(shards, done + size)))
+        done, size = done + size, size * GROWTH
+    return out
 
 
 def _ranges(asked: DataFrame, block: int) -> list[tuple[int, int]]:
@@ -161,21 +188,30 @@ def _ranges(asked: DataFrame, block: int) -> list[tuple[int, int]]:
     return sorted((r.low, r.high) for r in cut.mapInArrow(ends, "low long, high long").collect())
 
 
-def _searched(spark, shards: DataFrame, rows: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    def over(batches: Batches, floors: dict[int, int]) -> Batches:
+def _searched(shards: DataFrame, n_shards: int, rows: list[tuple[int, list[int]]], k: int) -> DataFrame:
+    """What the shards' searches find for a block of queries; each round starts from the kth score of all before."""
+    spark = shards.sparkSession
+    shared = spark.sparkContext.broadcast(rows)
+    found = spark.createDataFrame([], FOUND)
+    for n, (first, last) in enumerate(rounds(n_shards)):
+        # at most `block` rows
+        kth = {r.query_id: r.score for r in placed(found).where(F.col("rank") == k).select("query_id", "score").collect()} if n else {}
+        slices = min(len(rows), -(-spark.sparkContext.defaultParallelism // (last - first)))
+        searched = _round(shards.where(F.col("shard").between(first, last - 1)), shared, spark.sparkContext.broadcast(kth), k, slices, last - first)
+        found = found.union(written(searched, "found"))
+    return found
+
+
+def _round(shards: DataFrame, queries, floors, k: int, slices: int, n_shards: int) -> DataFrame:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            for dim, ids, x, tree in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, ids, x, tree, part in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim)
                 flat = np.frombuffer(tree, "<f8").reshape(-1, dim + 5)
                 balls = [Ball(b[5:], b[4], int(b[0]), int(b[1]), int(b[2]), int(b[3])) for b in flat]
-                got = [(i, -j, s) for i, q in shared.value if len(q) == dim for s, j in search(ids, x, balls, np.array(q, dtype=np.int64), i, k, floors.get(i))]
+                got = [(i, -j, s) for i, q in queries.value[part::slices] if len(q) == dim for s, j in search(ids, x, balls, np.array(q, dtype=np.int64), i, k, floors.value.get(i))]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["query_id", "vec_id", "score"])
 
-    shared = spark.sparkContext.broadcast(rows)
-    schema = "query_id long, vec_id long, score long"
-    floors: dict[int, int] = {}
-    for r in shards.limit(1).mapInArrow(lambda b: over(b, {}), schema).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).collect():
-        floors[r.query_id] = r.kth
-    seeded = spark.sparkContext.broadcast(floors)
-    return shards.mapInArrow(lambda b: over(b, seeded.value), schema)
+    dealt = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(n_shards * slices, "shard", "part")
+    return dealt.select("dim", "ids", "vectors", "tree", "part").mapInArrow(run, FOUND)
