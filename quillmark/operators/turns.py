@@ -159,10 +159,10 @@ def pick_holdout(turns: DataFrame, size: int, least: int = 15) -> DataFrame:
     return turns.join(chosen, "id", "left").withColumn("holdout", F.coalesce("holdout", F.lit(False)))
 
 
-def ranks(rows: DataFrame, key: str, per_range: int = 1 << 16) -> DataFrame:
-    """Adds rank, from 1 in order of a unique whole-number key: ranks within ranges of the key plus the
+def ranks(rows: DataFrame, key: str, *ties: str, per_range: int = 1 << 16) -> DataFrame:
+    """Adds rank, from 1 in order of a whole-number key that is there (then of `ties`, if keys repeat): ranks within ranges of the key plus the
     counts of the ranges before."""
     r = rows.withColumn("_range", F.floor(F.col(key) / per_range))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = r.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return r.join(base, "_range").withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(key))).drop("_range", "_base")
+    return r.join(base, "_range").withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))).drop("_range", "_base")

@@ -341,7 +341,7 @@ def redact_phone(spark, sf_dir):
 
 
 def redact_all(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", redact.scrubbed(F.col("text"), ["Petrov", "Schmidt"]).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", redact.scrubbed(F.col("text"), ["Petrov", "Schmidt", "Eriner", "Thing"]).alias("text"))
 
 
 REDACT = "SELECT doc_id, {} AS text FROM documents"
@@ -356,7 +356,7 @@ c AS (SELECT doc_id, regexp_replace(text, '\b(?:\d[ -]?){{13,19}}\b', '<карт
 f AS (SELECT *, list_filter(regexp_extract_all(text, '\+?\d[\d{SPACES}()-]{{9,}}\d'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 10) AS found FROM c),
 o AS (SELECT doc_id, text, list_transform(list_sort(list_transform(found, lambda m: {{'k': -length(m), 'm': m}})), lambda x: x.m) AS found FROM f),
 p AS (SELECT doc_id, list_reduce(list_prepend(text, found), lambda a, b: replace(a, b, '<телефон>')) AS text FROM o),
-n AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:Schmidt|Petrov)[\p{{L}}\p{{N}}_]*', '\1<имя>', 'g') AS text FROM p)
+n AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:Schmidt|Petrov|Eriner|Thing)[\p{{L}}\p{{N}}_]*', '\1<имя>', 'g') AS text FROM p)
 SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^[{SPACES}]+|[{SPACES}]+$', '', 'g') AS text FROM n"""
 
 
@@ -413,7 +413,7 @@ PSEUDONYM_SQL = "SELECT DISTINCT conv_id, 'chat-' || substr(sha256(conv_id || ':
 def code_overlaps(spark, sf_dir):
     """Each document as a comment on the benchmark item whose rank is its number modulo the count of items."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("code"))
-    b = items.withColumn("k", F.row_number().over(Window.orderBy("item_id", "code")) - 1)
+    b = turns.ranks(items, "item_id", "code").withColumn("k", F.col("rank") - 1)
     d = read(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % F.lit(max(1, items.count()))).join(b, "k")
     return d.select("doc_id", half_up(code_overlap(F.col("text"), F.col("code")), 3).alias("overlap"))
 

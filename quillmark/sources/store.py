@@ -269,7 +269,7 @@ def with_ids(turns: DataFrame, first: int) -> DataFrame:
 
     n = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("chat_key", "ts", "text")))
     unique = n.withColumn("_u", F.col("_key") * (1 << 36) + F.col("_n"))
-    return ranks(unique, "_u", 1 << 48).withColumn("id", F.col("rank") + (first - 1)).drop("_key", "_n", "_u", "rank")
+    return ranks(unique, "_u", per_range=1 << 48).withColumn("id", F.col("rank") + (first - 1)).drop("_key", "_n", "_u", "rank")
 
 
 def missing(files: DataFrame, cache: DataFrame) -> DataFrame:
