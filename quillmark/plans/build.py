@@ -61,8 +61,9 @@ def chat_profile(corpus: DataFrame, marked: DataFrame, config: Config, now_year:
 def build_chat(spark: SparkSession, path: str, store: Store, config: Config | None = None, now: datetime.datetime | None = None) -> dict[str, int]:
     """Reads an export and replaces the chat half of the store. Gives the counts of the build report."""
     config, now = config or Config(), now or datetime.datetime.now(datetime.UTC)
-    rows = export.messages(export.without_stopped(export.read_export(spark, path), config.chat_stop_list))
-    owner = owner_id(export.messages(export.read_export(spark, path)), config)
+    told = export.read_by_ranges(spark, path).persist()
+    rows = export.shaped(export.without_stopped(told, config.chat_stop_list))
+    owner = owner_id(export.shaped(told), config)
     expect_owner(store, owner)
     marked = corpus_messages(rows, owner).persist()
     built = turns.build_turns(marked, config).withColumn("lang", script_language(F.col("text")))
@@ -75,6 +76,7 @@ def build_chat(spark: SparkSession, path: str, store: Store, config: Config | No
         report = {r.reason: r.n for r in turns.filter_stats(marked).collect()} | {"turns": corpus.count()}
         store.set_meta({"owner_id": owner, "built_at": now.isoformat(), "recent_from": str(config.recent_from(now.year)), **{f"report.{k}": str(v) for k, v in report.items()}})
     marked.unpersist()
+    told.unpersist()
     return report
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import pseudonym
+from quillmark.sources import ranges
 
 ENTITY = "array<struct<type:string,text:string>>"
 MESSAGE = f"struct<id:bigint,type:string,date_unixtime:string,`from`:string,from_id:string,text_entities:{ENTITY},forwarded_from:string,saved_from:string,via_bot:string,reply_to_message_id:bigint>"
@@ -17,8 +18,7 @@ EXPORT = f"chats struct<list:array<{CHAT}>>, left_chats struct<list:array<{CHAT}
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Chats in export order (section, chat_no, chat fields). A malformed file is an error.
 
-    One document is one task. For exports beyond an executor's memory use `read_chats`, whose input has
-    one chat a line and is split as usual."""
+    One document is one task. `read_by_ranges` spreads it; `read_chats` reads exports with one chat a line."""
     dump = spark.read.schema(EXPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     one = lambda k, name: dump.select(F.lit(k).alias("section"), F.posexplode(f"{name}.list").alias("chat_no", "chat"))
     return one(0, "chats").unionByName(one(1, "left_chats")).select("section", "chat_no", "chat.*")
@@ -39,10 +39,21 @@ def without_stopped(chats: DataFrame, stop_list: tuple[str, ...]) -> DataFrame:
     return chats.where(~F.coalesce(F.lower("name").isin([n.lower() for n in stop_list]), F.lit(False))) if stop_list else chats
 
 
+def read_by_ranges(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """Messages of one export document of any size, one a row, for `shaped`."""
+    rows = ranges.read_messages(spark, path, size)
+    return rows.withColumn("m", F.from_json("raw", MESSAGE, {"mode": "FAILFAST"})).drop("raw")
+
+
 def messages(chats: DataFrame) -> DataFrame:
+    """Messages of chats that hold theirs as an array, as `shaped` gives them."""
+    return shaped(chats.select("section", "chat_no", "id", "name", "type", F.posexplode("messages").alias("pos", "m")))
+
+
+def shaped(rows: DataFrame) -> DataFrame:
     """section, chat_no, pos, chat_key, chat_type, register, id, ts, sender, from_id, text, entities,
     is_forwarded, is_via_bot, n_links, reply_to: entries of type `message`, in export order by pos."""
-    rows = chats.select("section", "chat_no", pseudonym("chat", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("name", F.lit("")))).alias("chat_key"), F.col("type").alias("chat_type"), register_of(F.col("type")).alias("register"), F.posexplode("messages").alias("pos", "m"))
+    rows = rows.select("section", "chat_no", pseudonym("chat", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("name", F.lit("")))).alias("chat_key"), F.col("type").alias("chat_type"), register_of(F.col("type")).alias("register"), "pos", "m")
     entities = F.transform(F.filter("m.text_entities", lambda e: F.coalesce(e["text"], F.lit("")) != ""), lambda e: F.struct(F.coalesce(e["type"], F.lit("plain")).alias("type"), e["text"].alias("text")))
     rows = rows.where(F.col("m.type") == "message").withColumn("entities", F.coalesce(entities, F.array().cast(ENTITY)))
     return rows.select(

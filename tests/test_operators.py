@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmark import config
 from quillmark.functions import stem, text
 from quillmark.operators import code_metrics, comments, habits, lexicon, metrics, redact, score, search, turns
-from quillmark.sources import export, repositories, store
+from quillmark.sources import export, ranges, repositories, store
 
 
 def one(spark, column, **values):
@@ -406,7 +406,7 @@ def chats():
 def test_build_and_serve(spark, tmp_path):
     from quillmark.plans import brief, build
 
-    (tmp_path / "dump.json").write_text(json.dumps(chats()))
+    (tmp_path / "dump.json").write_text(json.dumps(chats(), indent=1))
     s = store.Store(spark, f"file://{tmp_path}/corpus")
     report = build.build_chat(spark, f"file://{tmp_path}/dump.json", s, config.Config(holdout_size=0, chat_stop_list=("spam",)), datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC))
     assert report == {"kept": 4, "forwarded": 1, "not-owner": 2, "turns": 3}
@@ -478,6 +478,51 @@ def test_broken_export(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"chats": {"list": [')
     with pytest.raises(Exception):
         export.read_export(spark, f"file://{tmp_path}/bad.json").count()
+    with pytest.raises(ValueError, match="don't close"):
+        export.read_by_ranges(spark, f"file://{tmp_path}/bad.json")
+    (tmp_path / "bad.json").write_text('{"chats": "\n}')
+    with pytest.raises(Exception, match="doesn't end"):
+        export.read_by_ranges(spark, f"file://{tmp_path}/bad.json")
+    (tmp_path / "bad.json").write_text('{"chats": {"list": [{"id": 1, "messages": [{"id": 1 "type": 2}]}]}}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        export.read_by_ranges(spark, f"file://{tmp_path}/bad.json").collect()
+    (tmp_path / "none.json").write_text("")
+    assert export.read_by_ranges(spark, f"{tmp_path}/none.json").count() == 0
+
+
+def hard_chats():
+    """Sections that aren't chats, fields after messages, brackets and quotes in texts, empty lists."""
+    found = chats()
+    for k, c in enumerate(found["chats"]["list"]):
+        for j, m in enumerate(c["messages"]):
+            m["text_entities"] = [{"type": "bold", "text": f'}}]{{["\\" é\n {k} {j}'}, *m.get("text_entities", [])]
+            m["reactions"] = [{"count": 1, "recent": [{"from": "x"}]}]
+    last = found["chats"]["list"][-1]
+    turned = {"messages": last["messages"], "pins": [{"type": "message", "id": 9}], "about": {"id": 77, "name": "no"}} | {f: last[f] for f in ("type", "name", "id")}
+    found["chats"]["list"][-1] = turned
+    found["chats"]["list"] += [{"id": 8, "name": None, "type": "bot_chat", "messages": []}, {"id": 9, "type": "personal_chat", "messages": found["chats"]["list"][0]["messages"]}]
+    other = {"list": [{"id": 5, "name": "other", "type": "personal_chat", "messages": [{"id": 1, "type": "message"}]}]}
+    return {"about": "{[", "stories": other, "personal": {"list": [[{"messages": [{"id": 2}]}]]}, **found, "sessions": other}
+
+
+@pytest.mark.parametrize(("indent", "size"), [(1, 40), (1, 333), (1, 1 << 20), (None, 100), (0, 64)])
+def test_an_export_by_ranges_reads_as_one_document(spark, tmp_path, indent, size):
+    (tmp_path / "dump.json").write_text(json.dumps(hard_chats(), ensure_ascii=False, indent=indent))
+    path = f"file://{tmp_path}/dump.json"
+    want = export.messages(export.read_export(spark, path))
+    got = export.shaped(export.read_by_ranges(spark, path, size))
+    rows = lambda df: sorted(map(str, df.select(want.columns).collect()))
+    assert rows(got) == rows(want) and len(rows(got)) == 14
+
+
+def test_one_chat_is_read_by_many_tasks(spark, tmp_path):
+    said = [{"id": k, "type": "message", "text_entities": [{"type": "plain", "text": f"n {k}"}]} for k in range(400)]
+    (tmp_path / "one.json").write_text(json.dumps({"chats": {"list": [{"id": 1, "name": "a", "type": "personal_chat", "messages": said}]}}, indent=1))
+    rows = ranges.read_messages(spark, f"{tmp_path}/one.json", 4096)
+    assert sorted((r.pos, json.loads(r.raw)["id"], r.chat_no) for r in rows.collect()) == [(k, k, 0) for k in range(400)]
+    path = f"{tmp_path}/one.json"
+    span = ranges.Span(path, ranges.stamped(path), 4096, 4096)
+    assert 4096 <= span.start < 4200 and 8192 <= span.end < 8300
 
 
 def test_blame():
