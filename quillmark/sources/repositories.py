@@ -24,43 +24,53 @@ def is_repository(path: str) -> bool:
         return False
 
 
-def tracked(repo: str) -> dict[str, str]:
-    """path: blob of each tracked file."""
-    rows = (line.partition("\t") for line in git(repo, "ls-files", "-s", "-z").split("\0") if line)
-    return {path: head.split(" ")[1] for head, _, path in rows}
+def tracked(repo: str, rev: str) -> dict[str, str]:
+    """path: blob of each file of a revision."""
+    rows = (line.partition("\t") for line in git(repo, "ls-tree", "-r", "-z", rev).split("\0") if line)
+    return {path: head.split(" ")[2] for head, _, path in rows if head.split(" ")[1] == "blob"}
 
 
-def touched(repo: str, emails: list[str]) -> set[str]:
-    """Paths that any of these authors changed, merges left out."""
-    return set(filter(None, git(repo, "log", "--no-merges", "--name-only", "--format=", "-z", *(f"--author={e}" for e in emails)).replace("\n", "\0").split("\0")))
+def touched(repo: str, rev: str, emails: list[str]) -> set[str]:
+    """Paths that any of these authors changed up to a revision, merges left out."""
+    return set(filter(None, git(repo, "log", "--no-merges", "--name-only", "--format=", "-z", *(f"--author={e}" for e in emails), rev).replace("\n", "\0").split("\0")))
 
 
 def candidates(spark: SparkSession, repos: dict[str, str], emails: list[str]) -> DataFrame:
-    """repo, root, path, blob: tracked files that an author has touched, listed for each repository (name: root)."""
+    """repo, root, rev, path, blob: files of HEAD that an author has touched, listed for each repository
+    (name: root). Later readings take the revision that was HEAD here, whatever is edited or committed since."""
     bad = [root for root in repos.values() if not is_repository(root)]
     if bad:
         raise ValueError(f"not a repository: {', '.join(bad)}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, root in zip(part["repo"], part["root"]):
-                own = touched(root, emails)
-                rows = [(name, root, path, blob) for path, blob in sorted(tracked(root).items()) if path in own]
-                yield pd.DataFrame(rows, columns=["repo", "root", "path", "blob"])
+            for name, root, rev in part[["repo", "root", "rev"]].itertuples(index=False):
+                own = touched(root, rev, emails)
+                rows = [(name, root, rev, path, blob) for path, blob in sorted(tracked(root, rev).items()) if path in own]
+                yield pd.DataFrame(rows, columns=["repo", "root", "rev", "path", "blob"])
 
-    roots = spark.createDataFrame(sorted(repos.items()), "repo string, root string").repartition(max(1, len(repos)), "repo")
-    return roots.mapInPandas(run, "repo string, root string, path string, blob string")
+    heads = [(name, root, git(root, "rev-parse", "HEAD").strip()) for name, root in sorted(repos.items())]
+    roots = spark.createDataFrame(heads, "repo string, root string, rev string").repartition(max(1, len(repos)), "repo")
+    return roots.mapInPandas(run, "repo string, root string, rev string, path string, blob string")
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """repo, path, blob, source; too large ones are left out."""
+def spread(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Files dealt to tasks one by one: a repository is listed by one task, and adaptive execution would leave
+    its names in one small partition, though each stands for much work."""
+    return files.repartition(tasks or 2 * files.sparkSession.sparkContext.defaultParallelism, "repo", "path")
+
+
+def read_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """repo, path, blob, source; too large ones are left out. A repository's files spread over tasks."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["source"] = [git(root, "cat-file", "blob", blob) for root, blob in zip(part["root"], part["blob"])]
-            yield part[part["source"].str.len() <= MAX_SOURCE][["repo", "path", "blob", "source"]]
+            for at in range(0, len(part), 64):  # few sources at a time in memory
+                some = part.iloc[at : at + 64].copy()
+                some["source"] = [git(root, "cat-file", "blob", blob) for root, blob in zip(some["root"], some["blob"])]
+                yield some[some["source"].str.len() <= MAX_SOURCE][["repo", "path", "blob", "source"]]
 
-    return files.mapInPandas(run, "repo string, path string, blob string, source string")
+    return spread(files, tasks).mapInPandas(run, "repo string, path string, blob string, source string")
 
 
 def parse_blame(porcelain: str) -> list[tuple[int, str, int]]:
@@ -80,13 +90,13 @@ def parse_blame(porcelain: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def read_blame(files: DataFrame) -> DataFrame:
-    """repo, path, blob, line_no, email, year of every line."""
+def read_blame(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """repo, path, blob, line_no, email, year of every line. A repository's files spread over tasks."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for repo, root, path, blob in zip(part["repo"], part["root"], part["path"], part["blob"]):
-                found = parse_blame(git(root, "blame", "--line-porcelain", "--", path))
+            for repo, root, rev, path, blob in part[["repo", "root", "rev", "path", "blob"]].itertuples(index=False):
+                found = parse_blame(git(root, "blame", "--line-porcelain", rev, "--", path))
                 yield pd.DataFrame([(repo, path, blob, *x) for x in found], columns=["repo", "path", "blob", "line_no", "email", "year"])
 
-    return files.mapInPandas(run, "repo string, path string, blob string, line_no int, email string, year int")
+    return spread(files, tasks).mapInPandas(run, "repo string, path string, blob string, line_no int, email string, year int")

@@ -629,6 +629,27 @@ def test_an_export_keeps_every_profile_table(spark, tmp_path):
     assert {name: copied.profile("code", name).first().label for name in tables} == {name: name for name in tables}
 
 
+def test_one_repository_is_read_by_many_tasks_at_one_revision(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Me", "-c", "user.email=me@x.y", *a], check=True, capture_output=True)
+    run("init")
+    for k in range(24):
+        (tmp_path / f"f {k}.py").write_text(f"# {k}\n" * (k + 1))
+    run("add", ".")
+    run("commit", "-m", "first")
+    files = repositories.candidates(spark, {"r": str(tmp_path)}, ["me@x.y"]).persist()
+    assert files.count() == 24 and repositories.candidates(spark, {"r": str(tmp_path)}, ["you@x.y"]).count() == 0
+    (tmp_path / "f 0.py").write_text("edited\n\n\n")
+    run("commit", "-am", "second")
+    (tmp_path / "f 1.py").write_text("not committed\n")
+    lines = repositories.read_blame(files, 8).withColumn("task", F.spark_partition_id())
+    rows = lines.collect()
+    assert sorted((r.path, r.line_no, r.email) for r in rows) == sorted((f"f {k}.py", n + 1, "me@x.y") for k in range(24) for n in range(k + 1))
+    assert len({r.task for r in rows}) > 4 and files.select(F.spark_partition_id()).distinct().count() == 1
+    assert {r.path: r.source for r in repositories.read_files(files).collect()} == {f"f {k}.py": f"# {k}\n" * (k + 1) for k in range(24)}
+
+
 def test_code_build_blames_what_is_new(spark, tmp_path):
     import subprocess
 
