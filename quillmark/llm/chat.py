@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from quillmark.llm.common import written
 
 TEMPLATE = ("<|", "|>\n", "<|end|>\n")
 CHUNK = 256
 
 
+def earlier_chunks() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: distinct rows with an id and turn; null role or text reads as empty."""
     return (
@@ -24,24 +30,29 @@ def _hash(*cols: str | Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cols) for seed in (1, 2)]
 
 
-def prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, n, h1, h2: a turn's place from 1 and rolling hashes of all turns up to it.
+def placed_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, chunk, turn, role, text, n: turns with their place from 1.
 
-    A rolling hash is the sum of hashes of (place, role, text). Places and sums are taken in chunks of
-    CHUNK turn numbers, then carried from chunk to chunk, so a conversation of any length is spread over
-    tasks. Each hash is taken modulo 2^31, so sums of 2^32 turns stay exact."""
+    Places are taken in chunks of CHUNK turn numbers, then carried from chunk to chunk, so a conversation of
+    any length is spread over tasks."""
     t = turns(conversations).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = t.groupBy("conv_id", "chunk").agg(F.count("*").alias("k")).select(F.col("conv_id").alias("c"), F.col("chunk").alias("p"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
-    placed = t.withColumn("k", F.row_number().over(inside)).join(carry, (F.col("conv_id") == F.col("c")) & (F.col("chunk") == F.col("p"))).withColumn("n", F.col("base") + F.col("k")).drop("c", "p", "base", "k")
-    one, two = (F.pmod(h, F.lit(1 << 31)) for h in _hash("n", "role", "text"))
-    hashed = placed.withColumns({"x1": one, "x2": two})
-    sums = hashed.groupBy("conv_id", "chunk").agg(F.sum("x1").alias("s1"), F.sum("x2").alias("s2"))
-    bases = sums.select(F.col("conv_id").alias("c"), F.col("chunk").alias("p"), *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(b) for s, b in (("s1", "b1"), ("s2", "b2"))])
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rolled = hashed.withColumns({"r1": F.sum("x1").over(running), "r2": F.sum("x2").over(running)}).join(bases, (F.col("conv_id") == F.col("c")) & (F.col("chunk") == F.col("p")))
-    return rolled.select("conv_id", "turn", "role", "text", "n", (F.col("b1") + F.col("r1")).alias("h1"), (F.col("b2") + F.col("r2")).alias("h2"))
+    carry = t.groupBy("conv_id", "chunk").agg(F.count("*").alias("k")).select(F.col("conv_id").alias("c"), F.col("chunk").alias("p"), F.coalesce(F.sum("k").over(earlier_chunks()), F.lit(0)).alias("base"))
+    numbered = t.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text"))).join(carry, (F.col("conv_id") == F.col("c")) & (F.col("chunk") == F.col("p")))
+    return numbered.withColumn("n", F.col("base") + F.col("k")).drop("c", "p", "base", "k")
+
+
+def prefix_hashes(placed: DataFrame) -> DataFrame:
+    """conv_id, n, h1, h2: rolling hashes of all turns up to the n-th, without texts.
+
+    A rolling hash joins 64-bit hashes of (place, role, text) by exclusive or, as places make them differ; two
+    of them make 128 bits. They run within chunks and are carried from chunk to chunk like places."""
+    one, two = _hash("n", "role", "text")
+    hashed = placed.select("conv_id", "chunk", "turn", "n", one.alias("x1"), two.alias("x2"))
+    whole = hashed.groupBy("conv_id", "chunk").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
+    bases = whole.select(F.col("conv_id").alias("c"), F.col("chunk").alias("p"), *[F.coalesce(F.bit_xor(s).over(earlier_chunks()), F.lit(0)).alias(b) for s, b in (("s1", "b1"), ("s2", "b2"))])
+    running = Window.partitionBy("conv_id", "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = hashed.withColumns({"r1": F.bit_xor("x1").over(running), "r2": F.bit_xor("x2").over(running)}).join(bases, (F.col("conv_id") == F.col("c")) & (F.col("chunk") == F.col("p")))
+    return rolled.select("conv_id", "n", *[F.col(b).bitwiseXOR(F.col(r)).alias(h) for b, r, h in (("b1", "r1", "h1"), ("b2", "r2", "h2"))])
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
@@ -62,10 +73,11 @@ def rendered(conversations: DataFrame, segment: int = 512) -> DataFrame:
 
     Turns stand in order of (turn, role, text), repeated rows once; rows with a null id or turn are left
     out. A conversation of more than `segment` turns is several rows, to be joined in order, so no row
-    grows without bound. Empty tables give none."""
-    hashed = prefix_hashes(conversations)
-    kept = maximal(hashed)
+    grows without bound. Empty tables give none. Turns are hashed once, into a written table without texts;
+    texts meet those that stay last."""
+    placed = placed_turns(conversations)
+    kept = maximal(written(prefix_hashes(placed), "chat-prefixes"))
     a, b, c = TEMPLATE
-    said = hashed.select("conv_id", "n", F.concat(F.lit(a), "role", F.lit(b), "text", F.lit(c)).alias("said")).join(kept, "conv_id")
+    said = placed.select("conv_id", "n", F.concat(F.lit(a), "role", F.lit(b), "text", F.lit(c)).alias("said")).join(kept, "conv_id")
     rows = said.groupBy("conv_id", "n_turns", "n_copies", F.floor((F.col("n") - 1) / segment).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("n", "said"))).alias("all"))
     return rows.select("conv_id", "n_turns", "n_copies", "segment", F.array_join("all.said", "").alias("text"))
