@@ -73,9 +73,9 @@ def rendered(conversations: DataFrame, segment: int = 512) -> DataFrame:
 
     Turns stand in order of (turn, role, text), repeated rows once; rows with a null id or turn are left
     out. A conversation of more than `segment` turns is several rows, to be joined in order, so no row
-    grows without bound. Empty tables give none. Turns are hashed once, into a written table without texts;
-    texts meet those that stay last."""
-    placed = placed_turns(conversations)
+    grows without bound. Empty tables give none. Turns are placed once, into a written table, and hashed
+    once, into one without texts; texts meet conversations that stay last."""
+    placed = written(placed_turns(conversations), "chat-turns")
     kept = maximal(written(prefix_hashes(placed), "chat-prefixes"))
     a, b, c = TEMPLATE
     said = placed.select("conv_id", "n", F.concat(F.lit(a), "role", F.lit(b), "text", F.lit(c)).alias("said")).join(kept, "conv_id")
