@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -11,12 +12,24 @@ from pyspark.sql import functions as F
 BLANKS = "\t\n\x0b\f\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 SPACES = r"\t\n\x0B\f\r " + "".join(rf"\x{{{ord(c):X}}}" for c in BLANKS[6:])
 SPACE = f"[{SPACES}]"
+#: Runs of letters and digits, two or longer. Possessive, as nothing that follows could ask for less.
+TOKEN = r"[\p{L}\p{N}]{2,}+"
 #: A word's edge that knows ASCII word characters only.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def wide(text: Column) -> Column:
+    """Whether any character lies beyond ASCII: what only such texts can hold need not be looked for in others."""
+    return F.octet_length(text) > F.length(text)
+
+
 def utf16_len(text: Column) -> Column:
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.when(wide(text), F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)).otherwise(F.length(text))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -40,13 +53,12 @@ def near_key(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, two or longer, with yo folded."""
-    found = F.regexp_extract_all(F.translate(F.lower(text), "ё", "е"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(found, lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), F.lit(TOKEN), F.lit(0))
 
 
 def token_count(text: Column) -> Column:
     """How many tokens a text has, without making them."""
-    return F.regexp_count(F.translate(F.lower(text), "ё", "е"), F.lit(r"[\p{L}\p{N}]{2,}"))
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
 
 
 def whole_word(body: str) -> str:
@@ -102,15 +114,20 @@ def around(text: Column, mark: str) -> Column:
 
 def code_words(text: Column) -> Column:
     """Distinct lower-case words of three letters or more, camel case and joined names taken apart."""
-    runs = F.regexp_extract_all(text, F.lit(r"\p{L}{3,}"), F.lit(0))
-    pieces = F.flatten(F.transform(runs, lambda w: F.split(w, r"[_-]+|(?<=\p{Ll})(?=\p{Lu})")))
-    return F.array_distinct(F.filter(F.transform(pieces, F.lower), lambda w: F.length(w) >= 3))
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{3,}+"), F.lit(0)))
+    apart = F.flatten(F.transform(runs, lambda w: F.when(w.rlike(r"\p{Ll}\p{Lu}"), F.split(w, r"(?<=\p{Ll})(?=\p{Lu})")).otherwise(F.array(w))))
+    return F.array_distinct(F.filter(F.transform(apart, F.lower), lambda w: F.length(w) >= 3))
+
+
+def shared_words(own: Column, theirs: Column) -> Column:
+    """Share of the first words that the others hold; 0 where either are none."""
+    share = lambda x: F.when((F.size(x) == 0) | (F.size(theirs) == 0), 0.0).otherwise(F.size(F.array_intersect(x, theirs)) / F.size(x))
+    return let(own, share)
 
 
 def code_overlap(comment: Column, code: Column) -> Column:
     """Share of the comment's words that the code has; 0 where either has none."""
-    own, theirs = code_words(comment), code_words(code)
-    return F.when((F.size(own) == 0) | (F.size(theirs) == 0), 0.0).otherwise(F.size(F.array_intersect(own, theirs)) / F.size(own))
+    return let(code_words(code), lambda theirs: shared_words(code_words(comment), theirs))
 
 
 def script_language(text: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.stem import stem_text, stems, vocabulary
-from quillmark.functions.text import drawn, half_up, near_key, token_count, tokens
+from quillmark.functions.text import drawn, half_up, let, near_key, token_count, tokens, wide
+from quillmark.llm.common import written
 
 #: Words without a topic.
 STOP_TEXT = (
@@ -28,6 +29,8 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaa
 
 #: Rows that may come to the driver to be looked up in every task from then on: asked terms and winners.
 MOST_LOCAL = 1 << 16
+#: Words that a filter may name.
+MOST_NAMED = 1 << 10
 #: Words of a vocabulary that may be broadcast.
 MOST_WORDS = 1 << 20
 #: Ids in a block of postings, and the blocks that are searched first.
@@ -35,7 +38,7 @@ BLOCK_BITS, FIRST_BLOCKS = 10, 32
 
 
 def folded(word: Column) -> Column:
-    return F.translate(word, MARKED, PLAIN)
+    return F.when(wide(word), F.translate(word, MARKED, PLAIN)).otherwise(word)
 
 
 def terms(text: Column, stemmed: bool = True) -> Column:
@@ -110,6 +113,39 @@ def build_index(turns: DataFrame, text: str = "text", stemmed: bool = True, know
     return WordIndex(counted(said.join(held, "word")), int(n), float(avg or 0.0), words=said, terms=found)
 
 
+@dataclass
+class TextIndex:
+    """Turns that are searched as they stand: what requests ask for is counted in one pass over the texts, which
+    gives n_docs and avg_len too. `words` (word) holds every word that may be there and is needed for stems."""
+
+    turns: DataFrame
+    text: str = "text"
+    stemmed: bool = True
+    words: DataFrame | None = None
+
+    def cut(self, asked: DataFrame, few: bool) -> Index:
+        """The index that build_index makes, cut to the asked terms."""
+        names, wanted = None, None
+        if few:
+            names = [r.term for r in asked.select("term").distinct().collect()]
+            if self.stemmed:
+                known = vocabulary(self.words).select("word", folded(F.col("stem")).alias("term"))
+                wanted, n = local(known.where(F.col("term").isin(names)), MOST_NAMED)
+                names = None if n is None else [r.word for r in wanted.collect()]
+        if names is None:
+            known = vocabulary(self.words) if self.stemmed else None
+            return build_index(self.turns, self.text, self.stemmed, known).cut(asked, few)
+        rows = self.turns.where(~F.col("holdout") & F.col(self.text).isNotNull()).select("id", tokens(F.col(self.text)).alias("_t"))
+        own = (lambda w: w) if self.stemmed else folded
+        hits = F.transform(F.filter("_t", lambda w: own(w).isin(names)), own)
+        each = let(hits, lambda h: F.transform(F.array_distinct(h), lambda w: F.struct(w.alias("word"), F.size(F.filter(h, lambda x: x == w)).cast("long").alias("tf"))))
+        held = written(rows.select("id", F.size("_t").alias("len"), each.alias("hits")), "asked")
+        n, avg = held.agg(F.count("*"), F.avg("len")).first()
+        found = held.select("id", "len", F.explode("hits").alias("h")).select("id", "len", "h.word", "h.tf")
+        found = found.join(wanted, "word") if self.stemmed else found.withColumnRenamed("word", "term")
+        return Index(found.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len")), int(n), float(avg or 0.0))
+
+
 def block_bounds(postings: DataFrame) -> DataFrame:
     """term, block, n, max_tf, min_len: a posting's weight grows with tf and shrinks with len, so these two bound
     it whatever the average length comes to."""
@@ -213,7 +249,7 @@ def best(index: Index, asked: DataFrame, facts: DataFrame, n: int, now: int, rec
     return top_candidates(found.unionByName(top(rest)), n)
 
 
-def search(index: Index, turns: DataFrame, requests: DataFrame, limit: int = 20, now: int = 2026, recency: float = RECENCY, match_context: bool = False, stemmed: bool = True, seed: int | None = None, **facets) -> DataFrame:
+def search(index: Index | TextIndex, turns: DataFrame, requests: DataFrame, limit: int = 20, now: int = 2026, recency: float = RECENCY, match_context: bool = False, stemmed: bool = True, seed: int | None = None, **facets) -> DataFrame:
     """query_id, place, id, score, source and the turn's columns: the best `limit` turns for each request
     (query_id, query). Three times as many are ranked before near-duplicates collapse.
 

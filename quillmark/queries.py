@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.config import Config
-from quillmark.functions.text import SPACES, code_overlap, emoji_class, half_up, near_key, pseudonym, utf16_len, whole_word
+from quillmark.functions.text import SPACES, code_overlap, emoji_class, half_up, near_key, pseudonym, tokens, utf16_len, whole_word
+from quillmark.llm.common import written
 from quillmark.operators import habits, lexicon, metrics, redact, score, search, turns
 from quillmark.operators.habits import Probe
 
@@ -107,10 +108,15 @@ t AS (SELECT chat_key, min(pos) AS pos, arg_min(ts, pos) AS ts, arg_min(reply_to
 # Queries.
 
 
-def frequent_words(texts: DataFrame, n: int = 6) -> DataFrame:
-    """query_id, query: the most frequent words of four letters or more, as one request."""
-    words = texts.select(F.explode_outer(search.terms(F.col("text"), stemmed=False)).alias("w")).where(F.length("w") >= 4)
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
+def said_counts(texts: DataFrame) -> DataFrame:
+    """word, n over all texts."""
+    return texts.select(F.explode_outer(tokens(F.col("text"))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def frequent_words(counts: DataFrame, n: int = 6) -> DataFrame:
+    """query_id, query: the most frequent words of four letters or more, as one request. Marks are taken off distinct
+    words, which keep their lengths."""
+    top = counts.where(F.length("word") >= 4).groupBy(search.folded(F.col("word")).alias("w")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(n)
     return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "w"))).alias("all")).select(F.lit(0).alias("query_id"), F.array_join("all.w", " ").alias("query"))
 
 
@@ -148,7 +154,7 @@ def rounded(rows: DataFrame) -> DataFrame:
 
 def reply_bm25_topk(spark, sf_dir):
     t = pair_turns(spark, sf_dir)
-    asked = frequent_words(read(spark, sf_dir, "conversations").where("role = 'user'"))
+    asked = frequent_words(said_counts(read(spark, sf_dir, "conversations").where("role = 'user'")))
     found = search.search(search.build_index(t, "context_in", stemmed=False), t, asked, 15, NOW, match_context=True, stemmed=False, require_context=True)
     return rounded(found).select("place", "id", "score", "year", "context_explicit")
 
@@ -159,7 +165,7 @@ REPLY_SQL = REPLY + "\nSELECT CAST(place AS INTEGER) AS place, id, floor(score *
 
 def turn_bm25_topk(spark, sf_dir):
     t = document_turns(spark, sf_dir)
-    found = search.search(search.build_index(t, "text", stemmed=False), t, frequent_words(read(spark, sf_dir, "documents")), 20, NOW, stemmed=False, register="dm", year_from=2017, min_chars=100)
+    found = search.search(search.build_index(t, "text", stemmed=False), t, frequent_words(said_counts(read(spark, sf_dir, "documents"))), 20, NOW, stemmed=False, register="dm", year_from=2017, min_chars=100)
     return rounded(found).select("place", "id", "score", "year", "chars")
 
 
@@ -167,14 +173,15 @@ TURN_SQL = f"WITH {DOCS},\n{sql_bm25('text', 'documents')},\n" + sql_ranked("sco
 
 
 def stemmed_search(spark, sf_dir):
-    t = document_turns(spark, sf_dir)
-    found = search.search(search.build_index(t), t, frequent_words(read(spark, sf_dir, "documents")), 20, NOW, seed=7, register="longform", lang="en")
+    t = document_turns(spark, sf_dir).drop("parts")
+    counts = written(said_counts(read(spark, sf_dir, "documents")), "words")  # the request's words and the vocabulary
+    found = search.search(search.TextIndex(t, words=counts), t, frequent_words(counts), 20, NOW, seed=7, register="longform", lang="en")
     return rounded(found).select("place", "id", "score", "source")
 
 
 def reply_with_topup(spark, sf_dir):
     t = pair_turns(spark, sf_dir)
-    asked = frequent_words(read(spark, sf_dir, "conversations").where("role = 'user'"))
+    asked = frequent_words(said_counts(read(spark, sf_dir, "conversations").where("role = 'user'")))
     pairs = search.search(search.build_index(t, "context_in", stemmed=False), t, asked, 10, NOW, match_context=True, stemmed=False, require_context=True, year_from=2022)
     topical = search.search(search.build_index(t, "text", stemmed=False), t, asked, 40, NOW, stemmed=False)
     return search.with_topic(pairs, topical, 40).select("place", "id", "origin")

@@ -317,6 +317,19 @@ def test_a_key_of_any_size_collapses_to_one_row_a_task(spark, capsys):
     assert "partial_min_by" in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_a_request_counts_terms_in_one_pass(spark, stemmed):
+    rows = [(1, "Crème creme a CRÈME, ёж еж", False), (2, "sage é cats cat 12 1", False), (3, None, False), (4, "", False), (5, "creme", True)]
+    t = spark.createDataFrame(rows, "id long, text string, holdout boolean")
+    asked = spark.createDataFrame([(0, x) for x in ("creme", "crem", "еж", "cat", "none")], "query_id int, term string")
+    made = search.TextIndex(t, stemmed=stemmed, words=search.said_words(t, "text")).cut(asked, True)
+    whole = search.build_index(t, stemmed=stemmed)
+    assert (made.n_docs, made.avg_len) == (whole.n_docs, whole.avg_len) == (3, 3.0)
+    got, want = ({tuple(r) for r in i.postings.select("id", "term", "tf", "len").collect()} for i in (made, whole.cut(asked, True)))
+    assert got == {x for x in want if x[1] in ("creme", "crem", "еж", "cat")} and len(got) >= 3
+    assert "regexp_extract_all" not in made.postings._jdf.queryExecution().toString()
+
+
 def test_a_word_meets_the_stemmer_once(spark):
     words = spark.createDataFrame([("сообщения",), ("running",), ("сообщения",), ("x1",)], "word string")
     known = stem.vocabulary(words)
