@@ -155,7 +155,7 @@ def rounded(rows: DataFrame) -> DataFrame:
 def reply_bm25_topk(spark, sf_dir):
     t = pair_turns(spark, sf_dir)
     asked = frequent_words(said_counts(read(spark, sf_dir, "conversations").where("role = 'user'")))
-    found = search.search(search.build_index(t, "context_in", stemmed=False), t, asked, 15, NOW, match_context=True, stemmed=False, require_context=True)
+    found = search.search(search.TextIndex(t, "context_in", stemmed=False), t, asked, 15, NOW, match_context=True, stemmed=False, require_context=True)
     return rounded(found).select("place", "id", "score", "year", "context_explicit")
 
 
@@ -164,8 +164,8 @@ REPLY_SQL = REPLY + "\nSELECT CAST(place AS INTEGER) AS place, id, floor(score *
 
 
 def turn_bm25_topk(spark, sf_dir):
-    t = document_turns(spark, sf_dir)
-    found = search.search(search.build_index(t, "text", stemmed=False), t, frequent_words(said_counts(read(spark, sf_dir, "documents"))), 20, NOW, stemmed=False, register="dm", year_from=2017, min_chars=100)
+    t = document_turns(spark, sf_dir).drop("parts")
+    found = search.search(search.TextIndex(t, "text", stemmed=False), t, frequent_words(said_counts(read(spark, sf_dir, "documents"))), 20, NOW, stemmed=False, register="dm", year_from=2017, min_chars=100)
     return rounded(found).select("place", "id", "score", "year", "chars")
 
 
@@ -182,8 +182,8 @@ def stemmed_search(spark, sf_dir):
 def reply_with_topup(spark, sf_dir):
     t = pair_turns(spark, sf_dir)
     asked = frequent_words(said_counts(read(spark, sf_dir, "conversations").where("role = 'user'")))
-    pairs = search.search(search.build_index(t, "context_in", stemmed=False), t, asked, 10, NOW, match_context=True, stemmed=False, require_context=True, year_from=2022)
-    topical = search.search(search.build_index(t, "text", stemmed=False), t, asked, 40, NOW, stemmed=False)
+    pairs = search.search(search.TextIndex(t, "context_in", stemmed=False), t, asked, 10, NOW, match_context=True, stemmed=False, require_context=True, year_from=2022)
+    topical = search.search(search.TextIndex(t, "text", stemmed=False), t, asked, 40, NOW, stemmed=False)
     return search.with_topic(pairs, topical, 40).select("place", "id", "origin")
 
 
