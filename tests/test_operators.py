@@ -2,6 +2,7 @@ import datetime
 import json
 import math
 import random
+import re
 from collections import namedtuple
 
 import pytest
@@ -379,6 +380,13 @@ const x = 1
 """
 
 
+@pytest.mark.parametrize("words, wide, cyrillic", [("plain", False, False), ("é – 😀", True, False), ("\u1c82днако", True, True), ("ОДНАКО", True, True), (None, None, None)])
+def test_texts_that_hold_no_such_letter_meet_no_such_pattern(spark, words, wide, cyrillic):
+    r = score.looked_over(spark.createDataFrame([(words,)], "_w string")).select("_wide", "_cyrillic", text.utf16_len(F.col("_w")).alias("n")).first()
+    assert (r._wide, r._cyrillic) == (wide, cyrillic) and r.n == (None if words is None else len(words.encode("utf-16-le")) // 2)
+    assert all(re.search("[\u0400-\u04ff]", p.pattern) for p in [*score.CLERICAL, *score.FILLER]) and not any(p.pattern.isascii() for p in habits.FOREIGN_MARKS)
+
+
 def test_comments(spark):
     files = spark.createDataFrame([("r", "a.ts", SOURCE), ("r", "b.py", "#!/bin/sh\n# hash note here\nx = 1"), ("r", "c.bin", "// no"), ("r", "d.lua", "--- doc line\n-- more\nf()"), ("r", "e.ts", None)], "repo string, path string, source string")
     got = {(r.path, r.start_line): r for r in comments.comment_blocks(files).collect()}
