@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.config import Config
-from quillmark.functions.text import SPACES, code_overlap, emoji_class, half_up, near_key, pseudonym, tokens, utf16_len, whole_word
+from quillmark.functions.text import SPACES, code_words, emoji_class, half_up, near_key, pseudonym, shared_words, tokens, utf16_len, whole_word
 from quillmark.llm.common import written
 from quillmark.operators import habits, lexicon, metrics, redact, score, search, turns
 from quillmark.operators.habits import Probe
@@ -420,9 +420,12 @@ PSEUDONYM_SQL = "SELECT DISTINCT conv_id, 'chat-' || substr(sha256(conv_id || ':
 def code_overlaps(spark, sf_dir):
     """Each document as a comment on the benchmark item whose rank is its number modulo the count of items."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("code"))
-    b = turns.ranks(items, "item_id", "code").withColumn("k", F.col("rank") - 1)
-    d = read(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % F.lit(max(1, items.count()))).join(b, "k")
-    return d.select("doc_id", half_up(code_overlap(F.col("text"), F.col("code")), 3).alias("overlap"))
+    n = items.count()
+    # an item's words are made once, not with each document that it meets
+    b = turns.ranks(items, "item_id", "code").select((F.col("rank") - 1).alias("k"), code_words(F.col("code")).alias("theirs"))
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % F.lit(max(1, n))).alias("k"), code_words(F.col("text")).alias("own"))
+    met = d.join(F.broadcast(b) if n <= search.MOST_LOCAL else b, "k")
+    return met.select("doc_id", half_up(shared_words(F.col("own"), F.col("theirs")), 3).alias("overlap"))
 
 
 def _words_sql(c: str) -> str:

@@ -380,6 +380,12 @@ const x = 1
 """
 
 
+def test_words_of_code_are_made_once(spark):
+    df = spark.createDataFrame([("setRetry ÉtéABC ab straßeNeu", "RETRY neu")], "a string, b string").select(text.code_overlap(F.col("a"), F.col("b")).alias("x"))
+    assert df.first().x == 2 / 6  # set, retry, été, abc, straße, neu
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+
+
 @pytest.mark.parametrize("words, wide, cyrillic", [("plain", False, False), ("é – 😀", True, False), ("\u1c82днако", True, True), ("ОДНАКО", True, True), (None, None, None)])
 def test_texts_that_hold_no_such_letter_meet_no_such_pattern(spark, words, wide, cyrillic):
     r = score.looked_over(spark.createDataFrame([(words,)], "_w string")).select("_wide", "_cyrillic", text.utf16_len(F.col("_w")).alias("n")).first()
