@@ -145,7 +145,8 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
     """One byte a cell: 0 where the count is what chance brings, then a level for each doubling of what
     goes beyond: a token that stands above the noise of its cell is put last in every prefix.
 
-    Tasks add up chunks as they stream by; 16 MB reach the driver, at any size of the input."""
+    Tasks add up chunks as they stream by; 16 MB reach the driver, at any size of the input, in one job whatever
+    the number of partitions."""
     mean = (found.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
 
     def add(batches: Batches) -> Batches:
@@ -162,8 +163,9 @@ def frequency_levels(found: DataFrame) -> np.ndarray:
 
     parts = found.where(F.col("chunk").isNotNull()).select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, level binary")
     out = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.level, np.uint8)
+    got = parts.toArrow()
+    for chunk, level in zip(got["chunk"].to_pylist(), got["level"]):
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(level.as_buffer(), np.uint8)
     return out
 
 
@@ -177,7 +179,9 @@ MOST_FLAGS = 30
 
 
 def key_filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Eight flags or more for each of n ids, packed in bytes, set where one of the ids falls."""
+    """Eight flags or more for each of n ids, packed in bytes, set where one of the ids falls.
+
+    The driver gets them in one job, at most 2^MOST_FLAGS (128 MB)."""
     bits = max(20, (8 * n - 1).bit_length())
     part = 20
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
@@ -193,8 +197,9 @@ def key_filter(keys: DataFrame, n: int) -> np.ndarray:
 
     places = keys.select(place.alias("x")).distinct().repartition(1 << (bits - part), F.shiftright("x", part))
     out, wide = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (part - 3)
-    for r in places.mapInArrow(flags, "part int, flags binary").toLocalIterator():
-        out[r.part * wide : (r.part + 1) * wide] |= np.frombuffer(r.flags, np.uint8)
+    got = places.mapInArrow(flags, "part int, flags binary").toArrow()
+    for k, own in zip(got["part"].to_pylist(), got["flags"]):
+        out[k * wide : (k + 1) * wide] |= np.frombuffer(own.as_buffer(), np.uint8)
     return out
 
 

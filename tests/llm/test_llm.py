@@ -258,6 +258,28 @@ def test_words_hash_alike_wherever_they_stand():
     assert len(ngram_join.word_hashes("y" * 70_000 + " z")) == 2
 
 
+def test_levels_and_flags_reach_the_driver_in_few_jobs(spark):
+    """Their jobs don't grow with the number of shuffle partitions, and they hold every shingle and id."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 48)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        common = "a line that all of these texts hold"
+        levels = ngram_join.frequency_levels(ngram_join.sets(docs(spark, [(k, f"{common} text{k}", None, None) for k in range(40)])))
+        at = (ngram_join.shingles(common) >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64)
+        assert (levels[at] > 0).all() and np.count_nonzero(levels) <= 40 + len(at)
+        ids = spark.range(0, 300_000, 3).withColumnRenamed("id", "doc_id")
+        flags = ngram_join.key_filter(ids, 100_000)
+        place = np.array([r.x for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(flags))).alias("x")).collect()])
+        assert (flags[place >> 3] >> (place & 7) & 1).all() and int(np.bitwise_count(flags).sum()) == len(np.unique(place))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_lm_base_and_bits(spark, given, odd, none):
     d = given.unionByName(docs(spark, [(10_000, None, None, None), (10_001, "", None, None)]))
     t = lm_score.train(lm_score.train_fold(d))
