@@ -439,7 +439,7 @@ SELECT doc_id, floor((CASE WHEN len(own) = 0 OR len(theirs) = 0 THEN 0.0::DOUBLE
 def score_texts(spark, sf_dir):
     """Documents scored against the profile of the documents of their register that aren't long."""
     t = document_turns(spark, sf_dir)
-    usual = t.where("not longform and chars < 600")
+    usual = written(t.where("not longform and chars < 600").select("id", "register", "parts", "chars"), "usual")  # measured several times
     measured = metrics.measure(usual, ["register"])
     shares = habits.probe_shares(metrics.messages_of(usual), habits.HABITS, "message").agg(habits.habit_share(None, habits.LIST_LABELS).alias("list_share"), F.lit(0.1).alias("markdown_share"))
     marks = F.map_from_arrays(F.array(*[F.lit(p.label) for p in habits.FOREIGN_MARKS]), F.array(*[F.lit(0.0)] * len(habits.FOREIGN_MARKS)))

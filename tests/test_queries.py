@@ -26,3 +26,9 @@ def test_facets_reach_the_scan(spark, capsys):
     queries.facet_scan(spark, SF).explain("formatted")
     plan = capsys.readouterr().out
     assert "EqualTo(lang,en)" in plan and "source" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_scored_texts_meet_one_reading_of_the_documents(spark, capsys):
+    """What the profile measures is read from the documents once and written, however often it is measured."""
+    queries.score_texts(spark, SF).explain("formatted")
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count(f"{SF}/documents.parquet") == 1
