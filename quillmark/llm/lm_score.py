@@ -224,28 +224,40 @@ class Bits(NamedTuple):
             yield at, [s[at] ^ turn for s in self.keys], self.code.bit[b, k]
 
 
-def bits_of(words: list[bytes], kinds: list[int], code: Code = EVEN) -> Bits:
-    b = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
+class Spelled(NamedTuple):
+    """All bytes of some words, each word closed by a blank."""
+
+    byte: np.ndarray
+    owner: np.ndarray  # the word of each byte
+    start: np.ndarray  # where that word starts
+    at: np.ndarray  # the byte's place in it
+
+
+def spelled_out(words: list[bytes]) -> Spelled:
+    b = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    owner = np.repeat(np.arange(len(words)), size)
     start = np.repeat(np.cumsum(size) - size, size)
-    at = np.arange(len(b)) - start
-    before = []  # the k-th byte before, 256 where the word hasn't begun
-    for k in range(1, 5):
-        x = np.full(len(b), 256, dtype=np.uint64)
-        x[k:] = b[:-k]
-        x[at < k] = 256
-        before.append(x)
+    return Spelled(b, np.repeat(np.arange(len(words)), size), start, np.arange(len(b)) - start)
+
+
+def bits_of(words: list[bytes], kinds: list[int], code: Code = EVEN, only: np.ndarray | None = None) -> Bits:
+    """Of all bytes, or of those at the places `only`."""
+    b, owner, start, at = spelled_out(words)
+    b = b.astype(np.uint64)
+    # the word so far: a sum of its bytes, each by its place's factor, is the difference of two running sums
+    place = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    term = (b + np.uint64(1)) * place[at & 63] * (np.uint64(2) * (at >> 6).astype(np.uint64) + np.uint64(1))
+    run = np.cumsum(term) - term
+    every, whole = b, np.arange(len(b)) if only is None else only
+    b, owner, start, at = b[whole], owner[whole], start[whole], at[whole]
+    # the k-th byte before, 256 where the word hasn't begun
+    before = [np.where(at < k, np.uint64(256), every[np.maximum(whole - k, 0)]) for k in range(1, 5)]
     contexts, h = {}, np.zeros(len(b), dtype=np.uint64)
     for k in range(1, 5):
         h = (h + before[k - 1] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         contexts[k] = h * np.uint64(2 * k + 1)
-    # the word so far: a sum of its bytes, each by its place's factor, is the difference of two running sums
-    place = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    term = (b + np.uint64(1)) * place[at & 63] * (np.uint64(2) * (at >> 6).astype(np.uint64) + np.uint64(1))
-    run = np.cumsum(term) - term
-    contexts[0] = (run - run[start]) ^ np.uint64(0xA5A5A5A5)
+    contexts[0] = (run[whole] - run[start]) ^ np.uint64(0xA5A5A5A5)
     kind = (np.array(kinds, dtype=np.uint64)[owner] + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
     keys = []
     for order, by_class in ORDERS:
@@ -254,6 +266,45 @@ def bits_of(words: list[bytes], kinds: list[int], code: Code = EVEN) -> Bits:
     return Bits(owner, b.astype(np.int64), at >= SHALLOW, keys, code)
 
 
+class Starts(NamedTuple):
+    """What some words spell, with what words of one class start alike in told once."""
+
+    bits: Bits  # of each distinct start, its last byte
+    start: np.ndarray  # of each byte of the words, place among the starts
+    owner: np.ndarray  # of each byte of the words
+
+
+def starts_of(words: list[bytes], kinds: list[int], code: Code = EVEN, asked: int | None = None) -> Starts:
+    """All that is asked about a byte depends on its class and the word up to it: words that stand beside each other
+    when sorted share the starts that they have in common. The starts of the first `asked` words come first."""
+    each = list(zip(kinds, words))
+    order = sorted(range(len(words)), key=each.__getitem__)
+    words, kinds = [words[i] for i in order], [kinds[i] for i in order]
+    b, owner, start, at = spelled_out(words)
+    first = np.flatnonzero(at == 0)
+    size, kind, above = np.diff(np.append(first, len(b))), np.array(kinds), np.concatenate([[0], first[:-1]])
+    over = np.concatenate([[0], np.where(kind[1:] == kind[:-1], size[:-1], 0)])  # bytes of the word before, if of that class
+    same = (at < over[owner]) & (b == b[np.minimum(above[owner] + at, len(b) - 1)])
+    shared = np.minimum.reduceat(np.where(same, len(b), at), first)
+    new = at >= shared[owner]
+    # a shared start is the last new one at its place
+    turn = np.argsort(at.astype(np.uint16) if size.max() <= 1 << 16 else at, kind="stable")
+    last = np.empty(len(b), dtype=np.int64)
+    last[turn] = turn[np.maximum.accumulate(np.where(new[turn], np.arange(len(b)), 0))]
+    number = np.cumsum(new) - 1
+    own, only, of = number[last], np.flatnonzero(new), np.array(order)[owner]
+    if asked is not None:
+        used = np.zeros(len(only), dtype=bool)
+        used[own[of < asked]] = True
+        by = np.argsort(~used, kind="stable")
+        only, place = only[by], np.empty_like(by)
+        place[by] = np.arange(len(by))
+        own = place[own]
+    return Starts(bits_of(words, kinds, code, only), own, of)
+
+
+#: Starts of words that are told together.
+TOGETHER = 20_000
 #: Words of a bucket, on average; those that start with the same SHALLOW bytes share one.
 BUCKET = 20_000
 
@@ -340,8 +391,8 @@ def context_counts(buckets: DataFrame, code: Code = EVEN, held: int = 1_000_000)
             for row in range(batch.num_rows):
                 words, kinds, n = members(batch.column(0), row)
                 for at in range(0, len(words), BUCKET):
-                    some = bits_of(words[at : at + BUCKET], kinds[at : at + BUCKET], code)
-                    weight, rank = np.array(n[at : at + BUCKET], dtype=np.float64)[some.owner], code.rank[some.byte].astype(np.uint64)
+                    some, start, owner = starts_of(words[at : at + BUCKET], kinds[at : at + BUCKET], code)
+                    weight, rank = np.bincount(start, np.array(n[at : at + BUCKET], dtype=np.float64)[owner]), code.rank[some.byte].astype(np.uint64)
                     for i, (order, _) in enumerate(ORDERS):
                         near = slice(None) if order else ~some.deep
                         key = some.keys[i][near]
@@ -544,10 +595,10 @@ def final_logs(model: Model) -> np.ndarray:
 
 
 def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3) -> Model:
-    """One online pass of every task over its words, mini-batch by mini-batch in a drawn order, each
+    """One online pass of every task over the starts of its words, mini-batch by mini-batch in a drawn order, each
     weight stepping by its error over the curvature met lately, while the refinement counts what comes of
     the mixer's outputs. The tasks' weights are averaged by how many bits they saw, their counts added up.
-    A word counts as often as it was met, each time as if it were one more, unseen, sighting."""
+    A start counts as often as its words were met, each time as if it were one more, unseen, sighting."""
     table_bits, n_weights, n_refine = model.table_bits, model.weights.size, model.refine.size
 
     def turns_of(batches: Batches):
@@ -556,10 +607,11 @@ def learn(buckets: DataFrame, table: Broadcast, model: Model, rate: float = 0.3)
             for row in range(batch.num_rows):
                 words, kinds, times = members(batch.column(0), row)
                 for part in parted(words):
-                    part = np.random.default_rng(len(part)).permutation(part).tolist()
-                    some = bits_of([words[i] for i in part], [kinds[i] for i in part], model.code)
-                    n = np.array([times[i] for i in part], dtype=np.float64)[some.owner]
-                    edges = np.searchsorted(some.owner, np.arange(0, len(part) + 2000, 2000))
+                    some, start, owner = starts_of([words[i] for i in part], [kinds[i] for i in part], model.code)
+                    drawn = np.random.default_rng(len(part)).permutation(len(some.byte))
+                    some = Bits(some.owner[drawn], some.byte[drawn], some.deep[drawn], [x[drawn] for x in some.keys], some.code)
+                    n = np.bincount(start, np.array([times[i] for i in part], dtype=np.float64)[owner])[drawn]
+                    edges = np.linspace(0, len(drawn), -(-len(part) // 2000) + 1).astype(np.int64)
                     for got, (bit, byte) in steps_with(known, table_bits, some, n, True, edges):
                         yield got, bit, n[byte]
 
@@ -610,15 +662,16 @@ class Speaker:
             if not asked:
                 continue
             part = asked + [i for i in part if i >= len(words)]
-            some = bits_of([all_words[i] for i in part], [all_kinds[i] for i in part], self.model.code)
-            size = int(np.searchsorted(some.owner, len(asked)))  # the bytes asked for come first
+            some, start, owner = starts_of([all_words[i] for i in part], [all_kinds[i] for i in part], self.model.code, len(asked))
+            own = owner < len(asked)
+            size = int(start[own].max()) + 1  # the starts asked for come first
             total = np.zeros(size)
-            edges = np.searchsorted(some.owner[:size], np.arange(0, len(asked) + 2000, 2000))
-            for got, (bit, byte) in steps_with(self.known, self.model.table_bits, some, times[part][some.owner], False, edges):
+            edges = np.append(np.arange(0, size, TOGETHER), size)
+            for got, (bit, byte) in steps_with(self.known, self.model.table_bits, some, np.bincount(start, times[part][owner]), False, edges):
                 st, level = inputs(got)
                 z = mixed(self.weights, st, weight_keys(level))
                 total[byte] += self.logs[(bit * LEVELS + level[-1]) * wide + np.rint((z + CLIP) * STEPS).astype(np.int64)]
-            out[asked] = np.bincount(some.owner[:size], total, minlength=len(asked))
+            out[asked] = np.bincount(owner[own], total[start[own]], minlength=len(asked))
         return out
 
 

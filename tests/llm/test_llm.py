@@ -280,6 +280,22 @@ def test_levels_and_flags_reach_the_driver_in_few_jobs(spark):
             spark.conf.set(k, v)
 
 
+def test_words_that_start_alike_are_spelled_once():
+    """Each distinct start of a class stands once, as its bytes stand alone, and those asked for come first."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice(list(b"abc\xc3\xa9"), int(rng.integers(0, 9)))) for _ in range(2000)] + [b"x" * 70_000, b"x" * 69_999, b""]
+    kinds = rng.integers(0, 3, len(words)).tolist()
+    s, alone = lm_score.starts_of(words, kinds, asked=50), lm_score.bits_of(words, kinds)
+    o = np.argsort(s.owner, kind="stable")
+    assert (s.owner[o] == alone.owner).all() and (s.bits.byte[s.start[o]] == alone.byte).all() and (s.bits.deep[s.start[o]] == alone.deep).all()
+    assert all((x[s.start[o]] == y).all() for x, y in zip(s.bits.keys, alone.keys))
+    told = {(k, w[:i]) for w, k in zip([w + b" " for w in words[:2000]], kinds) for i in range(1, len(w) + 1)}
+    few = lm_score.starts_of(words[:2000], kinds[:2000])
+    assert len(few.bits.byte) == len(told) < len(few.start) / 2
+    first = np.unique(s.start[s.owner < 50])
+    assert (first == np.arange(len(first))).all()
+
+
 def test_lm_base_and_bits(spark, given, odd, none):
     d = given.unionByName(docs(spark, [(10_000, None, None, None), (10_001, "", None, None)]))
     t = lm_score.train(lm_score.train_fold(d))
