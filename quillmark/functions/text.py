@@ -27,6 +27,12 @@ def utf16_len(text: Column) -> Column:
     return F.when(wide(text), F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)).otherwise(F.length(text))
 
 
+def longer(text: Column, n: Column) -> Column:
+    """Whether a text has more than n UTF-16 units. It has no fewer than characters and no more than bytes, so they
+    are counted only where these don't tell."""
+    return (F.octet_length(text) > n) & ((F.length(text) > n) | (utf16_len(text) > n))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), the value worked out once however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -92,11 +98,16 @@ def emoji_class() -> str:
     return f"[{ranged(pictographs())}ツ]"
 
 
+@cache
+def emoji_range() -> str:
+    """A short class body that holds all emoji, and few letters."""
+    return rf"{ranged([x for x in pictographs() if x[1] < 0x2000])}\x{{2000}}-\x{{10FFFF}}"
+
+
 @cache
 def emoji_pattern() -> str:
     """A class of so many ranges is slow to miss, so letters and the like are turned away by a short one before it."""
-    low = [x for x in pictographs() if x[1] < 0x2000]
-    return rf"(?=[{ranged(low)}\x{{2000}}-\x{{10FFFF}}]){emoji_class()}"
+    return rf"(?=[{emoji_range()}]){emoji_class()}"
 
 
 def drawn(key: Column, seed: int) -> Column:

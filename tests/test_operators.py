@@ -362,6 +362,22 @@ def test_scores(spark):
     assert got[8].score == 0 and got[99].score == 0 and got[8].verdict == "nothing to check"
 
 
+def test_one_look_spares_most_texts_the_patterns(spark):
+    """What emoji, foreign marks and Cyrillic are told by misses no such character, and accented letters aren't taken for one."""
+    marks = [re.sub(r"[\[\]]", "", p.pattern) for p in habits.FOREIGN_MARKS]
+    held = [c for m in marks for c in m] + [chr(c) for span in text.pictographs() for c in span] + ["ツ", "Ѐ", "ӿ", "ᲀ"]
+    rows = spark.createDataFrame([(c, True) for c in held if ord(c) > 127] + [(c, False) for c in ("é", "ñü", "plain", "1#*")], "_w string, want boolean")
+    got = [(r._w, r._special, r.want) for r in score.looked_over(rows).collect()]
+    assert len(got) > 100 and [x for x in got if x[1] != x[2]] == []
+
+
+def test_longer_counts_utf16_units(spark):
+    texts = ["", "a" * 5, "a" * 6, "é" * 5, "é" * 6, "😀" * 2, "😀" * 3, "a😀😀", "aa😀😀", "€" * 5, None]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in (0, 2, 5, 6, None)], "t string, n int")
+    got = rows.select(text.longer(F.col("t"), F.col("n")).alias("a"), (text.utf16_len(F.col("t")) > F.col("n")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(bool(r.a) for r in got) > 10
+
+
 SOURCE = """/**
  * Считает сумму чисел, потому что так надо.
  *
