@@ -8,14 +8,15 @@ words about it) are mixed by gated weights and refined, as the bits of spelled w
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillmark.llm.common import Batches, texts
+from quillmark.llm.common import Batches
 
 CLIP, BINS = 12.0, 33
 SMALL = 10  # bits of the contexts made of counters
@@ -34,25 +35,32 @@ class Read(NamedTuple):
     """Texts as numbers: every token's word, its text, and each distinct word's length and mark."""
 
     words: list[bytes]
+    column: pa.Array  # the words once more
     token: np.ndarray
     text: np.ndarray
     size: np.ndarray
     mark: np.ndarray
 
 
-def read(split: list[list[bytes]], end: bytes) -> Read:
-    """Of tokenized texts, each closed by `end`."""
-    every: list[bytes] = []
-    for words in split:
-        every += words
-        every.append(end)
-    place = dict.fromkeys(every)
-    words = list(place)
-    place = dict(zip(words, range(len(words))))
-    token = np.fromiter(map(place.__getitem__, every), dtype=np.int64, count=len(every))
-    text = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1)
+def read_texts(given: pa.Array, end: bytes) -> Read:
+    """Of texts, null as the empty one: their words, A-Z in lower case, as UTF-8, each text closed by `end`."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(given, "")))
+    every = split.flatten()
+    some = pc.greater(pc.binary_length(every), 0)  # blanks at an edge leave an empty word beside them
+    text = np.repeat(np.arange(len(given)), np.diff(split.offsets.to_numpy()))[some.to_numpy(zero_copy_only=False)]
+    told = every.filter(some).dictionary_encode()
+    column = pa.concat_arrays([told.dictionary.cast(pa.binary()), pa.array([end], pa.binary())])
+    words = column.to_numpy(zero_copy_only=False).tolist()
+    token = np.full(len(text) + len(given), len(words) - 1)
+    token[np.arange(len(text)) + text] = told.indices.to_numpy()
+    every_text = np.repeat(np.arange(len(given)), np.bincount(text, minlength=len(given)) + 1)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    return Read(words, token, text, size, np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)))
+    return Read(words, column, token, every_text, size, np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)))
+
+
+def read(split: list[list[bytes]], end: bytes) -> Read:
+    """Of tokenized texts."""
+    return read_texts(pa.array([b" ".join(words).decode() for words in split], pa.string()), end)
 
 
 class Before(NamedTuple):
@@ -175,47 +183,58 @@ def learned(m: Order, q: Bits, curve: np.ndarray, rate: float = 0.3) -> None:
     np.add.at(m.counts.reshape(-1), (q.bit * m.counts.shape[1] + q.slots).ravel(), 1.0)
 
 
-def together(split: list[list[bytes]]) -> list[list[list[bytes]]]:
+def together(r: Read) -> Iterator[Read]:
     """Texts in groups of some TOGETHER tokens, longer ones alone. A text's result doesn't depend on its group."""
-    out, size = [[]], 0
-    for words in split:
-        if out[-1] and size + len(words) > TOGETHER:
-            out.append([])
-            size = 0
-        out[-1].append(words)
-        size += len(words) + 1
-    return out
-
-
-def train(docs: DataFrame, distinct: int, tokens, end: bytes) -> Order:
-    """One online pass of every task over the texts it reads, in order. The tasks' counts are summed up, their
-    weights averaged by how many questions they met. The driver gets the contexts seen, at most
-    3 * 2^MOST_BITS. An empty table leaves the model as it starts."""
+    ends = np.cumsum(np.bincount(r.text)).tolist()
+    first = begin = 0
+    for k, end in enumerate(ends):
+        if k > first and end - 1 - begin > TOGETHER:
+            yield r._replace(token=r.token[begin : ends[k - 1]], text=r.text[begin : ends[k - 1]] - first)
+            first, begin = k, ends[k - 1]
+    yield r._replace(token=r.token[begin:], text=r.text[begin:] - first)
+
+
+#: Sums that travel together.
+BLOCK = 4096
+
+
+def added_up(batches: Batches) -> Batches:
+    """Blocks of sums, each number's rows added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[k] = sums.get(k, 0) + np.frombuffer(x)
+    yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "x"])
+
+
+def train(docs: DataFrame, distinct: int, end: bytes) -> Order:
+    """One online pass of every task over the texts it reads, in order. The tasks' counts are summed up by blocks,
+    their weights averaged by how many questions they met. The driver gets the sums, some 2 * 3 * 2^MOST_BITS
+    numbers at most. An empty table leaves the model as it starts."""
     bits = min(MOST_BITS, max(12, distinct.bit_length()))
 
     def run(batches: Batches) -> Batches:
         m, curve, asked = start(bits), np.full(GATES * (PREDICTORS + 1), 50.0), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for group in together([tokens(t) for t in texts(batch.slice(at, 500), 0)]):
-                    q = questions(read(group, end), bits)
+                for group in together(read_texts(batch.column(0).slice(at, 500), end)):
+                    q = questions(group, bits)
                     asked += len(q.bit)
                     for k in range(0, len(q.bit), STEP):
                         learned(m, Bits(*(x[..., k : k + STEP] for x in q)), curve)
-        seen = np.flatnonzero(m.counts.any(axis=0))
-        refine, weights = m.refine.reshape(2, -1), m.weights.reshape(-1) * asked
-        rows = [(0, seen, m.counts[0][seen], m.counts[1][seen]), (1, np.arange(refine.shape[1]), *refine), (2, np.arange(len(weights)), weights, np.full(len(weights), float(asked)))]
-        for kind, k, x, y in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k), pa.array(x), pa.array(y)], ["kind", "k", "x", "y"])
+        flat = np.concatenate([m.counts.reshape(-1), m.refine.reshape(-1), m.weights.reshape(-1) * asked, [asked]])
+        blocks = {k: flat[k * BLOCK : (k + 1) * BLOCK] for k in range(-(-len(flat) // BLOCK))}
+        some = {k: x.tobytes() for k, x in blocks.items() if x.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(some.values(), pa.binary())], ["block", "x"])
 
-    got = docs.select("text").mapInArrow(run, "kind int, k long, x double, y double").groupBy("kind", "k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+    found = docs.select("text").mapInArrow(run, "block int, x binary").repartition(docs.sparkSession.sparkContext.defaultParallelism, "block").mapInArrow(added_up, "block int, x binary").toArrow()
     m = start(bits)
-    kind, k, x, y = (got[c].to_numpy() for c in ("kind", "k", "x", "y"))
-    m.counts[:, k[kind == 0]] = x[kind == 0], y[kind == 0]
-    m.refine.reshape(2, -1)[:, k[kind == 1]] = x[kind == 1], y[kind == 1]
-    told = (kind == 2) & (y > 0)
-    m.weights.reshape(-1)[k[told]] = x[told] / y[told]
-    return m._replace(counts=m.counts.astype(np.float32))
+    flat = np.zeros(m.counts.size + m.refine.size + m.weights.size + 1)
+    for k, x in zip(found["block"].to_pylist(), found["x"].to_pylist()):
+        flat[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x)
+    counts, refine, weights, asked = np.split(flat, np.cumsum([m.counts.size, m.refine.size, m.weights.size]))
+    m = m._replace(counts=counts.reshape(m.counts.shape).astype(np.float32), refine=refine.reshape(m.refine.shape))
+    return m._replace(weights=weights.reshape(m.weights.shape) / asked) if asked[0] else m
 
 
 class Heard(NamedTuple):

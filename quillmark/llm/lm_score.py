@@ -9,20 +9,19 @@ no further than its own start, which lets each distinct word be spelled once wha
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import lm_order
-from quillmark.llm.common import Batches, fold, spread_join, texts, written
+from quillmark.llm.common import Batches, fold, spread_join, written
 
 #: Predictors: so many bytes before (inside the word), 0 for the whole word so far; with the text's class or without.
 ORDERS = ((1, True), (2, True), (3, True), (4, False), (0, False), (0, True))
@@ -34,26 +33,22 @@ CLIP, BINS = 12.0, 33
 OWN_SHARE = 0.2  # weight of a word's plain share of the training tokens beside the mixer
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words of the text, A-Z in lower case, as UTF-8."""
-    return text.encode().lower().split()
+class ShortWords(NamedTuple):
+    """Of some texts: the cells that their short words fall into, how often, and the text of each."""
 
-
-def counted(text: str) -> dict[bytes, int]:
-    """How often each token stands in the text, its end included."""
-    tf = Counter(tokens(text))
-    tf[END] += 1
-    return tf
+    cell: np.ndarray
+    n: np.ndarray
+    text: np.ndarray
 
 
-def short_words(tf: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts of a text's short words."""
-    cells: dict[int, int] = {}
-    for w, n in tf.items():
-        if len(w) <= SHORT and w:
-            c = zlib.crc32(w) % CELLS
-            cells[c] = cells.get(c, 0) + n
-    return np.fromiter(cells, dtype=np.int64, count=len(cells)), np.fromiter(cells.values(), dtype=np.float64, count=len(cells))
+def short_words(r: lm_order.Read) -> ShortWords:
+    """By text, in the order in which cells are first met."""
+    short = (r.size > 0) & (r.size <= SHORT)
+    at = np.flatnonzero(short[r.token])
+    cell = (r.mark % np.uint64(CELLS)).astype(np.int64)[r.token[at]]
+    each, first, n = np.unique(r.text[at] * CELLS + cell, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return ShortWords(each[order] % CELLS, n[order], each[order] // CELLS)
 
 
 class Classes(NamedTuple):
@@ -63,15 +58,9 @@ class Classes(NamedTuple):
     log_share: np.ndarray
     log_cell: np.ndarray  # [class, cell]
 
-    def of(self, cells: np.ndarray, n: np.ndarray) -> int:
-        return int((self.log_share + self.log_cell[:, cells] @ n).argmax())
-
-    def of_each(self, r: lm_order.Read, n_texts: int) -> np.ndarray:
+    def of_each(self, s: ShortWords, n_texts: int) -> np.ndarray:
         """The class of each of some texts."""
-        short = (r.size > 0) & (r.size <= SHORT)
-        at = np.flatnonzero(short[r.token])
-        cell, text = (r.mark % np.uint64(CELLS)).astype(np.int64)[r.token[at]], r.text[at]
-        return np.stack([share + np.bincount(text, row[cell], n_texts) for share, row in zip(self.log_share, self.log_cell)]).argmax(0)
+        return np.stack([share + np.bincount(s.text, row[s.cell] * s.n, n_texts) for share, row in zip(self.log_share, self.log_cell)]).argmax(0)
 
 
 def classes(docs: DataFrame, rounds: int = 8) -> Classes:
@@ -81,15 +70,21 @@ def classes(docs: DataFrame, rounds: int = 8) -> Classes:
 
     def cells_of(batches: Batches) -> Batches:
         for batch in batches:
-            got = [short_words(counted(t)) for t in texts(batch, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.astype("<u2").tobytes() for c, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())], ["cells", "n"])
+            for at in range(0, batch.num_rows, 500):
+                given = batch.column(0).slice(at, 500)
+                s = short_words(lm_order.read_texts(given, END))
+                ends = np.cumsum(np.bincount(s.text, minlength=len(given)))[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(column, ends)], pa.binary()) for column in (s.cell.astype("<u2"), s.n.astype("<u4"))], ["cells", "n"])
+
+    def read(cells: list[bytes], n: list[bytes]) -> ShortWords:
+        cell = np.frombuffer(b"".join(cells), "<u2").astype(np.int64)
+        return ShortWords(cell, np.frombuffer(b"".join(n), "<u4").astype(np.float64), np.repeat(np.arange(len(cells)), [len(x) // 2 for x in cells]))
 
-    read = lambda c, n: (np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float64))
     rows = written(docs.select("text").mapInArrow(cells_of, "cells binary, n binary"), "short-words")
     seeds = np.zeros((256, CELLS))
     for k, r in enumerate(rows.where(F.length("cells") > 20).orderBy(F.xxhash64("cells", "n"), "cells", "n").limit(len(seeds)).collect()):
-        c, n = read(r.cells, r.n)
-        seeds[k, c] = np.sqrt(n / n.sum())
+        s = read([r.cells], [r.n])
+        seeds[k, s.cell] = np.sqrt(s.n / s.n.sum())
     picked = [0]  # each further seed is the one least like those before
     while len(picked) < CLASSES:
         picked.append(int((seeds @ seeds[picked].T).max(1).argmin()))
@@ -101,11 +96,10 @@ def classes(docs: DataFrame, rounds: int = 8) -> Classes:
         def assign(batches: Batches) -> Batches:
             sums = np.zeros((CLASSES, CELLS + 1))
             for batch in batches:
-                for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    c, n = read(c, n)
-                    k = shared.value.of(c, n)
-                    sums[k, c] += n
-                    sums[k, CELLS] += 1
+                s = read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                k = shared.value.of_each(s, batch.num_rows)
+                sums += np.bincount(k[s.text] * (CELLS + 1) + s.cell, s.n, sums.size).reshape(sums.shape)
+                sums[:, CELLS] += np.bincount(k, minlength=CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(range(sums.size), pa.int32()), pa.array(sums.reshape(-1))], ["k", "x"])
 
         sums = np.zeros(CLASSES * (CELLS + 1))
@@ -119,25 +113,26 @@ def classes(docs: DataFrame, rounds: int = 8) -> Classes:
 def word_counts(docs: DataFrame, kinds: Classes, held: int = 400_000) -> DataFrame:
     """word binary, class int, n long: tokens of all given rows, each row's end counted as the empty word.
 
-    Tasks add up what they have met before anything is shuffled, at most `held` words at a time."""
+    Tasks add up what they have met before anything is shuffled, at most some `held` words at a time."""
 
     def run(batches: Batches) -> Batches:
-        sums: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
+        waiting: list[pa.Table] = []
 
-        def out() -> Batches:
-            for k, own in enumerate(sums):
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array([k] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["word", "class", "n"])
-                own.clear()
+        def summed() -> pa.Table:
+            return pa.concat_tables(waiting).group_by(["word", "class"], use_threads=False).aggregate([("n", "sum")]).select(["word", "class", "n_sum"]).rename_columns(["word", "class", "n"])
 
         for batch in batches:
-            for t in texts(batch, 0):
-                tf = counted(t)
-                own = sums[kinds.of(*short_words(tf))]
-                for w, n in tf.items():
-                    own[w] = own.get(w, 0) + n
-                if sum(map(len, sums)) > held:
-                    yield from out()
-        yield from out()
+            for at in range(0, batch.num_rows, 500):
+                r = lm_order.read_texts(batch.column(0).slice(at, 500), END)
+                kind = kinds.of_each(short_words(r), min(500, batch.num_rows - at))
+                each, n = np.unique(r.token * CLASSES + kind[r.text], return_counts=True)
+                waiting.append(pa.table({"word": r.column.take(pa.array(each // CLASSES)), "class": pa.array((each % CLASSES).astype(np.int32)), "n": pa.array(n)}))
+                if sum(x.num_rows for x in waiting) > 2 * held:
+                    waiting = [summed()]
+                    if waiting[0].num_rows > held:
+                        yield from waiting.pop().to_batches(100_000)
+        if waiting:
+            yield from summed().to_batches(100_000)
 
     return docs.select("text").mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
@@ -277,8 +272,8 @@ class Starts(NamedTuple):
 def starts_of(words: list[bytes], kinds: list[int], code: Code = EVEN, asked: int | None = None) -> Starts:
     """All that is asked about a byte depends on its class and the word up to it: words that stand beside each other
     when sorted share the starts that they have in common. The starts of the first `asked` words come first."""
-    each = list(zip(kinds, words))
-    order = sorted(range(len(words)), key=each.__getitem__)
+    order = pc.sort_indices(pa.array(words, pa.binary())).to_numpy()
+    order = order[np.argsort(np.array(kinds)[order], kind="stable")].tolist()
     words, kinds = [words[i] for i in order], [kinds[i] for i in order]
     b, owner, start, at = spelled_out(words)
     first = np.flatnonzero(at == 0)
@@ -321,20 +316,20 @@ def gathered(words: DataFrame, buckets: int, name: str, columns: list[str]) -> D
 
 def members(column: pa.Array, k: int) -> list[list]:
     """By column, what the k-th bucket's list holds."""
-    return [x.to_pylist() for x in column[k].values.flatten()] if column[k].is_valid else []
+    return [x.to_numpy(zero_copy_only=False).tolist() for x in column[k].values.flatten()] if column[k].is_valid else []
 
 
 def parted(words: list[bytes]) -> Iterator[list[int]]:
     """Places of the words, by parts of a bucket or more that share no start with one another."""
-    order, part, last = sorted(range(len(words)), key=words.__getitem__), [], b""
-    for i in order:
-        if len(part) >= BUCKET and words[i][:SHALLOW] != last:
-            yield part
-            part = []
-        part.append(i)
-        last = words[i][:SHALLOW]
-    if part:
-        yield part
+    column, at = pa.array(words, pa.binary()), 0
+    order = pc.sort_indices(column)
+    begin = pc.binary_slice(column.take(order), 0, SHALLOW)
+    cuts = np.append(np.flatnonzero(pc.not_equal(begin[1:], begin[:-1]).to_numpy(zero_copy_only=False)) + 1, len(words))
+    order = order.to_pylist()
+    while at < len(words):
+        end = int(cuts[min(np.searchsorted(cuts, at + BUCKET), len(cuts) - 1)])
+        yield order[at:end]
+        at = end
 
 
 class Pairs(NamedTuple):
@@ -456,8 +451,8 @@ class Lookup(NamedTuple):
         if self.taken is None:
             return slot
         word, bit = slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64)
-        taken = self.taken[word]
-        return np.where(taken & bit, self.before[word] + np.bitwise_count(taken & (bit - np.uint64(1))) + 1, 0)
+        taken = self.taken.take(word)
+        return (self.before.take(word) + np.bitwise_count(taken & (bit - np.uint64(1))) + 1) * ((taken & bit) != 0)
 
 
 def looked_up(counts: np.ndarray, unmet: bool = False) -> Lookup:
@@ -547,9 +542,9 @@ def steps_with(known: Lookup, table_bits: tuple[int, ...], some: Bits, weight: n
             for i, (order, _) in enumerate(ORDERS):
                 key, b = (keys[i], bit) if order else (keys[i][near], bit[near])
                 at = known.places(slots_of(key, i, table_bits))
-                x = known.value[b, at] if unmet else known.value[at]
+                x = known.value.reshape(-1).take(at + b * known.value.shape[1] if unmet else at)
                 if known.check is not None:
-                    x[known.check[at] != checks_of(key)] = 0
+                    x *= known.check.take(at) == checks_of(key)
                 if not order:
                     whole = np.zeros(len(bit), dtype=np.int32)
                     whole[near] = x
@@ -680,6 +675,7 @@ class Trained(NamedTuple):
     table: Broadcast
     order: lm_order.Order
     kinds: Classes
+    by_class: DataFrame
     counts: DataFrame
     buckets: DataFrame
     n_buckets: int
@@ -705,7 +701,7 @@ def train(docs: DataFrame) -> Trained:
         unmet = share(opened(table, True))
         model = learn(buckets, unmet, model)
         unmet.destroy()
-    return Trained(model, share(opened(table)), lm_order.train(docs, int(v), tokens, END), kinds, counts, buckets, n_buckets, int(n), int(v))
+    return Trained(model, share(opened(table)), lm_order.train(docs, int(v), END), kinds, by_class, counts, buckets, n_buckets, int(n), int(v))
 
 
 def spoken(queries: DataFrame, trained: Trained) -> DataFrame:
@@ -732,7 +728,8 @@ def spoken(queries: DataFrame, trained: Trained) -> DataFrame:
 
 
 class Common(NamedTuple):
-    """The commonest words: each one's place, and by place log10(c + 1) and the log10 probabilities by class."""
+    """The commonest words: each one's place, and by place log10(c + 1) and the log10 probabilities by class, NaN
+    where no training text of the class holds the word."""
 
     place: dict[bytes, int]
     log_count: np.ndarray
@@ -744,11 +741,11 @@ def common_words(trained: Trained, most: int, longest: int) -> Common:
     by_count = [F.desc("n"), F.asc("word")]
     size = F.length("word")
     chosen = trained.counts.where(size <= longest).orderBy(*by_count).limit(most).union(trained.counts.where((size > longest) & (size <= 4096)).orderBy(*by_count).limit(4096))
-    asked = chosen.select("word", F.explode(F.array(*[F.lit(k) for k in range(CLASSES)])).alias("kind"))
+    asked = trained.by_class.join(F.broadcast(chosen.select("word")), "word").select("word", F.col("class").alias("kind"))
     got = spoken(asked, trained).toArrow()
     place: dict[bytes, int] = {}
     at = np.array([place.setdefault(w, len(place)) for w in got["word"].to_pylist()], dtype=np.int64)
-    counts, p = np.zeros(len(place)), np.zeros((len(place), CLASSES))
+    counts, p = np.zeros(len(place)), np.full((len(place), CLASSES), np.nan)
     counts[at] = got["c"].to_numpy()
     p[at, got["kind"].to_numpy()] = got["p"].to_numpy()
     return Common(place, np.log10(counts + 1), p)
@@ -757,18 +754,22 @@ def common_words(trained: Trained, most: int, longest: int) -> Common:
 SUMS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
 
 
-def told(ids: list, split: list[list[bytes]], first_row: int, common: Common, kinds: Classes, order: lm_order.Order) -> pa.RecordBatch:
-    """A row for each text with its sums over common words, and one for each other word of each text."""
-    r, n = lm_order.read(split, END), len(split)
-    h, kind = lm_order.heard(order, r), kinds.of_each(r, n)
-    place = np.fromiter(map(common.place.get, r.words, repeat(-1)), dtype=np.int64, count=len(r.words))[r.token]
+def told(ids: list, r: lm_order.Read, place: np.ndarray, first_row: int, common: Common, kinds: Classes, order: lm_order.Order) -> pa.RecordBatch:
+    """A row for each text with its sums over common words, and one for each other word of each text, also for a
+    common word that no training text of its class holds. `place`: of each distinct word among the common ones, or -1."""
+    n = len(ids)
+    h, kind = lm_order.heard(order, r), kinds.of_each(short_words(r), n)
+    place = place[r.token]
     met, spelled = place >= 0, ~h.named
+    p = np.full(len(place), np.nan)
+    p[met] = common.log_p[place[met], kind[r.text[met]]]
+    met = ~np.isnan(p)
     add_up = lambda of, x=None: np.bincount(r.text[of], None if x is None else x[of], n)
     n_tokens = add_up(slice(None))
     base, said = np.zeros(len(place)), np.zeros(len(place))
     base[met] = common.log_count[place[met]]
     both = met & spelled
-    said[both] = common.log_p[place[both], kind[r.text[both]]]
+    said[both] = p[both]
     score = add_up(slice(None), said + h.log10) + kinds.log_share[kind] / np.log(10)
     size = add_up(slice(None), r.size[r.token]).astype(np.int64) + n_tokens
     pairs, inverse, tf = np.unique(r.text[~met] * len(r.words) + r.token[~met], return_inverse=True, return_counts=True)
@@ -776,7 +777,7 @@ def told(ids: list, split: list[list[bytes]], first_row: int, common: Common, ki
     rest = len(pairs)
     head = [
         pa.array(first_row + np.concatenate([np.arange(n), text])),
-        pa.array([b""] * n + [r.words[w] for w in word.tolist()], pa.binary()),
+        pa.concat_arrays([pa.array([b""] * n, pa.binary()), r.column.take(pa.array(word))]),
         pa.array(np.concatenate([kind, kind[text]]).astype(np.int32)),
         pa.array(np.concatenate([np.zeros(n, dtype=np.int64), tf])),
         pa.array(np.concatenate([np.zeros(n, dtype=np.int64), np.bincount(inverse, spelled[~met], rest).astype(np.int64)])),
@@ -808,10 +809,12 @@ def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: i
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, split = part.column(0).to_pylist(), [tokens(t) for t in texts(part)]
-                for group in lm_order.together(split):
-                    yield told(ids[: len(group)], group, row, shared.value, kinds, order.value)
-                    ids, row = ids[len(group) :], row + len(group)
+                ids, r, common = part.column(0).to_pylist(), lm_order.read_texts(part.column(1), END), shared.value
+                place = np.fromiter(map(common.place.get, r.words, repeat(-1)), dtype=np.int64, count=len(r.words))
+                for group in lm_order.together(r):
+                    n = int(group.text[-1]) + 1
+                    yield told(ids[:n], group, place, row, common, kinds, order.value)
+                    ids, row = ids[n:], row + n
 
     found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "found")
     rare = found.where("tf > 0").select("row", "word", "kind", "tf", "spelled")

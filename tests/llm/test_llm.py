@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -296,6 +297,24 @@ def test_words_that_start_alike_are_spelled_once():
     assert (first == np.arange(len(first))).all()
 
 
+def test_words_are_read_by_arrow_as_by_python():
+    """Blanks at edges, other scripts and null: the words that bytes.split gives, in whatever groups texts are taken."""
+    given = [" The\tthe\x0b ", None, "", "\n", "É É\xa0x\x1cy\u2003Z\x85z a", "b " * 30_000, "b c"]
+    r = lm_order.read_texts(pa.array(given), b"")
+    want = [[*(t or "").encode().lower().split(), b""] for t in given]
+    assert [[r.words[w] for w in r.token[r.text == k]] for k in range(len(given))] == want and r.column.to_pylist() == r.words
+    groups = list(lm_order.together(r))
+    assert [[r.words[w] for w in g.token[g.text == k]] for g in groups for k in range(g.text[-1] + 1)] == want and len(groups) == 3
+
+
+def test_common_words_are_spelled_for_classes_that_hold_them(spark, given):
+    """Not for every class: what a class's training texts don't hold comes by the join, with the same result."""
+    t = lm_score.train(lm_score.train_fold(given))
+    common, held = lm_score.common_words(t, 1 << 18, 64), {(bytes(r.word), r["class"]) for r in t.by_class.collect()}
+    assert {(w, k) for w, i in common.place.items() for k in np.flatnonzero(~np.isnan(common.log_p[i])).tolist()} == held
+    assert np.isnan(common.log_p).any()
+
+
 def test_lm_base_and_bits(spark, given, odd, none):
     d = given.unionByName(docs(spark, [(10_000, None, None, None), (10_001, "", None, None)]))
     t = lm_score.train(lm_score.train_fold(d))
