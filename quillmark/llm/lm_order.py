@@ -195,7 +195,7 @@ def together(r: Read) -> Iterator[Read]:
 
 
 #: Sums that travel together.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def added_up(batches: Batches) -> Batches:
@@ -222,6 +222,7 @@ def train(docs: DataFrame, distinct: int, end: bytes) -> Order:
                     asked += len(q.bit)
                     for k in range(0, len(q.bit), STEP):
                         learned(m, Bits(*(x[..., k : k + STEP] for x in q)), curve)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
         flat = np.concatenate([m.counts.reshape(-1), m.refine.reshape(-1), m.weights.reshape(-1) * asked, [asked]])
         blocks = {k: flat[k * BLOCK : (k + 1) * BLOCK] for k in range(-(-len(flat) // BLOCK))}
         some = {k: x.tobytes() for k, x in blocks.items() if x.any()}

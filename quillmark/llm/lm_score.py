@@ -133,6 +133,8 @@ def word_counts(docs: DataFrame, kinds: Classes, held: int = 400_000) -> DataFra
                         yield from waiting.pop().to_batches(100_000)
         if waiting:
             yield from summed().to_batches(100_000)
+            waiting.clear()
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
 
     return docs.select("text").mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
@@ -815,6 +817,7 @@ def score(docs: DataFrame, trained: Trained, frequent: int = 1 << 18, longest: i
                     n = int(group.text[-1]) + 1
                     yield told(ids[:n], group, place, row, common, kinds, order.value)
                     ids, row = ids[n:], row + n
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
 
     found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "found")
     rare = found.where("tf > 0").select("row", "word", "kind", "tf", "spelled")
